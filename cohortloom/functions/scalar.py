@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Clipping bounds, feature variants, lateral strategies and state order used by the domain.
+# Imbalance names, clipping bounds, feature variants, lateral strategies and state order used by the domain.
+IMBALANCE_LEVELS = ("Bajo", "Moderado", "Alto", "No calculable")
+MISSING_CLASS = "<FALTANTE>"
 EPS = 1e-6
 LOGIT_CLIP = 40.0
 FEATURE_VARIANTS = ("image_radiomics_sbr", "image_radiomics", "image_only")
@@ -91,11 +93,12 @@ def decision(p: Column, threshold: float = 0.5) -> Column:
 
 
 def imbalance_level(ratio: Column) -> Column:
+    low, moderate, high, unknown = IMBALANCE_LEVELS
     return (
-        F.when(ratio.isNull() | (ratio == F.lit(float("inf"))), "not computable")
-        .when(ratio < 1.5, "low")
-        .when(ratio < 3.0, "moderate")
-        .otherwise("high")
+        F.when(ratio.isNull() | (ratio == F.lit(float("inf"))), unknown)
+        .when(ratio < 1.5, low)
+        .when(ratio < 3.0, moderate)
+        .otherwise(high)
     )
 
 

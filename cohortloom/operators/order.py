@@ -63,8 +63,8 @@ def running(
 ) -> DataFrame:
     """Running values per group in ``order``: ``{name: (kind, column)}``.
 
-    kinds: ``row_number``; ``sum``, ``count``, ``min``, ``max`` up to and including the row; ``before`` (sum of the
-    rows strictly before); ``total`` (sum over the group); ``prev`` (value of the row before). ``cell`` overrides the
+    kinds: ``row_number``; ``sum``, ``count``, ``min``, ``max`` up to and including the row; ``before``, ``min_before``,
+    ``max_before`` (sum, minimum, maximum of the rows strictly before); ``total`` (sum over the group); ``prev`` (value of the row before). ``cell`` overrides the
     sketch with a caller's own order-preserving range number.
     """
     tie = tie or []
@@ -106,6 +106,11 @@ def running(
             partial.append(fn(v).alias(p))
             carried.append(fn(p).over(before_cells).alias(c))
             local[n] = fn(v).over(upto)
+        elif kind in ("min_before", "max_before"):
+            fn = F.min if kind == "min_before" else F.max
+            partial.append(fn(v).alias(p))
+            carried.append(fn(p).over(before_cells).alias(c))
+            local[n] = fn(v).over(prior)
         elif kind == "prev":
             partial.append(F.max_by(v, last_order).alias(p))
             carried.append(F.lag(p).over(group_all.orderBy(BUCKET)).alias(c))
@@ -131,9 +136,9 @@ def running(
             value = F.coalesce(c, F.lit(0)) + F.coalesce(loc, F.lit(0))
         elif kind == "sum":
             value = F.when(c.isNull(), loc).when(loc.isNull(), c).otherwise(c + loc)
-        elif kind == "min":
+        elif kind in ("min", "min_before"):
             value = F.least(c, loc)
-        elif kind == "max":
+        elif kind in ("max", "max_before"):
             value = F.greatest(c, loc)
         else:
             value = F.when(F.col("_first"), c).otherwise(loc)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.functions.scalar import row_log_loss
+from cohortloom.functions.scalar import MISSING_CLASS, row_log_loss
 from cohortloom.operators.joins import require
 from cohortloom.operators.order import average_rank, exact_quantiles, null_safe, running, value_ranks, wide_quantiles
 
@@ -122,7 +122,7 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 def class_counts(df: DataFrame, target: str) -> DataFrame:
     from pyspark.sql import Window
 
-    counts = df.groupBy(F.coalesce(F.col(target).cast("string"), F.lit("<MISSING>")).alias("class")).agg(
+    counts = df.groupBy(F.coalesce(F.col(target).cast("string"), F.lit(MISSING_CLASS)).alias("class")).agg(
         F.count(F.lit(1)).alias("n")
     )
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
@@ -136,7 +136,7 @@ def class_balance(df: DataFrame, target: str) -> DataFrame:
         F.sum("n").alias("n"),
         F.max("n").alias("majority"),
         F.min("n").alias("minority"),
-        F.count(F.when(F.col("class") != "<MISSING>", 1)).alias("classes"),
+        F.count(F.when(F.col("class") != MISSING_CLASS, 1)).alias("classes"),
     )
     ratio = F.col("majority") / F.col("minority")
     return c.select("*", ratio.alias("ratio"), (F.col("majority") / F.col("n")).alias("baseline"),

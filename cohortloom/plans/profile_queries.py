@@ -92,7 +92,7 @@ def _(spark, sf):
     return p.duplicate_rows(fx.table(spark, sf, "lineitem").select("l_suppkey", "l_linenumber", "l_returnflag"))
 
 
-_CLASS = "SELECT coalesce(CAST(y AS VARCHAR), '<MISSING>') AS class, count(*) AS n FROM fx_cohort GROUP BY 1"
+_CLASS = "SELECT coalesce(CAST(y AS VARCHAR), '<FALTANTE>') AS class, count(*) AS n FROM fx_cohort GROUP BY 1"
 
 
 @query("a05_class_counts", "class:s n:i share:d", f"SELECT class, n, n / sum(n) OVER () AS share FROM ({_CLASS})", "fx_cohort")
@@ -104,8 +104,8 @@ def _(spark, sf):
     "a05_class_balance",
     "n:i majority:i minority:i classes:i ratio:d baseline:d level:s",
     f"""SELECT n, majority, minority, classes, majority / minority AS ratio, majority / n AS baseline,
-        CASE WHEN majority / minority < 1.5 THEN 'low' WHEN majority / minority < 3 THEN 'moderate' ELSE 'high' END AS level FROM (
-        SELECT CAST(sum(n) AS DOUBLE) AS n, CAST(max(n) AS DOUBLE) AS majority, CAST(min(n) AS DOUBLE) AS minority, sum(CASE WHEN class <> '<MISSING>' THEN 1 ELSE 0 END) AS classes FROM ({_CLASS}))""",
+        CASE WHEN majority / minority < 1.5 THEN 'Bajo' WHEN majority / minority < 3 THEN 'Moderado' ELSE 'Alto' END AS level FROM (
+        SELECT CAST(sum(n) AS DOUBLE) AS n, CAST(max(n) AS DOUBLE) AS majority, CAST(min(n) AS DOUBLE) AS minority, sum(CASE WHEN class <> '<FALTANTE>' THEN 1 ELSE 0 END) AS classes FROM ({_CLASS}))""",
     "fx_cohort",
 )
 def _(spark, sf):

@@ -238,7 +238,7 @@ def _(spark, sf):
 @query(
     "p15_imbalance_level",
     "source:s level:s",
-    """SELECT source, CASE WHEN mi = 0 THEN 'not computable' WHEN ma / mi < 1.5 THEN 'low' WHEN ma / mi < 3 THEN 'moderate' ELSE 'high' END AS level
+    """SELECT source, CASE WHEN mi = 0 THEN 'No calculable' WHEN ma / mi < 1.5 THEN 'Bajo' WHEN ma / mi < 3 THEN 'Moderado' ELSE 'Alto' END AS level
        FROM (SELECT source, CAST(greatest(p, n) AS DOUBLE) AS ma, CAST(least(p, n) AS DOUBLE) AS mi FROM (
          SELECT source, sum(CASE WHEN lang = 'en' THEN 1 ELSE 0 END) AS p, sum(CASE WHEN lang <> 'en' THEN 1 ELSE 0 END) AS n FROM documents GROUP BY source))""",
 )
