@@ -284,12 +284,13 @@ def corr_matrix(df: DataFrame, cols: Sequence[str], key: str | None = None, meth
     return row.select(F.explode(items).alias("e")).select("e.*")
 
 
-def feature_ranks(df: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
-    """Tie-averaged rank of each column (NULL stays NULL), one row per key."""
+def feature_ranks(df: DataFrame, key: str, cols: Sequence[str], pct: bool = False) -> DataFrame:
+    """Tie-averaged rank of each column (NULL stays NULL), one row per key; ``pct`` divides by the non-null count."""
     cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in cols])
     long = df.select(key, F.explode(cells).alias("e")).select(key, "e.feature", "e.v")
-    ranks = value_ranks(long, ["feature"], "v").select("feature", "v", average_rank().alias("rank"))
-    ranked = long.join(ranks, ["feature", "v"])
+    rank = average_rank() / F.col("n") if pct else average_rank()
+    ranks = value_ranks(long, ["feature"], "v").select("feature", "v", rank.alias("rank"))
+    ranked = long.join(ranks, ["feature", "v"], "left")
     wide = ranked.groupBy(key).agg(*[F.max(F.when(F.col("feature") == c, F.col("rank"))).alias(c) for c in cols])
     return wide
 
