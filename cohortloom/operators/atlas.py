@@ -12,6 +12,7 @@ from cohortloom.functions.scalar import safe_ratio
 from cohortloom.operators import voxel as vx
 from cohortloom.operators.joins import require
 from cohortloom.operators.order import null_safe, wide_quantiles
+from cohortloom.session import cut
 from cohortloom.operators.voxel import POS, PROXIES, SCAN, by_scan, pct, with_shape
 
 
@@ -292,12 +293,12 @@ def magnitude_summary(voxels: DataFrame) -> DataFrame:
     )
 
 
-def core_features(voxels: DataFrame, bins: int = 24, min_n: int = 32) -> DataFrame:
+def core_features(voxels: DataFrame, bins: int = 24, min_n: int = 32, min_positive: int = 32) -> DataFrame:
     """Background-free feature row of the robust-normalised target: percentiles, widths, ratios, entropy, asymmetry, high uptake.
 
     Texture, projections, components and shape join on the scan key (:func:`core_feature_blocks`).
     """
-    r = vx.robust_normalize(voxels).withColumn("v", F.col("robust")).drop("robust")
+    r = vx.robust_normalize(voxels, min_n=min_positive).withColumn("v", F.col("robust")).drop("robust")
     df = by_scan(r)
     m = F.col("m")
     inside = F.when(m, F.col("v"))
@@ -332,10 +333,10 @@ def core_features(voxels: DataFrame, bins: int = 24, min_n: int = 32) -> DataFra
     return g.join(vx.scan_entropy(by_scan(r.where("m").select("uid", "v")), bins, out="target_entropy"), "uid")
 
 
-def core_feature_blocks(voxels: DataFrame, spacing: tuple[float, float, float], levels: int = 24) -> DataFrame:
+def core_feature_blocks(voxels: DataFrame, spacing: tuple[float, float, float], levels: int = 24, min_positive: int = 32) -> DataFrame:
     """:func:`core_features` with texture, projections, components and shape of the high-uptake part."""
-    out = core_features(voxels, levels)
-    r = vx.robust_normalize(voxels).withColumn("v", F.col("robust")).drop("robust")
+    out = core_features(voxels, levels, min_positive=min_positive)
+    r = vx.robust_normalize(voxels, min_n=min_positive).withColumn("v", F.col("robust")).drop("robust")
     tex = vx.glcm(r, levels)
     out = out.join(tex.select("uid", *[F.col(c).alias(f"texture_{c}") for c in tex.columns if c != "uid"]), "uid", "left")
     for axis in POS:
@@ -378,19 +379,22 @@ def fill_holes(voxels: DataFrame, mask: str, out: str) -> DataFrame:
 
 
 def consensus_masks(template: DataFrame, percentile: float = 90.0, min_brain: int = 100, min_background: int = 20) -> DataFrame:
-    """Target, brain and background masks (and the halves of the target) of template volumes (uid, z, y_, x, v)."""
-    df = with_shape(by_scan(template))
+    """Target, brain and background masks (and the halves of the target) of template volumes (uid, z, y_, x, v).
+
+    The steps read the few template volumes several times, so each component step starts from a written table.
+    """
+    df = with_shape(by_scan(cut(template)))
     v, pos = F.col("v"), F.col("v") > 0
     df = df.select("*", (vx.in_central_box() & pos).alias("_box"))
     df = df.select("*", pct(F.when(F.col("_box"), v), percentile).over(SCAN).alias("_hot"), pct(F.when(pos, v), 10).over(SCAN).alias("_low"))
     df = df.withColumn("_raw", F.col("_box") & (v >= F.col("_hot"))).withColumn("_support", pos & (v >= F.col("_low")))
     side = F.when(F.col("x") < F.floor(F.col("nx") / 2), "right").otherwise("left")
-    df = largest_component(df, "_raw", "_sides", side)
-    df = fill_holes(vx.closing(df, "_sides", "_joined"), "_joined", "target")
+    df = cut(largest_component(cut(df), "_raw", "_sides", side))
+    df = cut(fill_holes(cut(vx.closing(df, "_sides", "_joined")), "_joined", "target"))
     df = with_shape(by_scan(vx.closing(df.drop("nz", "ny", "nx"), "_support", "_closed", 2)))
     df = df.withColumn("_inner", F.col("_closed") & vx.in_central_ellipsoid())
-    df = largest_component(df.drop("nz", "ny", "nx"), "_inner", "_body")
-    df = fill_holes(vx.closing(df, "_body", "_body2", 2), "_body2", "_brain")
+    df = cut(largest_component(cut(df.drop("nz", "ny", "nx")), "_inner", "_body"))
+    df = cut(fill_holes(cut(vx.closing(df, "_body", "_body2", 2)), "_body2", "_brain"))
     df = vx.dilate(df, "target", "_near", 3)
     n = lambda c: F.sum(F.col(c).cast("int")).over(SCAN)
     df = df.select("*", n("_brain").alias("_nb"), n("target").alias("_nt"))
