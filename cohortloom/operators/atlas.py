@@ -13,7 +13,7 @@ from cohortloom.operators import voxel as vx
 from cohortloom.operators.joins import require
 from cohortloom.operators.order import null_safe, wide_quantiles
 from cohortloom.session import cut
-from cohortloom.operators.voxel import POS, PROXIES, SCAN, by_scan, pct, with_shape
+from cohortloom.operators.voxel import POS, PROXIES, by_scan, pct, whole, with_shape
 
 
 def nonzero(c: Column) -> Column:
@@ -31,17 +31,17 @@ def background_stats(voxels: DataFrame, min_voxels: int = vx.MIN_BACKGROUND_VOXE
     """
     df = with_shape(by_scan(vx.dilate(voxels, "m", "_near", exclusion)))
     v, pos = F.col("v"), F.col("v") > 0
-    n = lambda cond: F.sum(cond.cast("int")).over(SCAN)
+    n = lambda cond: F.sum(cond.cast("int")).over(whole())
     df = df.select("*", (F.col("brain") & pos).alias("_f1"), (vx.in_central_ellipsoid() & pos).alias("_f2"), pos.alias("_f3"))
     df = df.select("*", n(F.col("_f1")).alias("_n1"), n(F.col("_f2")).alias("_n2"))
     fore = F.when(F.col("_n1") >= min_voxels, F.col("_f1")).when(F.col("_n2") >= min_voxels, F.col("_f2")).otherwise(F.col("_f3"))
     df = df.select("*", fore.alias("_fore"), (F.col("background") & pos).alias("_nominal"))
     fv = F.when(F.col("_fore"), v)
     df = df.select(
-        "*", F.percentile(fv, F.array(*[F.lit(p) for p in (0.5, 0.9, 0.99)])).over(SCAN).alias("_fp"), n(F.col("_nominal")).alias("_nn"),
+        "*", F.percentile(fv, F.array(*[F.lit(p) for p in (0.5, 0.9, 0.99)])).over(whole()).alias("_fp"), n(F.col("_nominal")).alias("_nn"),
         n(F.col("background")).alias("_nb"), (F.col("_fore") & ~F.col("_near")).alias("_far"),
     )
-    df = df.select("*", pct(F.when(F.col("_far"), v), 70).over(SCAN).alias("_far70"))
+    df = df.select("*", pct(F.when(F.col("_far"), v), 70).over(whole()).alias("_far70"))
     support = F.col("_nn") / F.greatest(F.col("_nb"), F.lit(1))
     enough = (F.col("_nn") >= min_voxels) & (support >= min_support)
     second = F.col("_far") & (v <= F.col("_far70"))
@@ -56,7 +56,7 @@ def background_stats(voxels: DataFrame, min_voxels: int = vx.MIN_BACKGROUND_VOXE
     )
     df = df.select("*", use.alias("_use"), source.alias("_source"))
     uv = F.when(F.col("_use"), v)
-    df = df.select("*", F.percentile(uv, F.array(F.lit(0.05), F.lit(0.95))).over(SCAN).alias("_t"))
+    df = df.select("*", F.percentile(uv, F.array(F.lit(0.05), F.lit(0.95))).over(whole()).alias("_t"))
     df = df.select("*", (F.col("_use") & (v >= F.col("_t")[0]) & (v <= F.col("_t")[1])).alias("_trim"))
     df = df.select("*", n(F.col("_trim")).alias("_nt"))
     kept = F.when(F.when(F.col("_nt") >= min_trim, F.col("_trim")).otherwise(F.col("_use")), v)
@@ -103,7 +103,7 @@ def uptake_ratio(voxels: DataFrame, background: DataFrame) -> DataFrame:
 def mask_sensitivity(voxels: DataFrame, background: DataFrame, percentiles: Sequence[int] = (70, 80, 90)) -> DataFrame:
     """Range of the binding ratio under thresholds of the target, erosion/dilation by one voxel and one-voxel shifts."""
     df = vx.erode(vx.dilate(voxels, "m", "_wide"), "m", "_thin")
-    df = df.select("*", F.percentile(F.when(F.col("m"), F.col("v")), F.array(*[F.lit(p / 100.0) for p in percentiles])).over(SCAN).alias("_q"))
+    df = df.select("*", F.percentile(F.when(F.col("m"), F.col("v")), F.array(*[F.lit(p / 100.0) for p in percentiles])).over(whole()).alias("_q"))
     v, m = F.col("v"), F.col("m")
     levels = [F.avg(F.when(m & (v >= F.col("_q")[i]), v)).alias(f"t{i}") for i in range(len(percentiles))]
     shapes = [F.avg(F.when(F.col("_thin"), v)).alias("s0"), F.avg(F.when(m, v)).alias("s1"), F.avg(F.when(F.col("_wide"), v)).alias("s2")]
@@ -190,9 +190,9 @@ def template_groups(voxels: DataFrame, members: int) -> DataFrame:
 
 def template_weights(corr: DataFrame, temperature: float = 0.12) -> DataFrame:
     """softmax(corr / temperature) over the few templates of each scan."""
-    w = F.exp((F.col("corr") - F.max("corr").over(SCAN)) / F.lit(temperature))
+    w = F.exp((F.col("corr") - F.max("corr").over(whole())) / F.lit(temperature))
     e = corr.withColumn("_e", w)
-    return e.withColumn("weight", F.col("_e") / F.sum("_e").over(SCAN)).drop("_e")
+    return e.withColumn("weight", F.col("_e") / F.sum("_e").over(whole())).drop("_e")
 
 
 def volume_audit(voxels: DataFrame, shape: tuple[int, int, int], tolerance: float = 5e-3) -> DataFrame:
@@ -233,7 +233,7 @@ def _eight(value: str, prefix: str) -> list[Column]:
 def graph_nodes(voxels: DataFrame, bands: int = 2) -> DataFrame:
     """Twelve nodes (proxy region x axial band) with 21 features each; empty nodes are rows of zeros."""
     s = vx.self_normalize(voxels)
-    s = s.withColumn("_hot", pct(F.when(F.col("m"), F.col("v")), 85).over(SCAN))
+    s = s.withColumn("_hot", pct(F.when(F.col("m"), F.col("v")), 85).over(whole()))
     r = vx.proxy_regions(s).withColumn("band", F.floor(F.col("z") * bands / F.col("nz")).cast("int"))
     w = Window.partitionBy("uid", "region", "band")
     r = r.select("*", *[F.percentile(F.col(c), F.lit(0.5)).over(w).alias(f"_med_{c}") for c in ("v", "s")])
@@ -280,7 +280,7 @@ def auxiliary_targets(voxels: DataFrame, fragmentation: bool = True) -> DataFram
     out = r.select("uid", *PROXIES, (left < right).cast("double").alias("affected_left"), asym.alias("asymmetry"))
     if not fragmentation:
         return out
-    hot = by_scan(voxels).withColumn("_cut", pct(F.when(F.col("m"), F.col("v")), 85).over(SCAN))
+    hot = by_scan(voxels).withColumn("_cut", pct(F.when(F.col("m"), F.col("v")), 85).over(whole()))
     parts = vx.connected_components(hot, F.col("m") & (F.col("v") >= F.col("_cut")))
     return out.join(parts.select("uid", (F.least(F.col("components"), F.lit(12)) / F.lit(12.0)).alias("fragmentation")), "uid")
 
@@ -303,8 +303,8 @@ def core_features(voxels: DataFrame, bins: int = 24, min_n: int = 32, min_positi
     m = F.col("m")
     inside = F.when(m, F.col("v"))
     df = df.select(
-        "*", *[F.avg(F.when(m, F.col(c))).over(SCAN).alias(f"_c{c}") for c in POS], pct(inside, 85).over(SCAN).alias("_hot"),
-        *[F.greatest(F.max(F.when(m, F.col(c))).over(SCAN) - F.min(F.when(m, F.col(c))).over(SCAN), F.lit(1)).alias(f"_s{c}") for c in POS],
+        "*", *[F.avg(F.when(m, F.col(c))).over(whole()).alias(f"_c{c}") for c in POS], pct(inside, 85).over(whole()).alias("_hot"),
+        *[F.greatest(F.max(F.when(m, F.col(c))).over(whole()) - F.min(F.when(m, F.col(c))).over(whole()), F.lit(1)).alias(f"_s{c}") for c in POS],
     )
     df = df.withColumn("_high", m & (F.col("v") >= F.col("_hot")))
     df = vx.closing(df, "_high", "_closed")
@@ -342,7 +342,7 @@ def core_feature_blocks(voxels: DataFrame, spacing: tuple[float, float, float],
     for axis in POS:
         s = vx.mip_summary(r, axis, 32, F.col("m"))
         out = out.join(s.select("uid", *[F.col(c).alias(f"mip_{axis}_{c}") for c in ("mean", "std", "entropy")]), "uid", "left")
-    hot = by_scan(r).withColumn("_hot", F.col("m") & (F.col("v") >= pct(F.when(F.col("m"), F.col("v")), 85).over(SCAN)))
+    hot = by_scan(r).withColumn("_hot", F.col("m") & (F.col("v") >= pct(F.when(F.col("m"), F.col("v")), 85).over(whole())))
     hot = vx.closing(hot, "_hot", "_closed")
     out = out.join(vx.connected_components(hot, F.col("_closed")), "uid", "left")
     shape = vx.shape_features(hot.where("_closed").select("uid", *POS), spacing)
@@ -386,7 +386,7 @@ def consensus_masks(template: DataFrame, percentile: float = 90.0, min_brain: in
     df = with_shape(by_scan(cut(template)))
     v, pos = F.col("v"), F.col("v") > 0
     df = df.select("*", (vx.in_central_box() & pos).alias("_box"))
-    df = df.select("*", pct(F.when(F.col("_box"), v), percentile).over(SCAN).alias("_hot"), pct(F.when(pos, v), 10).over(SCAN).alias("_low"))
+    df = df.select("*", pct(F.when(F.col("_box"), v), percentile).over(whole()).alias("_hot"), pct(F.when(pos, v), 10).over(whole()).alias("_low"))
     df = df.withColumn("_raw", F.col("_box") & (v >= F.col("_hot"))).withColumn("_support", pos & (v >= F.col("_low")))
     side = F.when(F.col("x") < F.floor(F.col("nx") / 2), "right").otherwise("left")
     df = cut(largest_component(cut(df), "_raw", "_sides", side))
@@ -396,11 +396,11 @@ def consensus_masks(template: DataFrame, percentile: float = 90.0, min_brain: in
     df = cut(largest_component(cut(df.drop("nz", "ny", "nx")), "_inner", "_body"))
     df = cut(fill_holes(cut(vx.closing(df, "_body", "_body2", 2)), "_body2", "_brain"))
     df = vx.dilate(df, "target", "_near", 3)
-    n = lambda c: F.sum(F.col(c).cast("int")).over(SCAN)
+    n = lambda c: F.sum(F.col(c).cast("int")).over(whole())
     df = df.select("*", n("_brain").alias("_nb"), n("target").alias("_nt"))
     small = F.col("_nb") < F.greatest(F.lit(min_brain), F.col("_nt") * 2)
     df = df.withColumn("brain", F.when(small, F.col("_closed") & F.col("_box")).otherwise(F.col("_brain")))
-    df = with_shape(df).select("*", pct(F.when(F.col("brain") & pos, v), 70).over(SCAN).alias("_cut"))
+    df = with_shape(df).select("*", pct(F.when(F.col("brain") & pos, v), 70).over(whole()).alias("_cut"))
     band = F.lit(True)
     for c, size, a, b in (("z", "nz", 0.15, 0.85), ("y_", "ny", 0.55, 0.95), ("x", "nx", 0.10, 0.90)):
         band = band & (F.col(c) >= F.floor(F.col(size) * F.lit(a))) & (F.col(c) < F.floor(F.col(size) * F.lit(b)))

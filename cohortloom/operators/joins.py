@@ -20,6 +20,14 @@ def require(df: DataFrame, condition: Column, message: str) -> DataFrame:
     return df.where(F.assert_true(condition, F.lit(message)).isNull())
 
 
+def one_row(*tables: DataFrame) -> DataFrame:
+    """Single-row tables side by side, as a union and one aggregation instead of a cross join."""
+    stacked = tables[0]
+    for t in tables[1:]:
+        stacked = stacked.unionByName(t, allowMissingColumns=True)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
+
+
 def unique_by(df: DataFrame, keys: Sequence[str], what: str = "table") -> DataFrame:
     """The same rows, failing at run time when a key repeats."""
     rest = [c for c in df.columns if c not in keys]

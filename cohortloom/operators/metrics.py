@@ -288,9 +288,13 @@ def promotion_rule(
     others = metrics.where(F.col(variant) != special)
     best = F.min(F.struct(loss, key, valid_loss))
     by_arch = others.groupBy(architecture).agg(best.alias("_b"))
-    overall = others.agg(best.alias("_any")).withColumn("_one", F.lit(1))
-    j = metrics.join(by_arch, architecture, "left").withColumn("_one", F.lit(1)).join(overall, "_one", "left")
-    base = F.coalesce(F.col("_b"), F.col("_any"))
+    overall = others.agg(best.alias("b")).first()["b"]
+    j = metrics.join(by_arch, architecture, "left")
+    if overall is None:
+        base = F.col("_b")
+    else:
+        literal = F.struct(*[F.lit(overall[c]).alias(c) for c in (loss, key, valid_loss)])
+        base = F.coalesce(F.col("_b"), literal.cast(by_arch.schema["_b"].dataType))
     passed = (
         base.isNotNull()
         & F.coalesce(F.col(valid_loss) < base[valid_loss], F.lit(False))

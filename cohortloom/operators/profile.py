@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.functions.scalar import MISSING_CLASS, row_log_loss
-from cohortloom.operators.joins import require
+from cohortloom.operators.joins import one_row, require
 from cohortloom.operators.order import average_rank, exact_quantiles, null_safe, running, value_ranks, wide_quantiles
 
 
@@ -341,8 +341,7 @@ def patient_balance_score(df: DataFrame, fold: str, label: str, group: str, vali
         F.stddev_pop("prevalence").alias("p"), F.stddev_pop("valid_fraction").alias("v")
     )
     pen = family_penalty(df, fold, group, k)
-    joined = s.withColumn("_k", F.lit(1)).join(pen.withColumn("_k", F.lit(1)), "_k")
-    return joined.select((F.lit(3.0) * F.col("p") + F.lit(1.5) * F.col("v") + F.col("penalty")).alias("score"), "penalty")
+    return one_row(s, pen).select((F.lit(3.0) * F.col("p") + F.lit(1.5) * F.col("v") + F.col("penalty")).alias("score"), "penalty")
 
 
 def equal_width_bin(v: Column, lo: Column, hi: Column, bins: int) -> Column:

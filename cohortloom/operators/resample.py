@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.functions.keyed import poisson_weight, uniform
+from cohortloom.operators.joins import one_row
 
 
 def replicates(df: DataFrame, keys: Sequence[str], key: str, total: Column, count: Column, draws: int, seed: int) -> DataFrame:
@@ -42,7 +43,7 @@ def _interval(reps: DataFrame, observed: DataFrame, keys: Sequence[str]) -> Data
     )
     if keys:
         return observed.join(out, list(keys))
-    return observed.withColumn("_one", F.lit(1)).join(out.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    return one_row(observed, out)
 
 
 def bootstrap_mean_ci(df: DataFrame, keys: Sequence[str], key: str, value: str, draws: int = 2000, seed: int = 0) -> DataFrame:

@@ -19,12 +19,17 @@ from cohortloom.functions.scalar import clip
 from cohortloom.operators.profile import equal_width_bin
 
 POS = ["z", "y_", "x"]
-SCAN = Window.partitionBy("uid")
-LINES = {
-    "z": Window.partitionBy("uid", "y_", "x").orderBy("z"),
-    "y_": Window.partitionBy("uid", "z", "x").orderBy("y_"),
-    "x": Window.partitionBy("uid", "z", "y_").orderBy("x"),
-}
+
+
+def whole():
+    """Window over all voxels of a scan."""
+    return Window.partitionBy("uid")
+
+
+def line(axis: str):
+    """Window along one axis of a scan."""
+    return Window.partitionBy("uid", *[c for c in POS if c != axis]).orderBy(axis)
+
 
 # The thirteen half-space directions, region names, percentiles and limits of the feature definitions.
 OFFSETS_13 = (
@@ -58,9 +63,9 @@ def pct(value: Column, p: float) -> Column:
 def with_shape(voxels: DataFrame) -> DataFrame:
     return voxels.select(
         "*",
-        (F.max("z").over(SCAN) + 1).alias("nz"),
-        (F.max("y_").over(SCAN) + 1).alias("ny"),
-        (F.max("x").over(SCAN) + 1).alias("nx"),
+        (F.max("z").over(whole()) + 1).alias("nz"),
+        (F.max("y_").over(whole()) + 1).alias("ny"),
+        (F.max("x").over(whole()) + 1).alias("nx"),
     )
 
 
@@ -90,13 +95,13 @@ def offset_join_masked(voxels: DataFrame, offsets: Sequence[tuple[int, int, int]
 
 def reference_flag() -> Column:
     """Positive voxels, or every finite voxel when a scan has none."""
-    return F.col("v").isNotNull() & ((F.col("v") > 0) | (F.max(F.col("v")).over(SCAN) <= 0))
+    return F.col("v").isNotNull() & ((F.col("v") > 0) | (F.max(F.col("v")).over(whole()) <= 0))
 
 
 def scan_entropy(voxels: DataFrame, bins: int = 64, where: Column | None = None, out: str = "entropy") -> DataFrame:
     """Entropy in bits of the equal-width histogram of each scan."""
     kept = voxels.where(where) if where is not None else voxels
-    b = equal_width_bin(F.col("v"), F.min("v").over(SCAN), F.max("v").over(SCAN), bins)
+    b = equal_width_bin(F.col("v"), F.min("v").over(whole()), F.max("v").over(whole()), bins)
     counts = kept.select("uid", b.alias("_b")).groupBy("uid", "_b").agg(F.count(F.lit(1)).alias("c"))
     n = F.sum("c")
     e = F.greatest(F.log2(n) - F.sum(F.col("c") * F.log2("c")) / n, F.lit(0.0))
@@ -130,7 +135,7 @@ def scan_qc(voxels: DataFrame, spacing: tuple[float, float, float]) -> DataFrame
 def normalize_volume(voxels: DataFrame, lo: float = 1.0, hi: float = 99.5) -> DataFrame:
     """``norm``: percentile min-max of the reference voxels, clipped to [0, 1]."""
     base = by_scan(voxels).select("*", F.when(reference_flag(), F.col("v")).alias("_r"))
-    base = base.select("*", pct(F.col("_r"), lo).over(SCAN).alias("_lo"), pct(F.col("_r"), hi).over(SCAN).alias("_hi"))
+    base = base.select("*", pct(F.col("_r"), lo).over(whole()).alias("_lo"), pct(F.col("_r"), hi).over(whole()).alias("_hi"))
     scale = F.greatest(F.col("_hi") - F.col("_lo"), F.lit(float(np.finfo(np.float32).eps)))
     norm = clip((F.coalesce(F.col("v"), F.col("_lo")) - F.col("_lo")) / scale, 0.0, 1.0)
     return base.select(*voxels.columns, norm.alias("norm"))
@@ -142,7 +147,7 @@ def robust_normalize(voxels: DataFrame, clip_at=(0.5, 99.5), scale_at=(5.0, 95.0
     base = by_scan(voxels).select("*", pos.alias("_p"))
     ps = [clip_at[0], clip_at[1], scale_at[0], 50.0, scale_at[1]]
     base = base.select(
-        "*", F.percentile(F.col("_p"), F.array(*[F.lit(p / 100.0) for p in ps])).over(SCAN).alias("_q"), F.count("_p").over(SCAN).alias("_n")
+        "*", F.percentile(F.col("_p"), F.array(*[F.lit(p / 100.0) for p in ps])).over(whole()).alias("_q"), F.count("_p").over(whole()).alias("_n")
     )
     q = lambda i: F.element_at("_q", i + 1)
     z = (F.greatest(F.least(F.col("v"), q(1)), q(0)) - q(3)) / F.greatest(q(4) - q(2), F.lit(1e-6))
@@ -152,7 +157,7 @@ def robust_normalize(voxels: DataFrame, clip_at=(0.5, 99.5), scale_at=(5.0, 95.0
 
 def adjacent_slice_corr(voxels: DataFrame, value: str = "v") -> DataFrame:
     """Median Pearson correlation of neighbouring z slices; constant slices are skipped."""
-    nxt = F.when(F.lead("z").over(LINES["z"]) == F.col("z") + 1, F.lead(value).over(LINES["z"]))
+    nxt = F.when(F.lead("z").over(line("z")) == F.col("z") + 1, F.lead(value).over(line("z")))
     pairs = by_scan(voxels).select("uid", "z", F.col(value).alias("a"), nxt.alias("b")).where(F.col("b").isNotNull())
     c = pairs.groupBy("uid", "z").agg(F.corr("a", "b").alias("c"), F.stddev_pop("a").alias("sa"), F.stddev_pop("b").alias("sb"))
     kept = F.when((F.col("sa") > 1e-6) & (F.col("sb") > 1e-6), F.col("c"))
@@ -163,7 +168,7 @@ def gradient_magnitude(voxels: DataFrame, spacing: tuple[float, float, float], v
     """Mean central-difference gradient per mm over ``support`` (one-sided at the edges)."""
     parts = []
     for axis, h in zip(POS, spacing):
-        before, after = F.lag(value).over(LINES[axis]), F.lead(value).over(LINES[axis])
+        before, after = F.lag(value).over(line(axis)), F.lead(value).over(line(axis))
         v = F.col(value)
         g = F.when(before.isNull(), (after - v) / h).when(after.isNull(), (v - before) / h).otherwise((after - before) / (2 * h))
         parts.append(F.coalesce(g, F.lit(0.0)).alias(f"_g{axis}"))
@@ -176,7 +181,7 @@ def foreground_weight(voxels: DataFrame) -> DataFrame:
     """``w``: normalised intensity above the median of the reference voxels, else 0."""
     n = normalize_volume(voxels)
     n = n.select("*", reference_flag().alias("_ref"))
-    n = n.select("*", pct(F.when(F.col("_ref"), F.col("v")), 50).over(SCAN).alias("_p50"))
+    n = n.select("*", pct(F.when(F.col("_ref"), F.col("v")), 50).over(whole()).alias("_p50"))
     return n.select(*voxels.columns, "norm", F.when(F.col("v") > F.col("_p50"), F.col("norm")).otherwise(F.lit(0.0)).alias("w"))
 
 
@@ -262,7 +267,7 @@ def l1_distance(voxels: DataFrame, mask: Column, out: str) -> DataFrame:
     far = 1 << 20
     df = by_scan(voxels).withColumn(out, F.when(mask, F.lit(0)).otherwise(F.lit(far)))
     for axis in POS:
-        c, w = F.col(axis), LINES[axis]
+        c, w = F.col(axis), line(axis)
         ahead = F.min(F.col(out) - c).over(w.rowsBetween(Window.unboundedPreceding, 0)) + c
         behind = F.min(F.col(out) + c).over(w.rowsBetween(0, Window.unboundedFollowing)) - c
         df = df.withColumn(out, F.least(ahead, behind))
@@ -366,7 +371,7 @@ def self_normalize(voxels: DataFrame, out: str = "s") -> DataFrame:
     """sqrt(d) x / norm over positive mask voxels, 0 elsewhere; all 0 when the norm vanishes."""
     pos = F.when(F.col("m") & (F.col("v") > 0), F.col("v"))
     df = by_scan(voxels).select("*", pos.alias("_p"))
-    df = df.select("*", F.sqrt(F.sum(F.col("_p") * F.col("_p")).over(SCAN)).alias("_norm"), F.count("_p").over(SCAN).alias("_d"))
+    df = df.select("*", F.sqrt(F.sum(F.col("_p") * F.col("_p")).over(whole())).alias("_norm"), F.count("_p").over(whole()).alias("_d"))
     value = F.sqrt("_d") * F.col("_p") / F.when(F.col("_norm") > 1e-8, F.col("_norm"))
     return df.select(*voxels.columns, F.coalesce(value, F.lit(0.0)).alias(out))
 
@@ -375,7 +380,7 @@ def channels(voxels: DataFrame) -> DataFrame:
     """Three channels per voxel: selfnorm, robust (median and IQR of the mask), rank; long form (channel, c)."""
     df = self_normalize(voxels, "s")
     inside = F.when(F.col("m"), F.col("s"))
-    df = df.select("*", F.percentile(inside, F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75)])).over(SCAN).alias("_q"))
+    df = df.select("*", F.percentile(inside, F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75)])).over(whole()).alias("_q"))
     scale = F.greatest(F.col("_q")[2] - F.col("_q")[0], F.lit(1e-6))
     part, ties = Window.partitionBy("uid", "m"), Window.partitionBy("uid", "m", "s")
     rank = F.rank().over(part.orderBy("s")) + (F.count(F.lit(1)).over(ties) - 1) / F.lit(2.0)
@@ -444,7 +449,7 @@ def threshold_morphology(voxels: DataFrame, percentiles: Sequence[int] = THRESHO
     """Active share, count, surface share, extents and centroid distance per region and threshold of the mask values."""
     s = self_normalize(voxels)
     cuts = F.percentile(F.when(F.col("m"), F.col("s")), F.array(*[F.lit(p / 100.0) for p in percentiles]))
-    s = s.withColumn("_cuts", cuts.over(SCAN))
+    s = s.withColumn("_cuts", cuts.over(whole()))
     r = region_masks(s, core)
     levels = F.array(*[F.struct(F.lit(p).alias("p"), F.col("_cuts")[i].alias("cut")) for i, p in enumerate(percentiles)])
     long = r.select("uid", *POS, "region", "s", F.explode(levels).alias("e")).select("uid", *POS, "region", "s", "e.p", "e.cut")
@@ -480,7 +485,7 @@ def threshold_morphology(voxels: DataFrame, percentiles: Sequence[int] = THRESHO
 def quantize(voxels: DataFrame, levels: int, rounding: str = "rint", eps: float = 1e-8) -> DataFrame:
     """``q``: mask voxels scaled between their 1st and 99th percentile to ``levels`` grey levels."""
     df = by_scan(voxels.where("m"))
-    df = df.select("*", pct(F.col("v"), 1).over(SCAN).alias("_lo"), pct(F.col("v"), 99).over(SCAN).alias("_hi"))
+    df = df.select("*", pct(F.col("v"), 1).over(whole()).alias("_lo"), pct(F.col("v"), 99).over(whole()).alias("_hi"))
     t = clip((F.col("v") - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(eps)), 0.0, 1.0)
     q = F.bround(t * (levels - 1), 0) if rounding == "rint" else F.least(F.floor(t * levels), F.lit(levels - 1))
     return df.select(*voxels.columns, q.cast("int").alias("q"))
@@ -530,7 +535,7 @@ def shape_features(mask: DataFrame, spacing: tuple[float, float, float], min_n:
     df = by_scan(mask)
     faces = []
     for axis, area in zip(POS, (sy * sx, sz * sx, sz * sy)):
-        w = LINES[axis]
+        w = line(axis)
         inner = F.coalesce((F.lag(axis).over(w) == F.col(axis) - 1).cast("int"), F.lit(0))
         faces.append((F.lit(2.0) - F.lit(2.0) * inner) * F.lit(area))
     df = df.select("uid", *POS, sum(faces, F.lit(0.0)).alias("_faces"))
@@ -560,8 +565,8 @@ def canonical_flip(voxels: DataFrame) -> DataFrame:
     """Mirror x so that the weaker putamen is on the right (low x): new ``x``, ``flipped``, ``affected``."""
     df = with_shape(by_scan(voxels))
     inside = F.col("m") & (F.col("y_") >= _half("ny"))
-    right = F.coalesce(F.avg(F.when(inside & (F.col("x") < _half("nx")), F.col("v"))).over(SCAN), F.lit(0.0))
-    left = F.coalesce(F.avg(F.when(inside & (F.col("x") >= _half("nx")), F.col("v"))).over(SCAN), F.lit(0.0))
+    right = F.coalesce(F.avg(F.when(inside & (F.col("x") < _half("nx")), F.col("v"))).over(whole()), F.lit(0.0))
+    left = F.coalesce(F.avg(F.when(inside & (F.col("x") >= _half("nx")), F.col("v"))).over(whole()), F.lit(0.0))
     df = df.select("*", (right > left).alias("flipped"))
     x = F.when(F.col("flipped"), F.col("nx") - 1 - F.col("x")).otherwise(F.col("x"))
     return df.select(
@@ -579,7 +584,7 @@ def gaussian_kernel(sigma: float = 1.0, truncate: float = 4.0) -> list[tuple[int
 def slab_center(voxels: DataFrame) -> DataFrame:
     """(uid, nz, center): first peak of the Gaussian-smoothed (reflecting) number of mask voxels per slice."""
     profile = voxels.groupBy("uid", "z").agg(F.sum(F.col("m").cast("int")).alias("c"))
-    profile = by_scan(profile).withColumn("nz", F.max("z").over(SCAN) + 1)
+    profile = by_scan(profile).withColumn("nz", F.max("z").over(whole()) + 1)
     steps = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(w).alias("w")) for k, w in gaussian_kernel()])
     spread = profile.select("uid", "z", "nz", F.explode(steps).alias("e"))
     r = F.pmod(F.col("z") + F.col("e.k"), F.col("nz") * 2)
@@ -615,13 +620,13 @@ def physical_roi(voxels: DataFrame, spacing: float, radii: tuple[float, float, f
 
     middle = [_half(n) for n in ("nz", "ny", "nx")]
     df = df.select("*", (inside(middle) & (F.col("v") > 0)).alias("_in"))
-    df = df.select("*", pct(F.when(F.col("_in"), F.col("v")), hot).over(SCAN).alias("_cut"))
+    df = df.select("*", pct(F.when(F.col("_in"), F.col("v")), hot).over(whole()).alias("_cut"))
     w = F.when(F.col("_in") & (F.col("v") >= F.col("_cut")), F.col("v"))
     df = df.select("*", w.alias("_w"))
     shift = max_shift / spacing
     moved = []
     for c, m in zip(POS, middle):
-        center = F.sum(F.col("_w") * F.col(c)).over(SCAN) / F.sum("_w").over(SCAN)
+        center = F.sum(F.col("_w") * F.col(c)).over(whole()) / F.sum("_w").over(whole())
         delta = F.greatest(F.least(center - m, F.lit(shift)), F.lit(-shift))
         moved.append(F.coalesce(m + delta, m).alias(f"_c{c}"))
     df = df.select("*", *moved)
@@ -661,8 +666,8 @@ def crop_box(voxels: DataFrame, margin_mm: float, spacing: tuple[float, float, f
     cond, starts = F.lit(True), []
     for c, n, h in zip(POS, ("nz", "ny", "nx"), spacing):
         margin = int(np.ceil(margin_mm / h))
-        lo = F.greatest(F.min(F.when(F.col("m"), F.col(c))).over(SCAN) - margin, F.lit(0))
-        hi = F.least(F.max(F.when(F.col("m"), F.col(c))).over(SCAN) + margin + 1, F.col(n))
+        lo = F.greatest(F.min(F.when(F.col("m"), F.col(c))).over(whole()) - margin, F.lit(0))
+        hi = F.least(F.max(F.when(F.col("m"), F.col(c))).over(whole()) + margin + 1, F.col(n))
         df = df.withColumn(f"start_{c}", lo).withColumn(f"_stop_{c}", hi)
         cond = cond & (F.col(c) >= F.col(f"start_{c}")) & (F.col(c) < F.col(f"_stop_{c}"))
         starts.append(f"start_{c}")

@@ -94,7 +94,7 @@ def _grad_sql(axis, h):
 )
 def _(spark, sf):
     n = vx.normalize_volume(vox(spark, sf)).select("*", vx.reference_flag().alias("_ref"))
-    n = n.select("*", vx.pct(F.when(C("_ref"), C("v")), 5).over(vx.SCAN).alias("p05"))
+    n = n.select("*", vx.pct(F.when(C("_ref"), C("v")), 5).over(vx.whole()).alias("p05"))
     return vx.gradient_magnitude(n, SPACING, "norm", C("v") > C("p05"))
 
 
@@ -133,7 +133,7 @@ def _(spark, sf):
     "fx_voxels",
 )
 def _(spark, sf):
-    v = vx.by_scan(vox(spark, sf)).withColumn("cut", vx.pct(C("v"), 80).over(vx.SCAN))
+    v = vx.by_scan(vox(spark, sf)).withColumn("cut", vx.pct(C("v"), 80).over(vx.whole()))
     return vx.connected_components(v, C("v") > C("cut"))
 
 
@@ -280,7 +280,7 @@ _H = dict(zip(vx.POS, SPACING))
     "fx_voxels",
 )
 def _(spark, sf):
-    v = vx.by_scan(vox(spark, sf)).withColumn("cut", vx.pct(C("v"), 70).over(vx.SCAN))
+    v = vx.by_scan(vox(spark, sf)).withColumn("cut", vx.pct(C("v"), 70).over(vx.whole()))
     return vx.shape_features(v.where(C("v") >= C("cut")), SPACING)
 
 
