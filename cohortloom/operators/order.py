@@ -15,7 +15,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortloom.session import partitions
+from cohortloom.session import cut, partitions
 
 BUCKET = "_cell"
 
@@ -150,11 +150,12 @@ def value_ranks(df: DataFrame, keys: list[str], col: str, sums: dict[str, Column
     """One row per (group, distinct value): ``cnt``, rows ``before`` it, group size ``n``, plus extra ``sums``.
 
     Equal values are merged on the map side first, so a value held by a third of all rows costs one row. NULL values
-    are left out.
+    are left out. The merged table is written once to the shared folder: the sketch and both halves of the scan read
+    it, and the source is read a single time.
     """
     extra = [F.sum(c).alias(k) for k, c in (sums or {}).items()]
-    counts = df.where(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.count(F.lit(1)).alias("cnt"), *extra)
-    splits = split_points(df, col)
+    counts = cut(df.where(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.count(F.lit(1)).alias("cnt"), *extra))
+    splits = split_points(counts, col)
     return running(
         counts, keys, col, {"before": ("before", F.col("cnt")), "n": ("total", F.col("cnt"))}, splits=splits
     )

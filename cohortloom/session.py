@@ -49,9 +49,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared checkpoint folder and continue from there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the rows as Parquet to the shared folder and continue from the written table.
+
+    Lineage ends there, later readers prune columns, and a lost executor costs a re-read. The tables of one application
+    lie in one folder, to be dropped when it has ended.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{spark.sparkContext.applicationId}/cut")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def partitions(spark: SparkSession) -> int:
