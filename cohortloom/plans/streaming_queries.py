@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cohortloom.plans import fixtures as fx
 from cohortloom.registry import query
 from cohortloom.session import scratch_path
-from cohortloom.sources.tables import read_current
+from cohortloom.sources.tables import read_current, read_latest
 from cohortloom.streaming import jobs
 
 C = F.col
@@ -39,7 +39,7 @@ def _decode(batch):
 def _(spark, sf):
     out, bad, cp = (scratch_path(spark, n) for n in ("ingest", "failures", "cp"))
     jobs.ingest_incremental(split_stream(spark, sf, "events", 4, "event_id"), _decode, out, bad, cp, "uid", ["ts", "uid"])
-    return read_current(spark, out)
+    return read_latest(spark, out, ["uid"], ["ts", "uid"])
 
 
 @query(
@@ -52,8 +52,8 @@ def _(spark, sf):
     e = fx.table(spark, sf, "events").select("user_id", "event_id", "ts", "value")
     late, early = e.where(C("event_id") % 2 == 0), e.where(C("event_id") % 2 == 1)
     for batch in (late, early, late):
-        jobs.upsert_latest(batch, path, ["user_id"], ["ts", "event_id"])
-    return read_current(spark, path)
+        jobs.upsert_latest(batch, path, ["user_id"], ["ts", "event_id"], compact_every=2)
+    return read_latest(spark, path, ["user_id"], ["ts", "event_id"])
 
 
 @query(
@@ -158,4 +158,4 @@ def _(spark, sf):
     out = scratch_path(spark, "welford")
     w = jobs.welford(split_stream(spark, sf, "events", 3, "event_id"), "event_type", "value")
     jobs.run_available(w, lambda b, _: jobs.upsert_latest(b, out, ["k"], ["n"]), scratch_path(spark, "cp"), "update")
-    return read_current(spark, out)
+    return read_latest(spark, out, ["k"], ["n"])

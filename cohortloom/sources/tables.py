@@ -12,6 +12,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from cohortloom.functions.scalar import clip_probability, json_map
 from cohortloom.operators.folds import cohort_hash
 from cohortloom.operators.joins import require, unique_by
+from cohortloom.operators.windows import drop_duplicates_keep
 
 
 def read_keyed_table(spark: SparkSession, path: str, key: str, schema: str | StructType | None = None, sep: str = ",") -> DataFrame:
@@ -108,20 +109,28 @@ def read_tolerant(spark: SparkSession, path: str, schema: str, fmt: str = "csv",
 # --- versioned tables --------------------------------------------------------------------------------------------------
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """Finished versions of a table: folders ``v<number>`` that hold the commit marker."""
+def _committed(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders under a table that hold the commit marker."""
     jvm = spark._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(root):
         return []
-    out = []
-    for status in fs.listStatus(root):
-        name = status.getPath().getName()
-        marker = jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-        if name.startswith("v") and name[1:].isdigit() and fs.exists(marker):
-            out.append(int(name[1:]))
-    return sorted(out)
+    entries = [s.getPath() for s in fs.listStatus(root)]
+    return sorted(p.getName() for p in entries if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Finished versions of a table: folders ``v<number>``."""
+    return sorted(int(n[1:]) for n in _committed(spark, path) if n.startswith("v") and n[1:].isdigit())
+
+
+def _deltas(spark: SparkSession, path: str) -> tuple[int, list[int]]:
+    """(base version or -1, numbers of the finished deltas on top of it): folders ``delta-<base>-<number>``."""
+    done = _versions(spark, path)
+    base = done[-1] if done else -1
+    mark = f"delta-{base}-"
+    return base, sorted(int(n[len(mark):]) for n in _committed(spark, path) if n.startswith(mark))
 
 
 def overwrite_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
@@ -140,6 +149,24 @@ def read_current(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(f"{path}/v{done[-1]}") if done else None
 
 
+def append_delta(df: DataFrame, path: str) -> int:
+    """Add rows on top of the current version without rewriting it; returns how many deltas the version has."""
+    base, numbers = _deltas(df.sparkSession, path)
+    df.write.mode("overwrite").parquet(f"{path}/delta-{base}-{(numbers[-1] + 1) if numbers else 0}")
+    return len(numbers) + 1
+
+
+def read_latest(spark: SparkSession, path: str, keys: Sequence[str], order: Sequence[str]) -> DataFrame | None:
+    """Current version and its deltas, last row per key (one map-side aggregate)."""
+    base, numbers = _deltas(spark, path)
+    parts = [spark.read.parquet(f"{path}/v{base}")] if base >= 0 else []
+    parts += [spark.read.parquet(f"{path}/delta-{base}-{n}") for n in numbers]
+    if not parts:
+        return None
+    rows = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+    return drop_duplicates_keep(rows, keys, order, "last").select(*rows.columns)
+
+
 def export_snapshot(tables: dict[str, DataFrame], path: str) -> DataFrame:
     """Every named table under ``path`` and a manifest (table, rows), also written."""
     manifest = None

@@ -14,14 +14,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cohortloom.operators.windows import drop_duplicates_keep
-from cohortloom.sources.tables import overwrite_table, read_current
+from cohortloom.sources.tables import append_delta, overwrite_table, read_current, read_latest
 
 
-def upsert_latest(batch: DataFrame, path: str, keys: Sequence[str], order: Sequence[str]) -> None:
-    """Last row per key over the stored table and the batch, written as a new version; a replay changes nothing."""
-    stored = read_current(batch.sparkSession, path)
-    both = batch if stored is None else stored.unionByName(batch, allowMissingColumns=True)
-    overwrite_table(drop_duplicates_keep(both, keys, order, "last").select(*both.columns), path)
+COMPACT_EVERY = 16
+
+
+def upsert_latest(batch: DataFrame, path: str, keys: Sequence[str], order: Sequence[str], compact_every: int = COMPACT_EVERY) -> None:
+    """Last row per key: the batch is added as a delta, so its cost does not grow with the table; readers merge.
+
+    Every ``compact_every`` deltas the table is rewritten once. A replayed batch changes nothing for readers.
+    """
+    deltas = append_delta(drop_duplicates_keep(batch, keys, order, "last").select(*batch.columns), path)
+    if deltas >= compact_every:
+        overwrite_table(read_latest(batch.sparkSession, path, keys, order), path)
 
 
 def split_failures(rows: DataFrame, key: str, error: str = "error") -> tuple[DataFrame, DataFrame]:

@@ -144,9 +144,10 @@ def test_replayed_batches_change_nothing(spark, tmp_path):
     path = str(tmp_path / "latest")
     batch = spark.createDataFrame([("a", 1, 10), ("b", 1, 20), ("a", 2, 30)], "k string, t int, v int")
     jobs.upsert_latest(batch, path, ["k"], ["t"])
-    once = sorted(tables.read_current(spark, path).collect())
-    jobs.upsert_latest(batch, path, ["k"], ["t"])
-    assert sorted(tables.read_current(spark, path).collect()) == once == [("a", 2, 30), ("b", 1, 20)]
+    once = sorted(tables.read_latest(spark, path, ["k"], ["t"]).collect())
+    jobs.upsert_latest(batch, path, ["k"], ["t"], compact_every=2)
+    assert sorted(tables.read_latest(spark, path, ["k"], ["t"]).collect()) == once == [("a", 2, 30), ("b", 1, 20)]
+    assert tables._versions(spark, path) == [0]
 
 
 def test_ingest_processes_new_files_once_and_clears_failures(spark, tmp_path):
@@ -157,10 +158,10 @@ def test_ingest_processes_new_files_once_and_clears_failures(spark, tmp_path):
     spark.createDataFrame([("a", 1.0), ("b", -1.0)], schema).coalesce(1).write.parquet(src)
     jobs.ingest_incremental(stream(), process, out, bad, cp, "uid", ["v"])
     assert [r["uid"] for r in tables.read_current(spark, bad).collect()] == ["b"]
-    before = tables._versions(spark, out)
+    before = tables._deltas(spark, out)
     jobs.ingest_incremental(stream(), process, out, bad, cp, "uid", ["v"])
-    assert tables._versions(spark, out) == before
+    assert tables._deltas(spark, out) == before
     spark.createDataFrame([("b", 2.0)], schema).coalesce(1).write.mode("append").parquet(src)
     jobs.ingest_incremental(stream(), process, out, bad, cp, "uid", ["v"])
     assert tables.read_current(spark, bad).count() == 0
-    assert {r["uid"] for r in tables.read_current(spark, out).collect()} == {"a", "b"}
+    assert {r["uid"] for r in tables.read_latest(spark, out, ["uid"], ["v"]).collect()} == {"a", "b"}
