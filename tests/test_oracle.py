@@ -12,9 +12,8 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 REGISTRY = load_all()
 WITH_SQL = [n for n, q in REGISTRY.items() if q.sql is not None]
 CORE = (
-    "p01 p05 p11 p12 j01 j02 j04 j06 j08 j13 a01 a03 a07 a08 a10 a12 a15_spearman a18 a20 a21 a23 w01 w02 w03 w08 w16 t04 t05 t07 t10 "
-    "u04 e06_binary_metrics e07_subgroup_audit e09 e11 e13 e15 e21 f01 f03_best f04 f05 m01_fold_impute_scale m03 m06 m09 m20 "
-    "j12 n01 n05 v01 v07 v12 v13_glcm v17 v18 v22 v23 v33_core_features v37 a30 s04 s08 s09 s13 r01 r02 r04 x05 x06"
+    "p05 p11 p12 j01 j04 j06 j08 a01 a03 a08 a10 a18 a21 a23 w01 w02 w03 w08 t05 t07 t10 u04 e06_binary_metrics_large e09 e11 e14 f01 f04 f05 "
+    "m03 m06 m09 j12_nearest_join_copies n01 v07 v13_glcm v17 v18 v22 v23_resample_grid v37 a30 s04 s09 s13 r02 r04 x05"
 ).split()
 CHOSEN = WITH_SQL if os.environ.get("ORACLE_QUERIES") == "all" else [n for n in WITH_SQL if any(n.startswith(c) for c in CORE)]
 
