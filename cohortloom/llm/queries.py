@@ -40,6 +40,13 @@ def _(spark, sf):
     return exact_dedup(documents(spark, sf))
 
 
+@query("op10_secret_scan")
+def _(spark, sf):
+    from cohortloom.llm.secrets import secret_digest
+
+    return secret_digest(documents(spark, sf))
+
+
 def load() -> tuple[dict, dict]:
     """All queries with the pipeline, whose file lies beside the package."""
     pipeline = importlib.import_module("corpus_pipeline")
