@@ -40,6 +40,40 @@ def _(spark, sf):
     return exact_dedup(documents(spark, sf))
 
 
+ALNUM_WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@query(
+    "op2_decontaminate",
+    f"""WITH b AS (SELECT item_id, {ALNUM_WORDS.format(LOWERED)} AS ws FROM benchmark),
+    g AS (
+      SELECT DISTINCT item_id, least(13, len(ws)) AS n, array_to_string(ws[i:i + least(13, len(ws)) - 1], ' ') AS g
+      FROM b, unnest(range(1, greatest(len(ws) - 12, 1) + 1)) AS t(i) WHERE len(ws) > 0),
+    d AS (SELECT doc_id, {ALNUM_WORDS.format(LOWERED)} AS ws FROM documents),
+    h AS (
+      SELECT d.doc_id, i, g.n, g.item_id
+      FROM (SELECT doc_id, ws, i, n FROM d, (SELECT DISTINCT n FROM g) l, unnest(range(1, len(ws) - n + 2)) AS t(i)) d
+      JOIN g ON g.n = d.n AND g.g = array_to_string(d.ws[d.i:d.i + d.n - 1], ' ')),
+    c AS (SELECT doc_id, count(DISTINCT w) AS n_hit FROM h, unnest(range(i, i + n)) AS t(w) GROUP BY doc_id),
+    s AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+      FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
+    SELECT d.doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+      coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+    FROM d LEFT JOIN c USING (doc_id) LEFT JOIN s USING (doc_id)""",
+)
+def _(spark, sf):
+    from cohortloom.llm.decontaminate import decontaminate
+
+    return decontaminate(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
+
+
+@query("op7_source_mix")
+def _(spark, sf):
+    from cohortloom.llm.mixing import mix_sources
+
+    return mix_sources(documents(spark, sf))
+
+
 @query("op10_secret_scan")
 def _(spark, sf):
     from cohortloom.llm.secrets import secret_digest

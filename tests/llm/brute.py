@@ -28,3 +28,23 @@ def secrets(text):
     spans += [(m.start(), 2, "hex", m.end()) for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 32]
     text_spans = ",".join(f"{k}:{s}:{e}" for s, _, k, e in sorted(spans))
     return tuple(sum(x[1] == i for x in spans) for i in range(3)), text_spans
+
+
+def contamination(docs, items):
+    """doc rows (id, text) and item rows (id, text) -> list of (id, n_words, n_hit, item ids as sorted text)."""
+    windows = []
+    for item, text in items:
+        w = alnum_words(text)
+        n = min(13, len(w))
+        windows += [(item, tuple(w[i : i + n])) for i in range(len(w) - n + 1) if n]
+    out = []
+    for doc, text in docs:
+        w = alnum_words(text)
+        hit, found = set(), set()
+        for item, g in windows:
+            for i in range(len(w) - len(g) + 1):
+                if tuple(w[i : i + len(g)]) == g:
+                    hit |= set(range(i, i + len(g)))
+                    found.add(str(item))
+        out.append((doc, len(w), len(hit), ",".join(sorted(found))))
+    return out
