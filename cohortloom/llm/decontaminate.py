@@ -2,7 +2,8 @@
 
 Every text keeps, of each run of ``WINDOW`` consecutive word k-grams, those with the smallest hash. Two texts that share
 ``SPAN`` = ``K`` + ``WINDOW`` - 1 words share a kept fingerprint, so the join of training and benchmark fingerprints
-misses no shared span of that length. Each hit is extended word by word in both directions, which also verifies it.
+misses no shared span of that length. Each hit is extended word by word (by 64-bit word hashes) in both
+directions, which also verifies it.
 Benchmark items shorter than a span are looked up whole by a fingerprint of their own length.
 """
 
@@ -17,99 +18,110 @@ from cohortloom.session import cut
 SPAN = 13
 K = 7
 WINDOW = SPAN - K + 1
+REACH = SPAN - K
 #: Benchmark fingerprints are broadcast up to this many rows (counted first); beyond it both sides are shuffled.
 BROADCAST_FINGERPRINTS = 100_000
 
 #: The same words before lower-casing, for counting.
 ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-POSTINGS = "array<struct<size:int,hash:bigint,at:int>>"
+POSTINGS = "array<struct<size:int,hash:bigint,at:int,near:array<bigint>>>"
 
 
-def word_array(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text.cast("string"), F.lit(""))), F.lit(ALNUM_WORD), F.lit(0))
+def word_hashes(text: Column) -> Column:
+    """64-bit hash of each word. Words are compared by it: a shared span needs 13 equal hashes in a row."""
+    words = F.regexp_extract_all(ascii_lower(F.coalesce(text.cast("string"), F.lit(""))), F.lit(ALNUM_WORD), F.lit(0))
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def fingerprints(df: DataFrame, words: str, short: list[int], out: str) -> DataFrame:
-    """Add ``out``: array of (size, hash, at), the winnowed k-grams, and all n-grams for each n in ``short``; at counts
-    words from 0. Of equal hashes in a window all are kept, so that repeats stay aligned in both texts."""
+def around(words: str, at: Column) -> Column:
+    """The words from REACH before ``at`` (fewer at the start of the text) to SPAN from it on."""
+    lead = F.least(at, F.lit(REACH))
+    return F.slice(words, at - lead + 1, lead + SPAN)
+
+
+def fingerprints(df: DataFrame, words: str, short: list[int], out: str, context: bool) -> DataFrame:
+    """Add ``out``: array of (size, hash, at, near), the winnowed k-grams, and all n-grams for each n in ``short``; at
+    counts words from 0, near holds the words around it if ``context``. Of equal hashes in a window all are kept, so that
+    repeats stay aligned in both texts."""
     n = F.size(words)
+    none = F.array().cast("array<bigint>")
+
+    def posting(size: int, gram_hash: Column, at: Column) -> Column:
+        near = around(words, at) if context else none
+        return F.struct(F.lit(size).alias("size"), gram_hash.alias("hash"), at.alias("at"), near.alias("near"))
+
     grams = F.when(n >= K, F.transform(F.sequence(F.lit(1), n - K + 1), lambda i: F.xxhash64(F.slice(words, i, K))))
-    df = df.withColumn("__h", F.coalesce(grams, F.array().cast("array<bigint>")))
+    df = df.withColumn("__h", F.coalesce(grams, none))
     m = F.size("__h") - WINDOW + 1
     lows = F.when(m >= 1, F.transform(F.sequence(F.lit(1), m), lambda i: F.array_min(F.slice("__h", i, WINDOW))))
-    df = df.withColumn("__low", F.coalesce(lows, F.array().cast("array<bigint>")))
+    df = df.withColumn("__low", F.coalesce(lows, none))
     # A k-gram is the least of some window around it when it is no larger than the largest of their minima.
-    around = lambda i: F.slice("__low", F.greatest(i - WINDOW + 2, F.lit(1)), F.least(i + 1, F.lit(WINDOW)))
-    kept = F.transform(
-        "__h", lambda h, i: F.when(h <= F.array_max(around(i)), F.struct(F.lit(K).alias("size"), h.alias("hash"), i.alias("at")))
-    )
+    minima = lambda i: F.slice("__low", F.greatest(i - WINDOW + 2, F.lit(1)), F.least(i + 1, F.lit(WINDOW)))
+    kept = F.filter(F.transform("__h", lambda h, i: F.when(h <= F.array_max(minima(i)), posting(K, h, i))), lambda s: s.isNotNull())
     # The size test makes the optimiser see two uses of the minima; with one it would move them into the lambda.
-    parts = [F.when(F.size("__low") > 0, F.filter(kept, lambda s: s.isNotNull())).otherwise(F.array().cast(POSTINGS))]
-    parts += [_whole_grams(words, size) for size in short]
-    return df.withColumn(out, F.concat(*parts) if len(parts) > 1 else parts[0]).drop("__h", "__low")
+    parts = [F.when(F.size("__low") > 0, kept).otherwise(F.array().cast(POSTINGS))]
 
+    def whole(size: int) -> Column:
+        """All n-grams of ``size`` words; their size is negative, to tell them from winnowed k-grams."""
+        some = F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: posting(-size, F.xxhash64(F.slice(words, i, size)), i - 1))
+        return F.when(n >= size, some).otherwise(F.array().cast(POSTINGS))
 
-def _whole_grams(words: str, size: int) -> Column:
-    """All n-grams of ``size`` words as postings; the size is negative, to tell them from winnowed k-grams."""
-    gram = lambda i: F.struct(F.lit(-size).alias("size"), F.xxhash64(F.slice(words, i, size)).alias("hash"), (i - 1).alias("at"))
-    starts = F.sequence(F.lit(1), F.size(words) - size + 1)
-    return F.when(F.size(words) >= size, F.transform(starts, gram)).otherwise(F.array().cast(POSTINGS))
+    parts += [whole(size) for size in short]
+    return df.withColumn(out, F.concat(*parts) if len(parts) > 1 else parts[0]).drop("__h", "__low")
 
 
 def benchmark_index(benchmark: DataFrame, key: str, text: str) -> tuple[DataFrame, list[int]]:
-    """Fingerprint rows (size, hash, at, item, item_words) of the benchmark, and the lengths of its short items."""
-    items = cut(benchmark.select(F.col(key).alias("item"), word_array(F.col(text)).alias("item_words")).filter(F.size("item_words") > 0))
+    """Fingerprint rows (size, hash, item, item_at, item_near) of the benchmark, and the lengths of its short items."""
+    items = cut(benchmark.select(F.col(key).alias("item"), word_hashes(F.col(text)).alias("words")).filter(F.size("words") > 0))
     # At most SPAN - 1 values.
-    short = sorted(r["n"] for r in items.filter(F.size("item_words") < SPAN).select(F.size("item_words").alias("n")).distinct().collect())
-    long = fingerprints(items.filter(F.size("item_words") >= SPAN), "item_words", [], "f").select(
-        "item", "item_words", F.explode_outer("f").alias("f")
-    )
-    whole = items.filter(F.size("item_words") < SPAN).select(
-        "item",
-        "item_words",
-        F.struct((-F.size("item_words")).alias("size"), F.xxhash64("item_words").alias("hash"), F.lit(0).alias("at")).alias("f"),
+    short = sorted(r["n"] for r in items.filter(F.size("words") < SPAN).select(F.size("words").alias("n")).distinct().collect())
+    long = fingerprints(items.filter(F.size("words") >= SPAN), "words", [], "f", True).select("item", F.explode_outer("f").alias("f"))
+    first = F.struct(
+        (-F.size("words")).alias("size"), F.xxhash64("words").alias("hash"), F.lit(0).alias("at"), F.col("words").alias("near")
     )
-    rows = long.unionByName(whole).select("item", "item_words", "f.size", "f.hash", F.col("f.at").alias("item_at"))
-    return cut(rows), short
+    whole = items.filter(F.size("words") < SPAN).select("item", first.alias("f"))
+    rows = long.unionByName(whole)
+    return cut(rows.select("item", "f.size", "f.hash", F.col("f.at").alias("item_at"), F.col("f.near").alias("item_near"))), short
+
 
+def _run(start: int, step: int, most: int) -> Column:
+    """How many words agree in one direction, ``most`` at most, from ``start`` words after the fingerprint's first on."""
+    lead, item_lead = F.least("at", F.lit(REACH)), F.least("item_at", F.lit(REACH))
+
+    def differs(j: Column) -> Column:
+        equal = F.get("near", lead + start + j * step) == F.get("item_near", item_lead + start + j * step)
+        return ~F.coalesce(equal, F.lit(False))
 
-def _run(words: str, at: Column, item_at: Column, step: int, most: int) -> Column:
-    """How many words agree from (at, item_at) on in one direction, ``most`` at most."""
-    differs = lambda j: ~F.coalesce(F.get(words, at + j * step) == F.get("item_words", item_at + j * step), F.lit(False))
     first = F.array_position(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), differs), True)
     return F.when(first == 0, F.lit(most)).otherwise(first - 1).cast("int")
 
 
-def extended(hits: DataFrame, words: str) -> DataFrame:
-    """Verify and extend hits (columns at, item_at, size, ``words``, item_words): adds first and last (exclusive) word.
+def extended(hits: DataFrame) -> DataFrame:
+    """Verify and extend hits (columns size, at, near, item_at, item_near): adds first and last (exclusive) word.
 
-    A hit of size -n is a whole short item. A fingerprint lies within SPAN - K words of the ends of a shared span it
+    A hit of size -n is a whole short item. A fingerprint lies within REACH words of the ends of a shared span it
     belongs to, so the extension needs to look no further; the spans of neighbouring hits overlap and unite."""
-    at, item_at, size = F.col("at"), F.col("item_at"), F.abs("size")
-    left = _run(words, at - 1, item_at - 1, -1, SPAN - K)
-    right = _run(words, at, item_at, 1, SPAN)
-    hits = hits.withColumn("__right", right).withColumn("__left", F.when(F.col("size") > 0, left).otherwise(F.lit(0)))
-    is_span = F.when(F.col("size") > 0, (F.col("__right") >= K) & (F.col("__left") + F.col("__right") >= SPAN)).otherwise(F.col("__right") >= size)
-    hits = hits.filter(is_span)
-    last = F.when(F.col("size") > 0, at + F.col("__right")).otherwise(at + size)
-    return hits.withColumn("first", at - F.col("__left")).withColumn("last", last).drop("__left", "__right")
+    winnowed = F.col("size") > 0
+    hits = hits.withColumn("__right", _run(0, 1, SPAN)).withColumn("__left", F.when(winnowed, _run(-1, -1, REACH)).otherwise(F.lit(0)))
+    is_span = F.when(winnowed, (F.col("__right") >= K) & (F.col("__left") + F.col("__right") >= SPAN)).otherwise(F.col("__right") >= -F.col("size"))
+    last = F.col("at") + F.when(winnowed, F.col("__right")).otherwise(-F.col("size"))
+    return hits.filter(is_span).withColumn("first", F.col("at") - F.col("__left")).withColumn("last", last)
 
 
 def contaminated_spans(docs: DataFrame, index: DataFrame, short: list[int]) -> DataFrame:
     """Rows (key, text_hash, item, first, last) of verified shared spans. ``docs`` holds key, text_hash and words."""
-    # explode_outer: for explode the optimiser adds a test of the array's size, and moves its making into that filter.
-    marked = fingerprints(docs, "words", short, "f")
     small = index.count() <= BROADCAST_FINGERPRINTS
-    on = ["size", "hash"]
+    # explode_outer: for explode the optimiser adds a test of the array's size, and moves its making into that filter.
+    marked = fingerprints(docs, "words", short, "f", context=small).select("key", "text_hash", F.explode_outer("f").alias("f"))
     if small:
-        # The words ride along from the generated fingerprint to the extension inside one stage.
-        rows = marked.select("key", "text_hash", "words", F.explode_outer("f").alias("f")).select("key", "text_hash", "words", "f.size", "f.hash", "f.at")
-        hits = rows.join(F.broadcast(index), on)
+        # The words around a fingerprint go with it to the join in the same stage; nothing is shuffled but hits.
+        hits = marked.select("key", "text_hash", "f.size", "f.hash", "f.at", "f.near").join(F.broadcast(index), ["size", "hash"])
     else:
-        rows = marked.select("key", "text_hash", F.explode_outer("f").alias("f")).select("key", "text_hash", "f.size", "f.hash", "f.at")
+        narrow = marked.select("key", "text_hash", "f.size", "f.hash", "f.at").join(index, ["size", "hash"])
         texts = docs.dropDuplicates(["key", "text_hash"]).select(F.col("key").alias("k"), F.col("text_hash").alias("t"), "words")
-        hits = rows.join(index, on).join(texts, F.col("k").eqNullSafe(F.col("key")) & (F.col("t") == F.col("text_hash")))
-    return extended(hits, "words").select("key", "text_hash", "item", "first", "last")
+        hits = narrow.join(texts, F.col("k").eqNullSafe(F.col("key")) & (F.col("t") == F.col("text_hash")))
+        hits = hits.withColumn("near", around("words", F.col("at")))
+    return extended(hits).select("key", "text_hash", "item", "first", "last")
 
 
 def decontaminate(
@@ -125,7 +137,7 @@ def decontaminate(
     index, short = benchmark_index(benchmark, item_key, item_text)
     source = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("body")).withColumn("text_hash", F.xxhash64("body"))
     # Written once: two groupings read it, and it holds hits only.
-    spans = cut(contaminated_spans(source.withColumn("words", word_array(F.col("body"))).drop("body"), index, short))
+    spans = cut(contaminated_spans(source.withColumn("words", word_hashes(F.col("body"))).drop("body"), index, short))
     # Words are counted once however many items and fingerprints cover them; both groupings combine on the map side.
     covered = spans.select("key", "text_hash", F.explode(F.sequence(F.col("first"), F.col("last") - 1)).alias("w")).distinct()
     hit = covered.groupBy("key", "text_hash").agg(F.count(F.lit(1)).alias("n_hit"))

@@ -6,6 +6,7 @@ import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -67,6 +68,22 @@ def _(spark, sf):
     return decontaminate(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
 
 
+@query("op4_toxic_passages")
+def _(spark, sf):
+    from cohortloom.llm.labelled import held_out
+    from cohortloom.llm.toxicity import score_toxicity
+
+    scored = score_toxicity(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
+    return scored.select(
+        "doc_id",
+        held_out(F.col("doc_id"), 4, 2).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+        "n_tokens",
+        F.size("passages").alias("n_passages"),
+    )
+
+
 @query("op7_source_mix")
 def _(spark, sf):
     from cohortloom.llm.mixing import mix_sources
