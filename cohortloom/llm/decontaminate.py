@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.llm.text import ALNUM_WORD, ascii_lower
+from cohortloom.llm.text import ALNUM_WORD, ANY_CASE_WORD, ascii_lower
 from cohortloom.session import cut
 
 SPAN = 13
@@ -22,8 +22,6 @@ REACH = SPAN - K
 #: Benchmark fingerprints are broadcast up to this many rows (counted first); beyond it both sides are shuffled.
 BROADCAST_FINGERPRINTS = 100_000
 
-#: The same words before lower-casing, for counting.
-ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 POSTINGS = "array<struct<size:int,hash:bigint,at:int,near:array<bigint>>>"
 
 

@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
-#: Words of letters and digits; every byte outside ASCII is part of a word.
-ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Words of letters and digits after lower-casing A-Z; every character outside ASCII is part of a word. Stated as what a
+#: word holds: Java matches a negated class of several ranges about ten times slower.
+ALNUM_WORD = r"[0-9a-z\x{80}-\x{10FFFF}]+"
+#: The same words before lower-casing, for counting.
+ANY_CASE_WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 
 
 def ascii_lower(col: Column) -> Column:
