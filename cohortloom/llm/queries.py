@@ -91,6 +91,13 @@ def _(spark, sf):
     return mix_sources(documents(spark, sf))
 
 
+@query("op9_license_scan")
+def _(spark, sf):
+    from cohortloom.llm.licenses import license_digest
+
+    return license_digest(documents(spark, sf))
+
+
 @query("op10_secret_scan")
 def _(spark, sf):
     from cohortloom.llm.secrets import secret_digest
