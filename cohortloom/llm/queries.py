@@ -68,6 +68,16 @@ def _(spark, sf):
     return decontaminate(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
 
 
+@query("op1_quality_classifier")
+def _(spark, sf):
+    from cohortloom.llm.labelled import held_out
+    from cohortloom.llm.quality import score_quality
+
+    score = F.col("quality_score")
+    scored = score_quality(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
+    return scored.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
+
+
 @query("op4_toxic_passages")
 def _(spark, sf):
     from cohortloom.llm.labelled import held_out
