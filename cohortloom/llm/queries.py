@@ -94,6 +94,13 @@ def _(spark, sf):
     )
 
 
+@query("op6_html_text")
+def _(spark, sf):
+    from cohortloom.llm.html import extract_text
+
+    return extract_text(spark.read.parquet(f"{sf}/pages.parquet"))
+
+
 @query("op7_source_mix")
 def _(spark, sf):
     from cohortloom.llm.mixing import mix_sources
