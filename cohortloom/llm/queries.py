@@ -78,6 +78,25 @@ def _(spark, sf):
     return scored.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
 
 
+@query(
+    "op3_jaccard_join",
+    f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWERED}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+    s AS (
+      SELECT DISTINCT doc_id, array_to_string(ws[i:i + least(5, len(ws)) - 1], ' ') AS g
+      FROM w, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS t(i) WHERE len(ws) > 0),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+    l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+    r AS (SELECT a AS doc_id, a AS reached FROM l UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.reached)
+    SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(least(w.doc_id, m.low), w.doc_id) AS component_id
+    FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(reached) AS low FROM r GROUP BY doc_id) m USING (doc_id)""",
+)
+def _(spark, sf):
+    from cohortloom.llm.jaccard import jaccard_components
+
+    return jaccard_components(documents(spark, sf))
+
+
 @query("op4_toxic_passages")
 def _(spark, sf):
     from cohortloom.llm.labelled import held_out
