@@ -129,14 +129,17 @@ def _(spark, sf):
 
 @query(
     "op8_suffix_dedup",
+    # Texts are cut into blocks first: DuckDB copies the whole string for every position taken from it.
     """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-    w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS g FROM d, unnest(range(0, len(h) // 2 - 49)) AS t(i)),
+    c AS (SELECT doc_id, len(h) // 2 AS n, 500 * b AS o, substr(h, 1000 * b + 1, 1098) AS s FROM d, unnest(range(0, len(h) // 1000 + 1)) AS t(b)),
+    w AS (SELECT doc_id, o + i AS i, substr(s, 2 * i + 1, 100) AS g FROM c, unnest(range(0, 500)) AS t(i) WHERE o + i + 50 <= n),
     m AS (SELECT g, min(doc_id) AS low FROM w GROUP BY g),
     b AS (SELECT DISTINCT w.doc_id, w.i + j AS p FROM w JOIN m USING (g), unnest(range(0, 50)) AS t(j) WHERE m.low < w.doc_id),
     n AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (WHERE before IS NULL OR before < p - 1) AS n_spans
       FROM (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM b) GROUP BY doc_id),
-    k AS (SELECT doc_id, string_agg(substr(h, 2 * p + 1, 2), '' ORDER BY p) AS rest
-      FROM (SELECT doc_id, h, p FROM d, unnest(range(0, len(h) // 2)) AS t(p)) ANTI JOIN b USING (doc_id, p) GROUP BY doc_id)
+    k AS (SELECT doc_id, string_agg(x, '' ORDER BY p) AS rest
+      FROM (SELECT doc_id, o + i AS p, substr(s, 2 * i + 1, 2) AS x FROM c, unnest(range(0, 500)) AS t(i) WHERE o + i < n)
+      ANTI JOIN b USING (doc_id, p) GROUP BY doc_id)
     SELECT d.doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
       sha256(unhex(coalesce(rest, ''))) AS kept_sha256
     FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)""",
