@@ -1,12 +1,73 @@
-"""A training-data pipeline: STAGES are applied in order, each to the table that its predecessor wrote."""
+"""A training-data pipeline: STAGES are applied in order, each to the table that its predecessor wrote.
+
+Each stage takes (spark, docs, sf_dir) and calls one operator; all but the last return the columns of ``docs``. Rows that
+agree in doc_id and text are one document; a null doc_id passes every stage that compares documents. An empty table
+passes all stages. Extra columns pass through, whatever their names.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from cohortloom.llm.decontaminate import decontaminate
+from cohortloom.llm.exact import exact_dedup
+from cohortloom.llm.jaccard import jaccard_components
+from cohortloom.llm.mixing import mix_sources
+from cohortloom.llm.quality import score_quality
 from cohortloom.session import cut
 
-STAGES: list = []
+
+def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows whose doc_id isn't in ``dropped``; Spark broadcasts the ids where it has measured them to be few."""
+    ids = dropped.select(F.col("doc_id").alias("__dropped")).distinct()
+    return docs.join(ids, F.col("doc_id") == F.col("__dropped"), "left_anti")
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the classifier rejects (score below one half)."""
+    kept = [c for c in docs.columns if c != "quality_score"]
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = score_quality(docs.select(*[F.col(f"`{c}`") for c in kept]), labels, keep=kept)
+    return scored.filter(F.col("quality_score") >= 0.5).drop("quality_score")
+
+
+def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are equal after lower-casing A-Z, the row with the largest doc_id stays."""
+    return exact_dedup(docs, carry=True)
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies, the document with the smallest doc_id stays."""
+    return _without(docs, jaccard_components(docs).filter(F.col("doc_id") != F.col("component_id")))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents of whose words one in twenty or more lies in a benchmark passage."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _without(docs, decontaminate(docs, benchmark).filter("contaminated"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixture: a row per draw with the document's columns, and mix_weight, mix_epoch, mix_block and mix_position."""
+    rows = docs.withColumn("__row", F.struct("doc_id", F.xxhash64("text")))
+    draws = mix_sources(rows, key="__row").select(
+        F.col("__row").alias("__draw"),
+        F.col("weight").alias("mix_weight"),
+        F.col("epoch").alias("mix_epoch"),
+        F.col("block").alias("mix_block"),
+        F.col("position").alias("mix_position"),
+    )
+    return rows.join(draws, F.col("__row") == F.col("__draw")).drop("__row", "__draw")
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("exact dedup", keep_one_copy),
+    ("n-gram Jaccard join", keep_one_of_near_copies),
+    ("benchmark decontamination", drop_contaminated),
+    ("mixing sources", mix),
+]
 
 #: The first stage is a trained classifier, which SQL can't express.
 ORACLE_SQL = None
