@@ -29,9 +29,9 @@ from cohortloom.session import cut
 
 SPAN, K = 50, 16
 REACH = SPAN - K
-PIECE = 1 << 22
+PIECE = 1 << 19
 #: Anchors that a task gathers before it tells their grams.
-GATHERED = 1 << 22
+GATHERED = 1 << 20
 #: Bits of the map of shared grams, documents from which a gram counts as frequent, and frequent grams at most.
 MAP_BITS, FREQUENT_FROM, FREQUENT = 25, 512, 1 << 16
 #: Suffixes of a merge, about; rows of windows that are compared at once.
@@ -141,19 +141,21 @@ def encode_run(suffixes: list[bytes], befores: list[bytes], mask: np.ndarray, ke
     records["size"] = [len(suffixes[i]) for i in order]
     records["before"] = [len(befores[i]) for i in order]
     records["mask"], records["key"], records["tag"], records["at"] = mask[order], key[order], tag[order], at[order]
-    return len(order).to_bytes(4, "little") + records.tobytes() + b"".join(rests) + b"".join(befores[i] for i in order)
+    body = records.tobytes() + b"".join(rests) + b"".join(befores[i] for i in order)
+    return len(order).to_bytes(4, "little") + len(body).to_bytes(4, "little") + pa.compress(body, "zstd", asbytes=True)
 
 
 class Run:
     """A front-coded run that is read from its start."""
 
     def __init__(self, blob: bytes):
-        n = int.from_bytes(blob[:4], "little")
-        self.records = np.frombuffer(blob, RECORD, n, 4)
+        n, size = int.from_bytes(blob[:4], "little"), int.from_bytes(blob[4:8], "little")
+        blob = pa.decompress(blob[8:], size, "zstd", asbytes=True)
+        self.records = np.frombuffer(blob, RECORD, n)
         self.shared, self.size = self.records["shared"].tolist(), self.records["size"].tolist()
         self.before, self.key = self.records["before"].tolist(), self.records["key"].tolist()
         self.blob, self.next = blob, 0
-        self.rest = 4 + n * RECORD.itemsize
+        self.rest = n * RECORD.itemsize
         self.left = self.rest + sum(self.size) - sum(self.shared)
         self.suffix: bytes | None = b""
         self.context = b""
