@@ -32,9 +32,9 @@ SHINGLE = 5
 #: Bands up to this size (a power of two) are indexed with deletions.
 SMALL_SET = 16
 #: Segments beyond those kept, as a share of them.
-SPARE = 0.25
-#: Frequent shingles that the cost order knows, at most; least repeats in one piece of a batch to be considered.
-FREQUENT, REPEATS = 1 << 15, 8
+SPARE = 0.5
+#: Frequent shingles that the cost order knows, at most; least repeats among GATHERED shingles of a task to be considered.
+FREQUENT, REPEATS, GATHERED = 1 << 17, 5, 1 << 20
 #: Bits of the map that keeps sets of unpaired classes from being shuffled. It saves work and decides nothing.
 MAP_BITS = 22
 
@@ -100,37 +100,69 @@ def signatures(values: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
 
 
+def histogram(values: np.ndarray) -> bytes:
+    """How many shingles fall into each of a power of two of buckets, about half as many as there are (255 at most)."""
+    bits = max(len(values) - 1, 1).bit_length() - 1
+    counts = np.bincount((values >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(values), np.int64), minlength=1 << bits)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def plausible(x: bytes, y: bytes, n: int, m: int) -> bool:
+    """Whether sets of ``n`` and ``m`` shingles with these histograms can be similar enough: the histograms differ in no
+    more places than the sets do. Of the longer one neighbouring buckets are added up first."""
+    a, b = np.frombuffer(x, np.uint8).astype(np.int32), np.frombuffer(y, np.uint8).astype(np.int32)
+    if max(a.max(), b.max()) == 255:
+        return True
+    if len(a) > len(b):
+        a = a.reshape(len(b), -1).sum(axis=1)
+    elif len(b) > len(a):
+        b = b.reshape(len(a), -1).sum(axis=1)
+    return 7 * int(np.abs(a - b).sum()) <= n + m
+
+
 def describe(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows (key, n, class) of all texts, and rows (frequent, times) of shingles that repeat within a piece of a batch."""
+    """Rows (key, n, class, histogram) of all texts, the histogram once per class and task, and rows (frequent, times) of
+    shingles that repeat within a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        gathered: list[np.ndarray] = []
+        n_gathered = 0
+
+        def often(keys: pa.DataType) -> pa.RecordBatch:
+            shingle, times = np.unique(np.concatenate(gathered), return_counts=True)
+            shingle, times = shingle[times >= REPEATS], times[times >= REPEATS]
+            k = len(shingle)
+            none = pa.nulls(k, pa.int64())
+            columns = [pa.nulls(k, keys), none, none, pa.nulls(k, pa.binary()), pa.array(shingle.view(np.int64)), pa.array(times)]
+            return pa.RecordBatch.from_arrays(columns, names=NAMES)
+
+        kind = None
         for batch in batches:
             keys = batch.column("key")
+            kind = keys.type
             for chunk in chunks(batch.column("text")):
                 sets = shingle_sets(chunk)
                 ids = [class_of(v) for v in sets]
-                fresh = [v for v, c in zip(sets, ids, strict=True) if not (c in seen or seen.add(c))]
+                fresh = [len(v) > 0 and not (c in seen or seen.add(c)) for v, c in zip(sets, ids, strict=True)]
                 n = chunk.rows
                 none = pa.nulls(n, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [keys.slice(chunk.first, n), pa.array([len(v) for v in sets], pa.int64()), pa.array(ids, pa.int64()), none, none], names=NAMES
-                )
-                if fresh:
-                    shingle, times = np.unique(np.concatenate(fresh), return_counts=True)
-                    often = times >= REPEATS
-                    if often.any():
-                        k = int(often.sum())
-                        none = pa.nulls(k, pa.int64())
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.nulls(k, keys.type), none, none, pa.array(shingle[often].view(np.int64)), pa.array(times[often])], names=NAMES
-                        )
+                shapes = pa.array([histogram(v) if f else None for v, f in zip(sets, fresh, strict=True)], pa.binary())
+                columns = [keys.slice(chunk.first, n), pa.array([len(v) for v in sets], pa.int64()), pa.array(ids, pa.int64()), shapes, none, none]
+                yield pa.RecordBatch.from_arrays(columns, names=NAMES)
+                gathered += [v for v, f in zip(sets, fresh, strict=True) if f]
+                n_gathered += sum(len(v) for v, f in zip(sets, fresh, strict=True) if f)
+                if n_gathered >= GATHERED:
+                    yield often(kind)
+                    gathered, n_gathered = [], 0
+        if gathered:
+            yield often(kind)
 
     kind = docs.schema[key].dataType.simpleString()
-    return _texts(docs, key, text).mapInArrow(run, f"key {kind}, n long, class long, frequent long, times long")
+    return _texts(docs, key, text).mapInArrow(run, f"key {kind}, n long, class long, histogram binary, frequent long, times long")
 
 
-NAMES = ["key", "n", "class", "frequent", "times"]
+NAMES = ["key", "n", "class", "histogram", "frequent", "times"]
 
 
 def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -191,29 +223,37 @@ def sets_of(texts: DataFrame, members: DataFrame) -> DataFrame:
     return rows.groupBy("class").agg(F.first("shingles").alias("shingles"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
+def filtered(pairs: DataFrame, sides: DataFrame, columns: list[str], test) -> DataFrame:
+    """The pairs (a, b) whose ``columns`` of ``sides`` (one row per class) pass ``test``(values of a, values of b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                few, many = (x, y) if len(x) < len(y) else (y, x)
-                if 100 * len(few) < 75 * len(many):
-                    ok.append(False)
-                    continue
-                at = np.minimum(np.searchsorted(many, few), len(many) - 1)
-                both = int((many[at] == few).sum())
-                ok.append(100 * both >= 75 * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    x = sets.select(F.col("class").alias("a"), F.col("shingles").alias("x"))
-    y = sets.select(F.col("class").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
-def class_links(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
+            left = zip(*[batch.column(f"x_{c}").to_pylist() for c in columns], strict=True)
+            right = zip(*[batch.column(f"y_{c}").to_pylist() for c in columns], strict=True)
+            ok = pa.array([test(x, y) for x, y in zip(left, right, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(ok)
+
+    x = sides.select(F.col("class").alias("a"), *[F.col(c).alias(f"x_{c}") for c in columns])
+    y = sides.select(F.col("class").alias("b"), *[F.col(c).alias(f"y_{c}") for c in columns])
+    names = [f"{side}_{c}" for side in "xy" for c in columns]
+    return pairs.join(x, "a").join(y, "b").select("a", "b", *names).mapInArrow(run, "a long, b long")
+
+
+def _similar(x: tuple, y: tuple) -> bool:
+    few, many = sorted((np.frombuffer(x[0], np.uint64), np.frombuffer(y[0], np.uint64)), key=len)
+    at = np.minimum(np.searchsorted(many, few), len(many) - 1)
+    both = int((many[at] == few).sum())
+    return 100 * both >= 75 * (len(few) + len(many) - both)
+
+
+def verified(texts: DataFrame, pairs: DataFrame, shapes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough. Histograms settle most pairs; the sets of the rest are compared."""
+    likely = cut(filtered(pairs, shapes, ["histogram", "n"], lambda x, y: plausible(x[0], y[0], x[1], y[1])))
+    members = likely.select(F.col("a").alias("class")).unionAll(likely.select("b"))
+    return cut(filtered(likely, sets_of(texts, members), ["shingles"], _similar))
+
+
+def class_links(texts: DataFrame, shapes: DataFrame, frequent: np.ndarray) -> DataFrame:
     """Links (a, b) between classes: with them the components are those of all links."""
     group = Window.partitionBy("signature")
     rows = index_rows(texts, frequent)
@@ -221,9 +261,8 @@ def class_links(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
     before = F.lag("class").over(group.orderBy("class"))
     shared = shared.withColumn("before", before).filter("low < high and (before is null or before <> class)")
     members = cut(shared.select("signature", "class", "before"))
-    sets = cut(sets_of(texts, members))
     chain = cut(members.filter("before is not null").select(F.col("before").alias("a"), F.col("class").alias("b")).distinct())
-    links = cut(verified(chain, sets))
+    links = verified(texts, chain, shapes)
     label = components(links)
     inner = members.select("signature", "class").join(label, F.col("class") == F.col("node"), "left")
     inner = inner.select("signature", "class", F.coalesce("label", "class").alias("part"))
@@ -233,8 +272,7 @@ def class_links(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
     left = apart.select("signature", F.col("class").alias("a"), F.col("part").alias("p"))
     right = apart.select("signature", F.col("class").alias("b"), F.col("part").alias("q"))
     rest = left.join(right, "signature").filter("p < q").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = verified(rest.join(chain, ["a", "b"], "left_anti"), sets)
-    return links.unionAll(more)
+    return links.unionAll(verified(texts, rest.join(chain, ["a", "b"], "left_anti"), shapes))
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -250,7 +288,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     top = described.filter("frequent is not null").groupBy("frequent").agg(F.sum("times").alias("times"))
     # At most FREQUENT numbers.
     frequent = np.array([r["frequent"] for r in top.orderBy(F.desc("times"), "frequent").limit(FREQUENT).collect()], dtype=np.int64)
-    label = components(class_links(texts, np.sort(frequent.view(np.uint64))))
+    shapes = described.filter("histogram is not null").groupBy("class").agg(F.first("n").alias("n"), F.first("histogram").alias("histogram"))
+    label = components(class_links(texts, shapes, np.sort(frequent.view(np.uint64))))
     classes = base.filter("n > 0").groupBy("class").agg(F.min("key").alias("first"))
     rooted = classes.join(label, F.col("class") == F.col("node"), "left").select("class", "first", F.coalesce("label", "class").alias("root"))
     roots = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
