@@ -13,6 +13,13 @@ def _largest_first(edges: DataFrame) -> DataFrame:
     return edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
 
 
+def _mark(edges: DataFrame) -> tuple:
+    """Count and hash sums of the links, to see whether a round changed any."""
+    h = F.xxhash64("a", "b")
+    row = edges.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))"), F.sum(F.pmod(h, F.lit(1 << 31))), F.min("b")).collect()[0]
+    return tuple(row)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of every node of ``links`` (a, b): label is the smallest node of its component.
 
@@ -21,6 +28,7 @@ def components(links: DataFrame) -> DataFrame:
     stays short and a lost executor costs one round. Self links and repeats do no harm; no links give no rows.
     """
     edges = cut(_largest_first(links))
+    mark = _mark(edges)
     while True:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         lowest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -29,7 +37,7 @@ def components(links: DataFrame) -> DataFrame:
         lower = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(lower, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(lower.select("a", F.col("m").alias("b")))
         following = cut(_largest_first(small))
-        if following.exceptAll(edges).isEmpty() and edges.exceptAll(following).isEmpty():
+        before, mark, edges = mark, _mark(following), following
+        if before == mark:
             break
-        edges = following
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).unionAll(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())

@@ -10,9 +10,9 @@ A set is indexed by the subsets that it has in the segments:
   order of subsets: few shingles that aren't frequent in the corpus, then few shingles at all. Two similar sets agree on
   at least as many segments as are left out plus one, and the cheapest of these is left out by neither.
 
-Equal sets are one class from the start. Classes that share an indexed subset are compared in a chain first; what the
+Equal sets are one class from the start. Classes that share an indexed subset are compared along chains first; what the
 links join needs no further comparison, and members of different components are then compared with each other. Every
-comparison is exact. No pair of a class that is already joined is ever made.
+comparison is exact. No pair of classes that are already joined is ever made.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortloom.llm.bitmap import bit_map, has_bit
 from cohortloom.llm.components import components
 from cohortloom.llm.text import NONBLANK_BYTES, Chunk, chunks, find_words, gram_hashes, mix64, word_hashes
 from cohortloom.session import cut
@@ -194,12 +195,7 @@ def index_rows(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
 
 def sets_of(texts: DataFrame, members: DataFrame) -> DataFrame:
     """(class, shingles as bytes) of the classes in ``members``, read from the texts once more."""
-    bits_set = members.selectExpr(f"pmod(class, {1 << MAP_BITS}) AS bit")
-    words = bits_set.groupBy(F.expr("shiftright(bit, 5)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 31 AS int)))").alias("bits"))
-    # At most 2^(MAP_BITS - 5) rows.
-    table = words.toPandas()
-    bits = np.zeros(1 << (MAP_BITS - 5), dtype=np.uint32)
-    bits[table["word"].to_numpy(np.int64)] = table["bits"].to_numpy(np.int64).astype(np.uint32)
+    bits = bit_map(members, "class", MAP_BITS)
     shared = texts.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,12 +203,10 @@ def sets_of(texts: DataFrame, members: DataFrame) -> DataFrame:
         for batch in batches:
             for chunk in chunks(batch.column("text")):
                 ids, found = [], []
-                for values in shingle_sets(chunk):
-                    if not len(values):
-                        continue
-                    c = class_of(values)
-                    at = c % (1 << MAP_BITS)
-                    if shared.value[at >> 5] >> np.uint32(at & 31) & np.uint32(1) and c not in seen:
+                some = [(class_of(values), values) for values in shingle_sets(chunk) if len(values)]
+                wanted = has_bit(shared.value, np.array([c for c, _ in some], dtype=np.int64).view(np.uint64), MAP_BITS)
+                for (c, values), ok in zip(some, wanted, strict=True):
+                    if ok and c not in seen:
                         seen.add(c)
                         ids.append(c)
                         found.append(values.tobytes())
@@ -246,33 +240,48 @@ def _similar(x: tuple, y: tuple) -> bool:
     return 100 * both >= 75 * (len(few) + len(many) - both)
 
 
-def verified(texts: DataFrame, pairs: DataFrame, shapes: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, shapes: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough. Histograms settle most pairs; the sets of the rest are compared."""
     likely = cut(filtered(pairs, shapes, ["histogram", "n"], lambda x, y: plausible(x[0], y[0], x[1], y[1])))
-    members = likely.select(F.col("a").alias("class")).unionAll(likely.select("b"))
-    return cut(filtered(likely, sets_of(texts, members), ["shingles"], _similar))
+    return cut(filtered(likely, sets, ["shingles"], _similar))
+
+
+def still_apart(members: DataFrame, label: DataFrame) -> DataFrame:
+    """Members (signature, class, part) of the subsets whose classes aren't all in one component yet."""
+    group = Window.partitionBy("signature")
+    named = members.select("signature", "class").join(label, F.col("class") == F.col("node"), "left")
+    named = named.select("signature", "class", F.coalesce("label", "class").alias("part"))
+    return cut(named.withColumn("low", F.min("part").over(group)).withColumn("high", F.max("part").over(group)).filter("low < high").drop("low", "high"))
 
 
 def class_links(texts: DataFrame, shapes: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """Links (a, b) between classes: with them the components are those of all links."""
+    """Links (a, b) between classes: with them the components are those of all links.
+
+    In each round the members of a subset are compared along a chain, where neighbours of one component are passed over.
+    The order changes: one order for all subsets gives few distinct pairs, an own order for each subset gives every member
+    many different partners. What is still apart after the rounds is compared in full, component against component.
+    """
     group = Window.partitionBy("signature")
     rows = index_rows(texts, frequent)
     shared = rows.withColumn("low", F.min("class").over(group)).withColumn("high", F.max("class").over(group))
     before = F.lag("class").over(group.orderBy("class"))
     shared = shared.withColumn("before", before).filter("low < high and (before is null or before <> class)")
     members = cut(shared.select("signature", "class", "before"))
-    chain = cut(members.filter("before is not null").select(F.col("before").alias("a"), F.col("class").alias("b")).distinct())
-    links = verified(texts, chain, shapes)
-    label = components(links)
-    inner = members.select("signature", "class").join(label, F.col("class") == F.col("node"), "left")
-    inner = inner.select("signature", "class", F.coalesce("label", "class").alias("part"))
-    # Only subsets whose classes aren't joined yet.
-    apart = inner.withColumn("low", F.min("part").over(group)).withColumn("high", F.max("part").over(group)).filter("low < high")
-    apart = cut(apart.select("signature", "class", "part"))
+    known = members.select("class").distinct()
+    shapes, sets = cut(shapes.join(known, "class", "left_semi")), cut(sets_of(texts, members))
+    chain = members.filter("before is not null").select(F.col("before").alias("a"), F.col("class").alias("b")).distinct()
+    links = verified(chain, shapes, sets)
+    apart = still_apart(members, components(links))
+    for order in (F.xxhash64("class", F.lit(1)), F.xxhash64("class", F.lit(2)), F.xxhash64("class", "signature")):
+        along = group.orderBy(order, "class")
+        steps = apart.withColumn("a", F.lag("class").over(along)).withColumn("q", F.lag("part").over(along)).filter("q <> part")
+        pairs = steps.select(F.least("a", "class").alias("a"), F.greatest("a", "class").alias("b")).distinct()
+        links = links.unionAll(verified(pairs, shapes, sets))
+        apart = still_apart(apart, components(links))
     left = apart.select("signature", F.col("class").alias("a"), F.col("part").alias("p"))
     right = apart.select("signature", F.col("class").alias("b"), F.col("part").alias("q"))
     rest = left.join(right, "signature").filter("p < q").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return links.unionAll(verified(texts, rest.join(chain, ["a", "b"], "left_anti"), shapes))
+    return links.unionAll(verified(rest, shapes, sets))
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

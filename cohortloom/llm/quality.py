@@ -75,7 +75,7 @@ def word_vectors(docs: DataFrame, text: str) -> np.ndarray:
     """Unit vectors of all buckets from the whole corpus: BUCKETS x DIMENSIONS numbers, whatever its size."""
     rows = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(context_batches, "bucket int, context array<float>")
     sums = [F.sum(F.get("context", F.lit(i))).alias(f"c{i}") for i in range(DIMENSIONS)]
-    table = rows.groupBy("bucket").agg(*sums).toPandas()
+    table = rows.groupBy("bucket").agg(*sums).toArrow().to_pandas()
     vectors = np.zeros((BUCKETS, DIMENSIONS), dtype=np.float32)
     vectors[table["bucket"]] = table.drop(columns="bucket").to_numpy(np.float32)
     return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-6)
@@ -187,10 +187,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str, key: str, text:
 
     chosen = rows.select("label", "part", F.xxhash64("label_key", "text").alias("order"), "text")
     # Copies of a labelled row count once each, so the table is bounded only after a cut to the sample's size.
-    found = chosen.mapInArrow(describe, "label int, part int, order long, x array<float>").orderBy("order").limit(most).toPandas()
+    found = chosen.mapInArrow(describe, "label int, part int, order long, x array<float>").orderBy("order").limit(most).toArrow()
     shared.unpersist()
-    x = np.array(found["x"].tolist(), dtype=np.float32).reshape(len(found), FEATURES)
-    return vectors, fit_network(x, found["label"].to_numpy(np.float64), found["part"].to_numpy())
+    x = found.column("x").combine_chunks().flatten().to_numpy().reshape(len(found), FEATURES)
+    return vectors, fit_network(x, found.column("label").to_numpy().astype(np.float64), found.column("part").to_numpy())
 
 
 def quality_scores(docs: DataFrame, vectors: np.ndarray, network: Network, keep: list[str], text: str = "text") -> DataFrame:

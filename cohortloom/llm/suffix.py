@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortloom.llm.bitmap import bit_map, has_bit
 from cohortloom.llm.text import _BYTE_VALUE, Chunk, _powers, chunks, mix64, prefix_hash, range_hash
 from cohortloom.session import cut
 
@@ -54,11 +55,17 @@ class Anchors:
 
     def __init__(self, chunk: Chunk):
         self.sums = prefix_hash(chunk, fold=False)
-        at = np.arange(max(len(chunk.data) - K + 1, 0))
-        self.grams = range_hash(self.sums, at, at + K)
-        self.at = at[:0]
+        self.at = np.zeros(0, dtype=np.int64)
+        self.grams = np.zeros(0, dtype=np.uint64)
         if len(chunk.data) < SPAN:
             return
+        # As range_hash of every K bytes, but in place and with a shorter finish: this is the hottest loop.
+        grams = self.sums[K:] - self.sums[:-K]
+        grams *= _powers(len(grams))[1]
+        grams ^= grams >> np.uint64(32)
+        grams *= np.uint64(0x94D049BB133111EB)
+        grams ^= grams >> np.uint64(29)
+        self.grams = grams
         ends = chunk.offsets[1:-1]
         across = (ends[:, None] - np.arange(1, K)).ravel()
         self.grams[across[(across >= 0) & (across < len(self.grams))]] = NEVER
@@ -154,6 +161,7 @@ class Run:
         self.records = np.frombuffer(blob, RECORD, n)
         self.shared, self.size = self.records["shared"].tolist(), self.records["size"].tolist()
         self.before, self.key = self.records["before"].tolist(), self.records["key"].tolist()
+        self.mask, self.tag, self.at = self.records["mask"].tolist(), self.records["tag"].tolist(), self.records["at"].tolist()
         self.blob, self.next = blob, 0
         self.rest = n * RECORD.itemsize
         self.left = self.rest + sum(self.size) - sum(self.shared)
@@ -179,7 +187,9 @@ class Run:
 def merge(runs: list[Run]) -> Iterator[tuple[int, int]]:
     """(run, shared) of every suffix in sorted order; its bytes stand in the run until the next step. ``shared`` is the
     length of the prefix it shares with the suffix before. Inner nodes of the tree hold losers."""
-    n = 1 << max(len(runs) - 1, 0).bit_length()
+    if not runs:
+        return
+    n = 1 << (len(runs) - 1).bit_length()
     shared = [run.advance() * 0 for run in runs]
     loser = [-1] * n
 
@@ -271,8 +281,7 @@ def run_rows(chunk: Chunk, key: np.ndarray, tag: np.ndarray, bits: np.ndarray, f
     anchors = Anchors(chunk)
     a = anchors.at
     short = anchors.grams[a] >> np.uint64(8)
-    bit = (short % np.uint64(1 << MAP_BITS)).astype(np.int64)
-    a = a[(bits[bit >> 5] >> (bit & 31).astype(np.uint32) & np.uint32(1)) > 0]
+    a = a[has_bit(bits, short, MAP_BITS)]
     if not len(a):
         return
     row = np.searchsorted(chunk.offsets, a, side="right") - 1
@@ -352,8 +361,8 @@ def merge_part(table: pa.Table) -> pa.Table:
             if len(ready) >= COMPARED:
                 compare()
         run = runs[number]
-        record = run.records[run.next - 1]
-        group.append((run.suffix, run.context, record["mask"], record["key"], record["tag"], record["at"]))
+        i = run.next - 1
+        group.append((run.suffix, run.context, run.mask[i], run.key[i], run.tag[i], run.at[i]))
     if len(group) > 1:
         ready.extend(group)
     compare()
@@ -376,11 +385,8 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     told = numbers.select("key", "hash", "size", "text").mapInArrow(gram_batches, "gram long")
     shared = cut(told.groupBy(F.expr("shiftrightunsigned(gram, 8)").alias("gram")).agg(F.sum(F.expr("gram & 255")).alias("times")).filter("times > 1"))
     total = shared.agg(F.sum("times").alias("n")).collect()[0]["n"] or 0
-    words = shared.selectExpr(f"gram % {1 << MAP_BITS} AS bit").groupBy(F.expr("shiftright(bit, 5)").alias("word"))
-    # At most 2^(MAP_BITS - 5) and FREQUENT rows.
-    table = words.agg(F.expr("bit_or(shiftleft(1L, cast(bit & 31 AS int)))").alias("bits")).toPandas()
-    bits = np.zeros(1 << (MAP_BITS - 5), dtype=np.uint32)
-    bits[table["word"].to_numpy(np.int64)] = table["bits"].to_numpy(np.int64).astype(np.uint32)
+    bits = bit_map(shared, "gram", MAP_BITS)
+    # At most FREQUENT rows.
     often = shared.filter(F.col("times") >= FREQUENT_FROM).orderBy(F.desc("times"), "gram").limit(FREQUENT).select("gram").collect()
     frequent = np.sort(np.array([r["gram"] for r in often], dtype=np.int64).astype(np.uint64))
     parts = max(16, total // MERGED)

@@ -161,7 +161,7 @@ def fit_model(docs: DataFrame, labels: DataFrame, label: str, key: str, text: st
     learn = rows.select("text", F.when(F.col("part") != 0, F.col("label")).alias("label"))
     counted = learn.mapInArrow(count_batches, COUNTS).groupBy("kind", "bucket").agg(*[F.sum(c).alias(c) for c in ("corpus", "toxic", "clean")])
     # One row per bucket: bounded by WORD_BITS and STEM_BITS.
-    table = counted.toPandas()
+    table = counted.toArrow().to_pandas()
     toxic, seen, corpus = [], [], []
     for kind, size in enumerate(_sizes()):
         part = table[table["kind"] == kind]
@@ -191,7 +191,7 @@ def fit_model(docs: DataFrame, labels: DataFrame, label: str, key: str, text: st
                     schema=pa.schema([("label", pa.int32()), ("best", pa.float64()), ("tokens", pa.int64()), ("bins", pa.list_(pa.int64()))]),
                 )
 
-    held = rows.filter("part = 0").select("text", "label").mapInArrow(calibrate, "label int, best double, tokens long, bins array<bigint>").toPandas()
+    held = rows.filter("part = 0").select("text", "label").mapInArrow(calibrate, "label int, best double, tokens long, bins array<bigint>").toArrow().to_pandas()
     if len(held):
         histogram = np.sum([np.asarray(b) for b in held["bins"] if b is not None], axis=0)
         y, best, tokens = held["label"].to_numpy(float), held["best"].to_numpy(), held["tokens"].to_numpy()
