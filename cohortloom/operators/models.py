@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from cohortloom.functions.keyed import uniform
 from cohortloom.functions.scalar import clip_probability, logit, row_log_loss
 from cohortloom.operators.prep import class_weights
+from cohortloom.session import cut
 
 
 def assemble(cols: Sequence[str]) -> list:
@@ -187,21 +188,21 @@ def balanced(df: DataFrame, label: str) -> DataFrame:
 
 
 def _tree_rows(df: DataFrame, key: str, cols: Sequence[str], trees: int, sub: int, seed: int) -> DataFrame:
-    """(tree, features) with at most ``sub`` keyed rows per tree; a large table is thinned by one hash per row."""
-    from cohortloom.operators.windows import PRUNE_LIMIT, head_per_group
+    """(tree, features): ``sub`` rows per tree in the mean (all rows, if there are fewer), drawn by one rule at every size.
 
-    if sub > PRUNE_LIMIT:
-        raise ValueError(f"a tree takes at most {PRUNE_LIMIT} rows")
+    A row enters ``trees * sub / n`` trees, rounded up or down by its hash: evenly spaced ones from a hashed first tree,
+    so they are distinct and every tree has the same chance. What is shuffled is ``trees * sub`` rows whatever the table.
+    """
     n = df.count()
     rows = df.select(key, F.array(*[F.col(c).cast("double") for c in cols]).alias("x"))
+    share = float(trees) * min(1.0, sub / max(n, 1))
     text = F.col(key).cast("string")
-    if n > 4 * trees * sub:
-        rows = rows.where(uniform(F.concat(F.lit(f"{seed}|keep|"), text)) < 4.0 * trees * sub / n)
-        rows = rows.withColumn("tree", F.floor(uniform(F.concat(F.lit(f"{seed}|tree|"), text)) * trees).cast("int"))
-    else:
-        rows = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    rows = rows.withColumn("_u", uniform(F.concat_ws("|", F.lit(str(seed)), F.col("tree").cast("string"), text)))
-    return head_per_group(rows, ["tree"], [F.col("_u"), F.col(key)], sub).drop("_u")
+    draws = F.floor(uniform(F.concat(F.lit(f"{seed}|draws|"), text)) + share).cast("int")
+    first = F.floor(uniform(F.concat(F.lit(f"{seed}|first|"), text)) * trees).cast("int")
+    rows = rows.withColumn("_first", first).withColumn("_draws", draws).where("_draws > 0")
+    rows = rows.withColumn("_draw", F.explode(F.sequence(F.lit(0), F.col("_draws") - 1)))
+    tree = F.pmod(F.col("_first") + F.floor(F.col("_draw") * F.lit(trees / share)), F.lit(trees)).cast("int")
+    return rows.select(key, "x", tree.alias("tree"))
 
 
 def _path_constant(n: float) -> float:
@@ -287,46 +288,78 @@ def isolation_forest(df: DataFrame, key: str, cols: Sequence[str], trees: int =
 
 # --- diffusion map ---------------------------------------------------------------------------------------------------
 
-LANDMARK_LIMIT = 2000
 
+#: Modes carried along for a faster separation, and moves between two orthonormalisations.
+SPARE_MODES, STEPS_PER_ROUND = 3, 4
 
-def diffusion_map(df: DataFrame, key: str, cols: Sequence[str], components: int = 4, quantile: float = 0.5, time_scale: float = 1.0,
-                  landmarks: int = LANDMARK_LIMIT, seed: int = 0) -> DataFrame:
-    """Diffusion coordinates from keyed landmarks, extended to every row by its transition to the landmarks.
 
-    The landmark kernel (at most 2,000 x 2,000) is solved once; rows are extended in Arrow batches where they are.
-    """
-    from cohortloom.operators.selection import sample_fixed
+def _neighbour_graph(df: DataFrame, key: str, vector: str, k: int) -> DataFrame:
+    """Symmetric edges (a, b, w): a Gaussian of the distance over the median neighbour distance."""
+    from cohortloom.operators.neighbors import knn
+    from cohortloom.operators.order import exact_quantiles
 
-    spark = df.sparkSession
-    rows = df.select(key, F.array(*[F.col(c).cast("double") for c in cols]).alias("_x"))
-    picked = sample_fixed(rows, min(landmarks, LANDMARK_LIMIT), key, f"{seed}-landmark").toPandas().sort_values(key)
-    base = np.array(picked["_x"].tolist())
-    length = (base**2).sum(axis=1)
-    square = np.maximum(length[:, None] + length[None, :] - 2 * base @ base.T, 0.0)
-    np.fill_diagonal(square, 0.0)
-    spread = square[square > 0]
-    epsilon = max(float(np.quantile(spread, quantile)) if spread.size else 1.0, 1e-8)
-    kernel = np.exp(-square / epsilon)
-    root = np.sqrt(np.maximum(kernel.sum(axis=1), 1e-12))
-    values, vectors = np.linalg.eigh(kernel / np.outer(root, root))
-    take = np.argsort(-values)[1 : components + 1]
-    values, vectors = np.maximum(values[take], 1e-8), vectors[:, take] / root[:, None]
-    vectors = vectors * np.where(vectors[np.abs(vectors).argmax(axis=0), np.arange(len(take))] < 0, -1.0, 1.0)
-    shipped = spark.sparkContext.broadcast((base, vectors * values ** (time_scale - 1.0), epsilon))
-    names = [f"d{i + 1}" for i in range(len(take))]
-
-    def extend(batches):
-        points, basis, eps = shipped.value
-        norms = (points**2).sum(axis=1)
-        for pdf in batches:
-            x = np.array(pdf["_x"].tolist()) if len(pdf) else np.zeros((0, points.shape[1]))
-            gap = np.maximum((x**2).sum(axis=1)[:, None] + norms[None, :] - 2 * x @ points.T, 0.0)
-            weight = np.exp(-gap / eps)
-            weight /= np.maximum(weight.sum(axis=1, keepdims=True), 1e-12)
-            frame = pd.DataFrame(weight @ basis, columns=names)
-            frame.insert(0, key, pdf[key].to_numpy())
-            yield frame
+    near = cut(knn(df, key, vector, k).select(F.col(key).alias("a"), F.col("neighbor").alias("b"), "distance"))
+    scale = exact_quantiles(near, [], ["distance"], [0.5]).collect()
+    width = max(float(scale[0]["q0"] or 0.0), 1e-12) if scale else 1.0
+    both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
+    ratio = F.col("distance") / F.lit(width)
+    return both.groupBy("a", "b").agg(F.max(F.exp(-ratio * ratio)).alias("w"))
 
-    key_type = df.schema[key].dataType.simpleString()
-    return rows.mapInPandas(extend, ", ".join([f"{key} {key_type}", *[f"{n} double" for n in names]]))
+
+def _gram(y: DataFrame, left: Sequence[str], right: Sequence[str]) -> np.ndarray:
+    """Sums of products of columns: a few numbers on the driver."""
+    row = y.agg(*[F.sum(F.col(p) * F.col(q)).alias(f"{i}_{j}") for i, p in enumerate(left) for j, q in enumerate(right)]).collect()[0]
+    return np.array([[row[f"{i}_{j}"] or 0.0 for j in range(len(right))] for i in range(len(left))])
+
+
+def _rotated(y: DataFrame, names: Sequence[str], by: np.ndarray, keep: Sequence[str]) -> DataFrame:
+    mix = [sum((F.col(n) * F.lit(float(by[i, j])) for i, n in enumerate(names)), F.lit(0.0)).alias(names[j]) for j in range(by.shape[1])]
+    return y.select(*keep, *mix)
+
+
+def _sent(y: DataFrame, edges: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``y`` with s_<name>: each row's values sent along its edges and summed."""
+    values = y.select(F.col("a").alias("b"), *names)
+    sent = edges.join(values, "b").groupBy(F.col("a").alias("to")).agg(*[F.sum(F.col("s") * F.col(n)).alias(f"s_{n}") for n in names])
+    return y.join(sent, F.col("a") == F.col("to")).drop("to")
+
+
+def diffusion_map(df: DataFrame, key: str, cols: Sequence[str], components: int = 4, k: int = 15, steps: float = 1.0,
+                  tolerance: float = 1e-5, most_rounds: int = 12, seed: int = 0) -> DataFrame:
+    """Diffusion coordinates d1.. of every row: leading modes of the random walk on the exact neighbour graph.
+
+    All rows take part at every size. The modes come from subspace iteration: a round sends each row's current values
+    along its edges (one join and one aggregate), takes out the constant mode, and orthonormalises with sums of products.
+    It ends when the captured eigenvalues move by less than ``tolerance``, or after ``most_rounds``.
+    """
+    rows = df.select(key, F.array(*[F.col(c).cast("double") for c in cols]).alias("_x"))
+    graph = cut(_neighbour_graph(rows, key, "_x", k))
+    degree = cut(graph.groupBy("a").agg(F.sum("w").alias("d")))
+    left, right = degree.withColumnRenamed("d", "da"), degree.select(F.col("a").alias("b"), F.col("d").alias("db"))
+    edges = cut(graph.join(left, "a").join(right, "b").select("a", "b", (F.col("w") / F.sqrt(F.col("da") * F.col("db"))).alias("s")))
+    mass = float(degree.agg(F.sum("d")).collect()[0][0] or 1.0)
+    names = [f"d{i + 1}" for i in range(components)]
+    block = [*names, *[f"spare{i}" for i in range(SPARE_MODES)]]
+    start = [(uniform(F.concat(F.lit(f"{seed}|{n}|"), F.col("a").cast("string"))) - 0.5).alias(n) for n in block]
+    y = cut(degree.select("a", F.sqrt(F.col("d") / mass).alias("flat"), *start))
+    values = np.zeros(len(block))
+    for _ in range(most_rounds):
+        flat = _gram(y, ["flat"], block)[0]
+        y = y.select("a", "flat", *[(F.col(n) - F.lit(float(f)) * F.col("flat")).alias(n) for n, f in zip(block, flat)])
+        factor = np.linalg.cholesky(_gram(y, block, block) + 1e-12 * np.eye(len(block)))
+        y = cut(_rotated(y, block, np.linalg.inv(factor).T, ["a", "flat"]))
+        moved = cut(_sent(y, edges, block))
+        found, turn = np.linalg.eigh(_gram(moved, block, [f"s_{n}" for n in block]))
+        found, turn = found[::-1], turn[:, ::-1]
+        done = np.abs(found - values)[:components].max() < tolerance
+        y, values = _rotated(moved, block, turn, ["a", "flat"]), found
+        if done:
+            break
+        # Half a step of staying put keeps modes of negative eigenvalues from taking over.
+        for _ in range(STEPS_PER_ROUND):
+            y = _sent(y, edges, block).select("a", "flat", *[((F.col(n) + F.col(f"s_{n}")) / 2).alias(n) for n in block])
+        y = cut(y)
+    scaled = y.select(F.col("a").alias(key), *[(F.col(n) / F.col("flat") * F.lit(float(max(v, 0.0) ** steps))).alias(n) for n, v in zip(names, values)])
+    # Signs are free; the cubes of a component sum to something positive.
+    cubes = scaled.agg(*[F.sum(F.pow(F.col(n), F.lit(3.0))).alias(n) for n in names]).collect()[0]
+    return scaled.select(key, *[(F.col(n) * F.lit(-1.0 if (cubes[n] or 0.0) < 0 else 1.0)).alias(n) for n in names])

@@ -146,7 +146,7 @@ def test_oof_predictions_resume_and_do_not_leak(spark, tmp_path):
     assert sorted(first) == sorted(again) and len(first) == 60
 
 
-def test_diffusion_coordinates_of_landmarks_keep_their_order(spark):
+def test_diffusion_coordinates_keep_the_order_of_a_chain(spark):
     df = spark.range(80).select(F.col("id").alias("uid"), (F.col("id") / 10.0).alias("a"))
     d = models.diffusion_map(df, "uid", ["a"], 1).orderBy("uid").toPandas()["d1"].to_numpy()
     assert (np.diff(d) > 0).all() or (np.diff(d) < 0).all()
