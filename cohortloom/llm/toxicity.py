@@ -22,9 +22,10 @@ from cohortloom.llm.text import ALNUM_BYTES, Chunk, chunks, find_words, prefix_h
 #: Buckets of words and of word beginnings; they bound the model whatever the vocabulary.
 WORD_BITS, STEM_BITS = 18, 16
 STEMS = (5, 4)
-PRIOR, CORPUS_PRIOR = 4.0, 2000.0
-#: A token's score is its log-odds less one standard error and less this drift, so that a clean text sinks on average.
-DRIFT = 0.5
+PRIOR, CORPUS_PRIOR = 1.0, 2000.0
+#: A token's score is its log-odds (of the share less one standard error, no lower than LEAST_ODDS) less the drift, so that a
+#: clean text sinks on average.
+DRIFT, LEAST_ODDS = 0.5, -2.0
 SIGNIFICANT = 0.01
 #: Bins of the score histogram from which the extreme-value rate is solved.
 LOW_SCORE, HIGH_SCORE, SCORE_BINS = -12.0, 12.0, 480
@@ -90,9 +91,11 @@ class Model:
         b = found[0]
         prior = self.prior[b]
         n = self.seen[0][b] + prior
-        share = np.clip((self.toxic[0][b] + prior * share) / n, 1e-4, 1 - 1e-4)
-        odds = np.log(share / (1 - share)) - np.log(self.share / (1 - self.share))
-        return odds - 1 / np.sqrt(n * share * (1 - share)) - DRIFT
+        share = (self.toxic[0][b] + prior * share) / n
+        # One standard error less: on the scale of shares, where it is small for words seen in toxic texts alone.
+        low = np.clip(share - np.sqrt(share * (1 - share) / n), 1e-3, 1 - 1e-3)
+        odds = np.log(low / (1 - low)) - np.log(self.share / (1 - self.share))
+        return np.maximum(odds, LEAST_ODDS) - DRIFT
 
     def log_expected(self, score: np.ndarray, tokens: np.ndarray) -> np.ndarray:
         """Log of the number of segments as good as this that chance gives a text of so many tokens."""
