@@ -10,7 +10,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, IllegalArgumentException
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -139,6 +139,10 @@ def draw_parameters(space: dict[str, Sequence | tuple], trial: int, seed: int) -
     return point
 
 
+#: Errors of parameters that an estimator can't be fitted with.
+FIT_ERRORS = (IllegalArgumentException, ValueError, ArithmeticError, np.linalg.LinAlgError)
+
+
 def random_search(
     df: DataFrame, study: str, space: dict, build: Callable[[dict, int], Pipeline], trials: int, key: str, label: str, fold: str,
     folds: Sequence[int], seed: int = 0,
@@ -153,8 +157,8 @@ def random_search(
             oof = oof_predict(df, study, lambda n, p=params: build(p, n), key, label, fold, folds)
             losses = oof.groupBy(fold).agg(F.avg(row_log_loss(F.col(label), F.col("prob"))).alias("l")).orderBy(fold)
             scores = [r["l"] for r in losses.collect()]
-        except Exception as error:  # a failed trial is recorded, the search goes on
-            state, params = "FAIL", {**params, "error": type(error).__name__}
+        except FIT_ERRORS as error:  # a failed trial is recorded, the search goes on; a lost cluster or a bug ends it
+            state, params = "FAIL", {**params, "error": f"{type(error).__name__}: {str(error)[:300]}"}
         value = float(np.mean(scores)) if scores else None
         rows.append((study, number, state, value, json.dumps(scores), time.time() - start, json.dumps(params, sort_keys=True)))
     schema = "study string, number int, state string, value double, fold_scores_json string, duration double, params_json string"

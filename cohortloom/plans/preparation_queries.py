@@ -184,9 +184,8 @@ def _(spark, sf):
     "m21_requeue_failed",
     "study:s number:i params_json:s",
     """SELECT study, min(CASE WHEN state = 'FAIL' THEN number END) AS number, params_json FROM (SELECT *, CASE WHEN number % 3 = 0 AND state <> 'FAIL' THEN 'other' ELSE study END AS s2 FROM fx_trials)
-       WHERE state = 'FAIL' OR number % 100 = 0 GROUP BY study, params_json HAVING max(CASE WHEN state <> 'FAIL' THEN 1 ELSE 0 END) = 0""",
+       GROUP BY study, params_json HAVING max(CASE WHEN state <> 'FAIL' THEN 1 ELSE 0 END) = 0""",
     "fx_trials",
 )
 def _(spark, sf):
-    t = fx.trials(spark, sf).where((C("state") == "FAIL") | (C("number") % 100 == 0))
-    return prep.requeue_failed(t, "study", "params_json", "state", "number")
+    return prep.requeue_failed(fx.trials(spark, sf), "study", "params_json", "state", "number")

@@ -67,7 +67,7 @@ def _(spark, sf):
     repaired = fx.table(spark, sf, "events").where(C("event_id") % 3 == 0).withColumn("value", C("value") + 5)
     fixed = repaired.select(C("event_id").alias("uid"), "event_id", "ts", "user_id", "value")
     jobs.retry_failures(spark, fixed, _decode, out, bad, "uid", ["ts", "uid"])
-    return read_current(spark, bad)
+    return jobs.read_failures(spark, bad, "uid")
 
 
 @query(
@@ -108,8 +108,9 @@ def _(spark, sf):
 def _(spark, sf):
     s = split_stream(spark, sf, "events", 3, "event_id")
     out = scratch_path(spark, "sink")
-    q = jobs.run_available(s, lambda b, _: b.write.mode("append").parquet(out), scratch_path(spark, "cp"))
-    return jobs.progress_heartbeat(spark, q).agg(F.sum("rows").alias("rows"))
+    beats = scratch_path(spark, "beats")
+    jobs.run_available(s, jobs.with_heartbeat(lambda b, _: b.write.mode("append").parquet(out), beats), scratch_path(spark, "cp"))
+    return jobs.progress_heartbeat(spark, beats).agg(F.sum("rows").alias("rows"))
 
 
 _SLIDE = """SELECT w AS start, w + INTERVAL 2 HOUR AS "end", event_type, count(*) AS n, sum(value) AS total FROM (

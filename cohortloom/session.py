@@ -30,11 +30,13 @@ def make_session(app: str = "cohortloom", master: str | None = None, **conf: str
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by the cluster for checkpoints; a temporary one only where none is set (tests)."""
+    """The folder named by the cluster for checkpoints; a temporary one only in local mode, where none is set (tests)."""
     configured = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if configured is None and current.isDefined():
         return current.get()
+    if configured is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"set {CHECKPOINT_KEY} to a folder that driver and executors share")
     if configured is None:
         configured = tempfile.mkdtemp(prefix="cohortloom-")
         spark.conf.set(CHECKPOINT_KEY, configured)

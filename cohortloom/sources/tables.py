@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -77,13 +78,20 @@ def read_trial_log(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return normalize_trials([spark.read.json(p) for p in paths])
 
 
+def below(file: Column, root: str) -> Column:
+    """Path of a file below ``root`` (its own name where ``root`` is the file), so that equal names in two folders differ."""
+    folder = re.escape(re.sub(r"^[A-Za-z][\w+.-]*:(//[^/]*)?", "", root).rstrip("/"))
+    inner = F.regexp_extract(file, folder + r"/(.+)$", 1)
+    return F.when(inner != "", inner).otherwise(F.regexp_extract(file, r"([^/]+)$", 1))
+
+
 def read_tolerant(spark: SparkSession, path: str, schema: str, fmt: str = "csv", **options: str) -> tuple[DataFrame, DataFrame]:
     """(rows, warnings): corrupt files and lines are skipped; warnings name the files without a row and the bad lines."""
     corrupt = "_corrupt"
     typed = StructType.fromDDL(schema)
     text = fmt in ("csv", "json")
     full = StructType([*typed.fields, StructField(corrupt, StringType())]) if text else typed
-    reader = spark.read.schema(full).option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
+    reader = spark.read.schema(full).option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
     if text:
         reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", corrupt)
     for k, v in options.items():
@@ -92,10 +100,9 @@ def read_tolerant(spark: SparkSession, path: str, schema: str, fmt: str = "csv",
     if "pathGlobFilter" not in options:
         options = {**options, "pathGlobFilter": "*"}
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", options["pathGlobFilter"])
-    tail = lambda c: F.regexp_extract(c, r"([^/]+)$", 1)
-    named = raw.withColumn("_file", tail(F.url_decode(F.col("_metadata.file_path"))))
+    named = raw.withColumn("_file", below(F.url_decode(F.col("_metadata.file_path")), path))
     seen = named.select("_file").distinct()
-    files = listed.load(path).select(tail(F.col("path")).alias("_file"))
+    files = listed.load(path).select(below(F.col("path"), path).alias("_file"))
     warnings = files.join(seen, "_file", "left_anti").select(F.col("_file").alias("file"), F.lit("no readable row").alias("warning"))
     if text:
         # Spark refuses a scan of the corrupt column alone, so the count also touches the data columns
@@ -212,7 +219,7 @@ def read_oof_bundle(spark: SparkSession, paths: dict[str, str], key: str, label:
 def fingerprint_inputs(spark: SparkSession, path: str, pattern: str = "*", content: bool = False) -> DataFrame:
     """One order-free fingerprint of a file set from names, sizes and times, or from the bytes."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
-    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    name = below(F.col("path"), path)
     proof = F.sha2("content", 256) if content else F.concat_ws("#", F.col("length").cast("string"), F.col("modificationTime").cast("string"))
     lines = files.select(name.alias("name"), proof.alias("proof"))
     return cohort_hash(lines, ["name", "proof"]).withColumnRenamed("cohort_hash", "fingerprint")

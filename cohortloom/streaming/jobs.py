@@ -6,6 +6,7 @@ gives the same tables when a batch is replayed.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cohortloom.operators.windows import drop_duplicates_keep
-from cohortloom.sources.tables import append_delta, overwrite_table, read_current, read_latest
+from cohortloom.sources.tables import append_delta, overwrite_table, read_latest
 
 
 COMPACT_EVERY = 16
@@ -36,14 +37,21 @@ def split_failures(rows: DataFrame, key: str, error: str = "error") -> tuple[Dat
 
 
 def failure_table(batch_good: DataFrame, batch_bad: DataFrame, path: str, key: str) -> None:
-    """Errors as rows, one per key; a later success clears the key, a later failure replaces the text."""
-    spark = batch_bad.sparkSession
-    stored = read_current(spark, path)
-    new = batch_bad.groupBy(key).agg(F.max("error").alias("error"))
-    if stored is not None:
-        touched = batch_good.select(key).unionByName(batch_bad.select(key)).distinct()
-        new = stored.join(touched, key, "left_anti").unionByName(new)
-    overwrite_table(new, path)
+    """Errors as rows, one per key; a later success clears the key, a later failure replaces the text.
+
+    A batch adds a delta of its own size: its keys with their error, or with none. ``read_failures`` merges.
+    """
+    cleared = batch_good.select(key, F.lit(None).cast("string").alias("error"))
+    both = cleared.unionByName(batch_bad.select(key, F.col("error").cast("string").alias("error")))
+    new = both.groupBy(key).agg(F.max("error").alias("error")).withColumn("at", F.lit(time.time_ns()))
+    if append_delta(new, path) >= COMPACT_EVERY:
+        overwrite_table(read_latest(batch_bad.sparkSession, path, [key], ["at"]), path)
+
+
+def read_failures(spark: SparkSession, path: str, key: str) -> DataFrame | None:
+    """(key, error) of the keys whose last attempt failed."""
+    rows = read_latest(spark, path, [key], ["at"])
+    return None if rows is None else rows.where(F.col("error").isNotNull()).select(key, "error")
 
 
 def run_available(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append"):
@@ -74,7 +82,7 @@ def ingest_incremental(
 
 def retry_failures(spark: SparkSession, source: DataFrame, process, out: str, failures: str, key: str, order: Sequence[str]) -> None:
     """Process the rows of ``source`` whose key is in the failure table once more."""
-    bad_keys = read_current(spark, failures)
+    bad_keys = read_failures(spark, failures, key)
     if bad_keys is None:
         return
     todo = process(source.join(bad_keys.select(key), key, "left_semi")).persist()
@@ -102,10 +110,22 @@ def write_complete(stream: DataFrame, path: str, checkpoint: str):
     return run_available(stream, lambda batch, _: overwrite_table(batch, path), checkpoint, "complete")
 
 
-def progress_heartbeat(spark: SparkSession, query) -> DataFrame:
-    """(batch, rows, duration_ms) of the recent progress of a query; no listener or extra port is needed."""
-    rows = [(p["batchId"], p["numInputRows"], int(p.get("batchDuration", 0) or 0)) for p in query.recentProgress]
-    return spark.createDataFrame(rows, "batch bigint, rows bigint, duration_ms bigint")
+def with_heartbeat(handle: Callable[[DataFrame, int], None], path: str) -> Callable[[DataFrame, int], None]:
+    """A batch handler that also writes (rows, duration_ms) of every batch; a replayed batch replaces its own row."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        start = time.monotonic()
+        handle(batch, number)
+        took = int((time.monotonic() - start) * 1000)
+        row = batch.agg(F.count(F.lit(1)).alias("rows")).withColumn("duration_ms", F.lit(took).cast("bigint"))
+        row.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return run
+
+
+def progress_heartbeat(spark: SparkSession, path: str) -> DataFrame:
+    """(batch, rows, duration_ms) of all batches since the start."""
+    return spark.read.parquet(path).select(F.col("batch").cast("bigint").alias("batch"), "rows", "duration_ms")
 
 
 def _timed(stream: DataFrame, time: str, late: str) -> DataFrame:

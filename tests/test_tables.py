@@ -157,11 +157,40 @@ def test_ingest_processes_new_files_once_and_clears_failures(spark, tmp_path):
     stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
     spark.createDataFrame([("a", 1.0), ("b", -1.0)], schema).coalesce(1).write.parquet(src)
     jobs.ingest_incremental(stream(), process, out, bad, cp, "uid", ["v"])
-    assert [r["uid"] for r in tables.read_current(spark, bad).collect()] == ["b"]
+    assert [r["uid"] for r in jobs.read_failures(spark, bad, "uid").collect()] == ["b"]
     before = tables._deltas(spark, out)
     jobs.ingest_incremental(stream(), process, out, bad, cp, "uid", ["v"])
     assert tables._deltas(spark, out) == before
     spark.createDataFrame([("b", 2.0)], schema).coalesce(1).write.mode("append").parquet(src)
     jobs.ingest_incremental(stream(), process, out, bad, cp, "uid", ["v"])
-    assert tables.read_current(spark, bad).count() == 0
+    assert jobs.read_failures(spark, bad, "uid").count() == 0
     assert {r["uid"] for r in tables.read_latest(spark, out, ["uid"], ["v"]).collect()} == {"a", "b"}
+
+
+def test_equal_file_names_in_two_folders_are_two_files(spark, tmp_path):
+    for run, text in (("a", "id\n1\n"), ("b", "id\n")):
+        (tmp_path / run).mkdir()
+        (tmp_path / run / "history.csv").write_text(text)
+    rows, warnings = tables.read_tolerant(spark, str(tmp_path), "id bigint", "csv", header="true")
+    assert [r["id"] for r in rows.collect()] == [1]
+    assert [(r["file"], r["warning"]) for r in warnings.collect()] == [("b/history.csv", "no readable row")]
+    before = tables.fingerprint_inputs(spark, str(tmp_path), "*.csv", content=True).first()["fingerprint"]
+    (tmp_path / "b").rename(tmp_path / "c")
+    assert tables.fingerprint_inputs(spark, str(tmp_path), "*.csv", content=True).first()["fingerprint"] != before
+
+
+def test_failed_trials_keep_their_text_and_bugs_end_the_search(spark):
+    from cohortloom.operators import models
+
+    df = spark.createDataFrame([(1, 0, 0)], "uid int, y int, fold int")
+
+    def unfit(p, n):
+        raise ValueError("no such penalty")
+
+    def bug(p, n):
+        raise KeyError("typo")
+
+    row = models.random_search(df, "s", {"c": [1.0]}, unfit, 1, "uid", "y", "fold", [0]).first()
+    assert row["state"] == "FAIL" and "no such penalty" in row["params_json"]
+    with pytest.raises(KeyError):
+        models.random_search(df, "s", {"c": [1.0]}, bug, 1, "uid", "y", "fold", [0])
