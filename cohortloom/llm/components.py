@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from cohortloom.session import cut
 
 
+LINKS_PER_TASK = 100_000
+
+
 def _largest_first(edges: DataFrame) -> DataFrame:
     """Every link as (larger, smaller), once."""
     return edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
@@ -30,14 +33,15 @@ def components(links: DataFrame) -> DataFrame:
     edges = cut(_largest_first(links))
     mark = _mark(edges)
     while True:
+        # The table only shrinks from here; few links go on in few tasks.
+        tasks = max(1, mark[0] // LINKS_PER_TASK)
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         lowest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.filter("b > a").join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        down = _largest_first(large)
+        down = both.filter("b > a").join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         lower = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(lower, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(lower.select("a", F.col("m").alias("b")))
-        following = cut(_largest_first(small))
-        before, mark, edges = mark, _mark(following), following
+        edges = cut(_largest_first(small).coalesce(tasks))
+        before, mark = mark, _mark(edges)
         if before == mark:
             break
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).unionAll(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())

@@ -257,9 +257,9 @@ def still_apart(members: DataFrame, label: DataFrame) -> DataFrame:
 def class_links(texts: DataFrame, shapes: DataFrame, frequent: np.ndarray) -> DataFrame:
     """Links (a, b) between classes: with them the components are those of all links.
 
-    In each round the members of a subset are compared along a chain, where neighbours of one component are passed over.
-    The order changes: one order for all subsets gives few distinct pairs, an own order for each subset gives every member
-    many different partners. What is still apart after the rounds is compared in full, component against component.
+    The members of a subset are compared along a chain, first in one order for all subsets, which gives few distinct pairs.
+    Then neighbours of one component are passed over, and three more orders, one of them different in each subset, give
+    every member many partners. What is still apart is compared in full, component against component.
     """
     group = Window.partitionBy("signature")
     rows = index_rows(texts, frequent)
@@ -272,12 +272,13 @@ def class_links(texts: DataFrame, shapes: DataFrame, frequent: np.ndarray) -> Da
     chain = members.filter("before is not null").select(F.col("before").alias("a"), F.col("class").alias("b")).distinct()
     links = verified(chain, shapes, sets)
     apart = still_apart(members, components(links))
-    for order in (F.xxhash64("class", F.lit(1)), F.xxhash64("class", F.lit(2)), F.xxhash64("class", "signature")):
-        along = group.orderBy(order, "class")
-        steps = apart.withColumn("a", F.lag("class").over(along)).withColumn("q", F.lag("part").over(along)).filter("q <> part")
-        pairs = steps.select(F.least("a", "class").alias("a"), F.greatest("a", "class").alias("b")).distinct()
-        links = links.unionAll(verified(pairs, shapes, sets))
-        apart = still_apart(apart, components(links))
+    orders = (F.xxhash64("class", F.lit(1)), F.xxhash64("class", F.lit(2)), F.xxhash64("class", "signature"))
+    along = [group.orderBy(order, "class") for order in orders]
+    ahead = F.array(*[F.struct(F.lag("class").over(w).alias("a"), F.lag("part").over(w).alias("q")) for w in along])
+    steps = apart.withColumn("ahead", ahead).select("class", "part", F.explode("ahead").alias("next")).filter("next.q <> part")
+    pairs = steps.select(F.least("next.a", "class").alias("a"), F.greatest("next.a", "class").alias("b")).distinct()
+    links = links.unionAll(verified(pairs, shapes, sets))
+    apart = still_apart(apart, components(links))
     left = apart.select("signature", F.col("class").alias("a"), F.col("part").alias("p"))
     right = apart.select("signature", F.col("class").alias("b"), F.col("part").alias("q"))
     rest = left.join(right, "signature").filter("p < q").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
