@@ -36,6 +36,8 @@ SMALL_SET = 16
 SPARE = 0.5
 #: Frequent shingles that the cost order knows, at most; least repeats among GATHERED shingles of a task to be considered.
 FREQUENT, REPEATS, GATHERED = 1 << 17, 5, 1 << 20
+#: Members of a subset that are paired by a join, at most, and members of a block of a larger one.
+SMALL_GROUP, TILE = 6, 2048
 #: Bits of the map that keeps sets of unpaired classes from being shuffled. It saves work and decides nothing.
 MAP_BITS = 22
 
@@ -240,26 +242,90 @@ def _similar(x: tuple, y: tuple) -> bool:
     return 100 * both >= 75 * (len(few) + len(many) - both)
 
 
-def verified(pairs: DataFrame, shapes: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough. Histograms settle most pairs; the sets of the rest are compared."""
-    likely = cut(filtered(pairs, shapes, ["histogram", "n"], lambda x, y: plausible(x[0], y[0], x[1], y[1])))
-    return cut(filtered(likely, sets, ["shingles"], _similar))
+def likely_pairs(pairs: DataFrame, shapes: DataFrame) -> DataFrame:
+    return filtered(pairs, shapes, ["histogram", "n"], lambda x, y: plausible(x[0], y[0], x[1], y[1]))
+
+
+def verified(texts: DataFrame, likely: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough; only sets of these pairs are read."""
+    likely = cut(likely.distinct())
+    members = likely.select(F.col("a").alias("class")).unionAll(likely.select("b"))
+    return cut(filtered(likely, sets_of(texts, members), ["shingles"], _similar))
+
+
+def _tile(parts: list[int], blocks: list[int], ids: np.ndarray, n: np.ndarray, shapes: list[bytes], across: bool) -> np.ndarray:
+    """Plausible pairs (rows of two classes) among the members of one tile that are in different components."""
+    width = min(map(len, shapes))
+    table = np.array([np.frombuffer(h, np.uint8).reshape(width, -1).sum(axis=1) for h in shapes], dtype=np.int32)
+    full = np.array([255 in h for h in shapes])
+    part, block = np.array(parts), np.array(blocks)
+    out = []
+    for i in range(len(ids) - 1):
+        other = part[i + 1 :] != part[i]
+        if across:
+            other &= block[i + 1 :] != block[i]
+        at = np.flatnonzero(other) + i + 1
+        near = (7 * np.abs(table[at] - table[i]).sum(axis=1) <= n[at] + n[i]) | full[at] | full[i]
+        at = at[near]
+        out.append(np.stack([np.minimum(ids[at], ids[i]), np.maximum(ids[at], ids[i])], axis=1))
+    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+
+
+def tiled_pairs(apart: DataFrame, shapes: DataFrame) -> DataFrame:
+    """Plausible pairs of the subsets with many members. Members are compared by their histograms inside tasks, so that
+    pairs which are not similar never become rows. A subset of more than ``TILE`` members is cut into blocks, and each
+    task holds two of them."""
+    blocks = F.ceil(F.col("size") / F.lit(TILE)).cast("int")
+    own = F.pmod(F.xxhash64("class"), blocks).cast("int")
+    rows = apart.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).join(shapes, "class")
+    tile = ["signature", "low", "high"]
+    rows = rows.select(*tile, "own", "class", "part", "n", "histogram").repartition(*tile).sortWithinPartitions(*tile, "class")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[np.ndarray] = []
+        held, key = [], None
+
+        def told() -> pa.RecordBatch:
+            pairs = np.unique(np.concatenate(found), axis=0)
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+        def finish() -> None:
+            if len(held) > 1:
+                own, ids, parts, n, shapes = zip(*held, strict=True)
+                found.append(_tile(parts, own, np.array(ids), np.array(n), list(shapes), key[1] != key[2]))
+
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            for signature, low, high, *member in zip(*columns, strict=True):
+                if (signature, low, high) != key:
+                    finish()
+                    held, key = [], (signature, low, high)
+                held.append(member)
+            if sum(map(len, found)) > 1 << 18:
+                yield told()
+        finish()
+        if found:
+            yield told()
+
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def still_apart(members: DataFrame, label: DataFrame) -> DataFrame:
-    """Members (signature, class, part) of the subsets whose classes aren't all in one component yet."""
+    """Members (signature, class, part, size) of the subsets whose classes aren't all in one component yet."""
     group = Window.partitionBy("signature")
     named = members.select("signature", "class").join(label, F.col("class") == F.col("node"), "left")
     named = named.select("signature", "class", F.coalesce("label", "class").alias("part"))
-    return cut(named.withColumn("low", F.min("part").over(group)).withColumn("high", F.max("part").over(group)).filter("low < high").drop("low", "high"))
+    wide = named.withColumn("low", F.min("part").over(group)).withColumn("high", F.max("part").over(group)).withColumn("size", F.count(F.lit(1)).over(group))
+    return cut(wide.filter("low < high").drop("low", "high"))
 
 
 def class_links(texts: DataFrame, shapes: DataFrame, frequent: np.ndarray) -> DataFrame:
     """Links (a, b) between classes: with them the components are those of all links.
 
-    The members of a subset are compared along a chain, first in one order for all subsets, which gives few distinct pairs.
-    Then neighbours of one component are passed over, and three more orders, one of them different in each subset, give
-    every member many partners. What is still apart is compared in full, component against component.
+    The members of a subset are compared along a chain, in one order for all subsets, which gives few distinct pairs. What
+    is still apart then is compared in full, component against component: small subsets by a join, large ones in tiles.
     """
     group = Window.partitionBy("signature")
     rows = index_rows(texts, frequent)
@@ -267,22 +333,16 @@ def class_links(texts: DataFrame, shapes: DataFrame, frequent: np.ndarray) -> Da
     before = F.lag("class").over(group.orderBy("class"))
     shared = shared.withColumn("before", before).filter("low < high and (before is null or before <> class)")
     members = cut(shared.select("signature", "class", "before"))
-    known = members.select("class").distinct()
-    shapes, sets = cut(shapes.join(known, "class", "left_semi")), cut(sets_of(texts, members))
+    shapes = cut(shapes.join(members.select("class").distinct(), "class", "left_semi"))
     chain = members.filter("before is not null").select(F.col("before").alias("a"), F.col("class").alias("b")).distinct()
-    links = verified(chain, shapes, sets)
+    links = verified(texts, likely_pairs(chain, shapes))
     apart = still_apart(members, components(links))
-    orders = (F.xxhash64("class", F.lit(1)), F.xxhash64("class", F.lit(2)), F.xxhash64("class", "signature"))
-    along = [group.orderBy(order, "class") for order in orders]
-    ahead = F.array(*[F.struct(F.lag("class").over(w).alias("a"), F.lag("part").over(w).alias("q")) for w in along])
-    steps = apart.withColumn("ahead", ahead).select("class", "part", F.explode("ahead").alias("next")).filter("next.q <> part")
-    pairs = steps.select(F.least("next.a", "class").alias("a"), F.greatest("next.a", "class").alias("b")).distinct()
-    links = links.unionAll(verified(pairs, shapes, sets))
-    apart = still_apart(apart, components(links))
-    left = apart.select("signature", F.col("class").alias("a"), F.col("part").alias("p"))
-    right = apart.select("signature", F.col("class").alias("b"), F.col("part").alias("q"))
-    rest = left.join(right, "signature").filter("p < q").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return links.unionAll(verified(rest, shapes, sets))
+    few = apart.filter(F.col("size") <= SMALL_GROUP)
+    left = few.select("signature", F.col("class").alias("a"), F.col("part").alias("p"))
+    right = few.select("signature", F.col("class").alias("b"), F.col("part").alias("q"))
+    pairs = left.join(right, "signature").filter("p < q").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    many = tiled_pairs(apart.filter(F.col("size") > SMALL_GROUP), shapes)
+    return links.unionAll(verified(texts, likely_pairs(pairs, shapes).unionAll(many)))
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

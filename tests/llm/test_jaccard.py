@@ -63,9 +63,11 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("spare", [0.1, 0.5])
-def test_matches_plain_version(spark, monkeypatch, spare):
+@pytest.mark.parametrize("spare, small, tile", [(0.5, 6, 2048), (0.1, 2, 3)])
+def test_matches_plain_version(spark, monkeypatch, spare, small, tile):
     monkeypatch.setattr(j, "SPARE", spare)
+    monkeypatch.setattr(j, "SMALL_GROUP", small)
+    monkeypatch.setattr(j, "TILE", tile)
     rows = corpus()
     df = spark.createDataFrame([(k, t, 1) for k, t in rows], "doc_id long, text string, component_id int").repartition(5)
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in j.jaccard_components(df).collect()), key=str)
