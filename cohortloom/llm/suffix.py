@@ -34,9 +34,9 @@ PIECE = 1 << 19
 #: Anchors that a task gathers before it tells their grams.
 GATHERED = 1 << 20
 #: Bits of the map of shared grams, documents from which a gram counts as frequent, and frequent grams at most.
-MAP_BITS, FREQUENT_FROM, FREQUENT = 25, 512, 1 << 16
-#: Suffixes of a merge, about; rows of windows that are compared at once.
-MERGED, COMPARED = 100_000, 20_000
+MAP_BITS, FREQUENT_FROM, FREQUENT = 27, 512, 1 << 16
+#: Suffixes that a task sorts into runs at once; suffixes of a merge, about; rows of windows that are compared at once.
+SORTED, MERGED, COMPARED = 150_000, 100_000, 20_000
 NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -135,7 +135,8 @@ RECORD = np.dtype([("shared", "u1"), ("size", "u1"), ("before", "u1"), ("mask",
 
 def encode_run(suffixes: list[bytes], befores: list[bytes], mask: np.ndarray, key: np.ndarray, tag: np.ndarray, at: np.ndarray) -> bytes:
     """Sort suffixes (ties by key) and front-code them."""
-    order = sorted(range(len(suffixes)), key=lambda i: (suffixes[i], key[i]))
+    keys = key.tolist()
+    order = sorted(range(len(suffixes)), key=lambda i: (suffixes[i], keys[i]))
     records = np.zeros(len(order), dtype=RECORD)
     rests, last, shared = [], b"", []
     for i in order:
@@ -276,8 +277,31 @@ def _span_rows(key, tag, first, last, part: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*arrays, pa.array(part.astype(np.int32)), pa.nulls(n, pa.binary())], schema=ROWS)
 
 
-def run_rows(chunk: Chunk, key: np.ndarray, tag: np.ndarray, bits: np.ndarray, frequent: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
-    """Spans that the chunk settles itself, and front-coded runs of the suffixes that others must be compared with."""
+class Suffixes:
+    """Suffixes of one or more chunks that wait to be sorted into runs."""
+
+    def __init__(self):
+        self.texts: list[bytes] = []
+        self.befores: list[bytes] = []
+        self.numbers: list[np.ndarray] = []
+
+    def runs(self) -> pa.RecordBatch:
+        """One front-coded run for each part, and nothing waits any more."""
+        part, key, tag, at, mask = (np.concatenate([n[i] for n in self.numbers]) for i in range(5))
+        order = np.argsort(part, kind="stable")
+        parts, out = [], []
+        for some in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+            parts.append(int(part[some[0]]))
+            spots = some.tolist()
+            out.append(encode_run([self.texts[i] for i in spots], [self.befores[i] for i in spots], mask[some], key[some], tag[some], at[some]))
+        self.__init__()
+        none = pa.nulls(len(out), pa.int64())
+        arrays = [none, pa.nulls(len(out), pa.int32()), none, none, pa.array(parts, pa.int32()), pa.array(out, pa.binary())]
+        return pa.RecordBatch.from_arrays(arrays, schema=ROWS)
+
+
+def gather(chunk: Chunk, key: np.ndarray, tag: np.ndarray, bits: np.ndarray, frequent: np.ndarray, parts: int, into: Suffixes) -> Iterator[pa.RecordBatch]:
+    """Tells spans that the chunk settles itself; suffixes that others must be compared with go to ``into``."""
     anchors = Anchors(chunk)
     a = anchors.at
     short = anchors.grams[a] >> np.uint64(8)
@@ -316,25 +340,10 @@ def run_rows(chunk: Chunk, key: np.ndarray, tag: np.ndarray, bits: np.ndarray, f
     owner = np.concatenate([row[kept], row[i[~cold]]])
     part = (np.concatenate([gram[kept], hashes[~cold]]) >> np.uint64(20)) % np.uint64(parts)
     text = chunk.data.tobytes()
-    order = np.argsort(part, kind="stable")
-    cuts = np.flatnonzero(np.diff(part[order])) + 1
-    out = []
-    for some in np.split(order, cuts):
-        if len(some):
-            spots = list(zip(at[some].tolist(), left[some].tolist(), right[some].tolist(), strict=True))
-            run = encode_run(
-                [text[p : p + r] for p, _, r in spots],
-                [text[p - b : p] for p, b, _ in spots],
-                mask[some],
-                key[owner[some]],
-                tag[owner[some]],
-                at[some] - chunk.offsets[owner[some]],
-            )
-            out.append((int(part[some[0]]), run))
-    if out:
-        none = pa.nulls(len(out), pa.int64())
-        arrays = [none, pa.nulls(len(out), pa.int32()), none, none, pa.array([p for p, _ in out], pa.int32()), pa.array([r for _, r in out], pa.binary())]
-        yield pa.RecordBatch.from_arrays(arrays, schema=ROWS)
+    for p, b, r in zip(at.tolist(), left.tolist(), right.tolist(), strict=True):
+        into.texts.append(text[p : p + r])
+        into.befores.append(text[p - b : p])
+    into.numbers.append(np.stack([part.astype(np.int64), key[owner], tag[owner].astype(np.int64), at - chunk.offsets[owner], mask.astype(np.int64)]))
 
 
 SPANS = pa.schema([("key", pa.int64()), ("tag", pa.int32()), ("first", pa.int64()), ("last", pa.int64())])
@@ -395,12 +404,17 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict = {}
         bits, frequent = given.value
+        waiting = Suffixes()
         for batch in batches:
             fresh = _fresh(batch, seen)
             keys, tags = np.asarray(fresh.column("key")), np.asarray(fresh.column("tag"))
             for chunk in chunks(fresh.column("text"), PIECE):
                 part = slice(chunk.first, chunk.first + chunk.rows)
-                yield from run_rows(chunk, keys[part], tags[part], bits, frequent, parts)
+                yield from gather(chunk, keys[part], tags[part], bits, frequent, parts, waiting)
+                if len(waiting.texts) >= SORTED:
+                    yield waiting.runs()
+        if waiting.texts:
+            yield waiting.runs()
 
     spans = numbers.mapInArrow(run, ROW_TYPES).groupBy("part").applyInArrow(merge_part, "key long, tag int, first long, last long")
     return spans.unionByName(_copies(numbers))
