@@ -35,11 +35,15 @@ def ece_bin(p: Column, edges: Sequence[float] = ECE_EDGES) -> Column:
     return b
 
 
+#: Ranges of a probability, the unit of its running counts.
+PROBABILITY_CELLS = 4096
+
+
 def probability_table(df: DataFrame, keys: Sequence[str], label: str, prob: str) -> DataFrame:
     kept = df.where(F.col(label).isNotNull() & F.col(prob).isNotNull()).select(
         *keys, F.col(label).cast("int").alias("_y"), clip_probability(F.col(prob)).alias("_p")
     )
-    return value_ranks(kept, list(keys), "_p", {"_pos": F.col("_y")})
+    return value_ranks(kept, list(keys), "_p", {"_pos": F.col("_y")}, cell=F.floor(F.col("_p") * PROBABILITY_CELLS))
 
 
 def binary_metrics(df: DataFrame, keys: Sequence[str], label: str, prob: str, prefix: str = "") -> DataFrame:

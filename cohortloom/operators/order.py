@@ -146,19 +146,22 @@ def running(
     return joined.select(*[F.col(x) for x in df.columns], *result)
 
 
-def value_ranks(df: DataFrame, keys: list[str], col: str, sums: dict[str, Column] | None = None) -> DataFrame:
+def value_ranks(df: DataFrame, keys: list[str], col: str, sums: dict[str, Column] | None = None, cell: Column | None = None) -> DataFrame:
     """One row per (group, distinct value): ``cnt``, rows ``before`` it, group size ``n``, plus extra ``sums``.
 
     Equal values are merged on the map side first, so a value held by a third of all rows costs one row. NULL values
     are left out. The merged table is written once to the shared folder: the sketch and both halves of the scan read
-    it, and the source is read a single time.
+    it, and the source is read a single time. With a range number of the caller (``cell``, in the order of the values) no
+    sketch is needed and nothing is written: both halves of the scan reuse the exchange of the merged table.
     """
     extra = [F.sum(c).alias(k) for k, c in (sums or {}).items()]
+    ranks = {"before": ("before", F.col("cnt")), "n": ("total", F.col("cnt"))}
+    if cell is not None:
+        merged = df.where(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.count(F.lit(1)).alias("cnt"), *extra)
+        return running(merged, keys, col, ranks, cell=cell)
     counts = cut(df.where(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.count(F.lit(1)).alias("cnt"), *extra))
     splits = split_points(counts, col)
-    return running(
-        counts, keys, col, {"before": ("before", F.col("cnt")), "n": ("total", F.col("cnt"))}, splits=splits
-    )
+    return running(counts, keys, col, ranks, splits=splits)
 
 
 def average_rank() -> Column:
