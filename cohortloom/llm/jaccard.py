@@ -103,28 +103,31 @@ def signatures(values: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
 
 
-def histogram(values: np.ndarray) -> bytes:
-    """How many shingles fall into each of a power of two of buckets, about half as many as there are (255 at most)."""
-    bits = max(len(values) - 1, 1).bit_length() - 1
-    counts = np.bincount((values >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(values), np.int64), minlength=1 << bits)
-    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+def occupancy(values: np.ndarray) -> bytes:
+    """Which of a power of two of buckets, four to eight times the shingles, hold a shingle; a bit each."""
+    bits = max(len(values) - 1, 1).bit_length() + 2
+    flags = np.zeros(1 << bits, dtype=bool)
+    flags[(values >> np.uint64(64 - bits)).astype(np.int64)] = True
+    return np.packbits(flags).tobytes()
+
+
+def folded(shape: bytes, width: int) -> np.ndarray:
+    """An occupancy in ``width`` bytes: neighbouring buckets become one."""
+    packed = np.frombuffer(shape, np.uint8)
+    if len(packed) == width:
+        return packed
+    return np.packbits(np.unpackbits(packed).reshape(8 * width, -1).any(axis=1))
 
 
 def plausible(x: bytes, y: bytes, n: int, m: int) -> bool:
-    """Whether sets of ``n`` and ``m`` shingles with these histograms can be similar enough: the histograms differ in no
-    more places than the sets do. Of the longer one neighbouring buckets are added up first."""
-    a, b = np.frombuffer(x, np.uint8).astype(np.int32), np.frombuffer(y, np.uint8).astype(np.int32)
-    if max(a.max(), b.max()) == 255:
-        return True
-    if len(a) > len(b):
-        a = a.reshape(len(b), -1).sum(axis=1)
-    elif len(b) > len(a):
-        b = b.reshape(len(a), -1).sum(axis=1)
-    return 7 * int(np.abs(a - b).sum()) <= n + m
+    """Whether sets of ``n`` and ``m`` shingles with these occupancies can be similar enough: a bucket that one set alone
+    occupies holds a shingle that it alone has, so the occupancies differ in no more places than the sets do."""
+    width = min(len(x), len(y))
+    return 7 * int(np.bitwise_count(folded(x, width) ^ folded(y, width)).sum(dtype=np.int64)) <= n + m
 
 
 def describe(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows (key, n, class, histogram) of all texts, the histogram once per class and task, and rows (frequent, times) of
+    """Rows (key, n, class, occupancy) of all texts, the occupancy once per class and task, and rows (frequent, times) of
     shingles that repeat within a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +153,7 @@ def describe(docs: DataFrame, key: str, text: str) -> DataFrame:
                 fresh = [len(v) > 0 and not (c in seen or seen.add(c)) for v, c in zip(sets, ids, strict=True)]
                 n = chunk.rows
                 none = pa.nulls(n, pa.int64())
-                shapes = pa.array([histogram(v) if f else None for v, f in zip(sets, fresh, strict=True)], pa.binary())
+                shapes = pa.array([occupancy(v) if f else None for v, f in zip(sets, fresh, strict=True)], pa.binary())
                 columns = [keys.slice(chunk.first, n), pa.array([len(v) for v in sets], pa.int64()), pa.array(ids, pa.int64()), shapes, none, none]
                 yield pa.RecordBatch.from_arrays(columns, names=NAMES)
                 gathered += [v for v, f in zip(sets, fresh, strict=True) if f]
@@ -162,10 +165,10 @@ def describe(docs: DataFrame, key: str, text: str) -> DataFrame:
             yield often(kind)
 
     kind = docs.schema[key].dataType.simpleString()
-    return _texts(docs, key, text).mapInArrow(run, f"key {kind}, n long, class long, histogram binary, frequent long, times long")
+    return _texts(docs, key, text).mapInArrow(run, f"key {kind}, n long, class long, occupancy binary, frequent long, times long")
 
 
-NAMES = ["key", "n", "class", "histogram", "frequent", "times"]
+NAMES = ["key", "n", "class", "occupancy", "frequent", "times"]
 
 
 def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -243,7 +246,7 @@ def _similar(x: tuple, y: tuple) -> bool:
 
 
 def likely_pairs(pairs: DataFrame, shapes: DataFrame) -> DataFrame:
-    return filtered(pairs, shapes, ["histogram", "n"], lambda x, y: plausible(x[0], y[0], x[1], y[1]))
+    return filtered(pairs, shapes, ["occupancy", "n"], lambda x, y: plausible(x[0], y[0], x[1], y[1]))
 
 
 def verified(texts: DataFrame, likely: DataFrame) -> DataFrame:
@@ -256,8 +259,7 @@ def verified(texts: DataFrame, likely: DataFrame) -> DataFrame:
 def _tile(parts: list[int], blocks: list[int], ids: np.ndarray, n: np.ndarray, shapes: list[bytes], across: bool) -> np.ndarray:
     """Plausible pairs (rows of two classes) among the members of one tile that are in different components."""
     width = min(map(len, shapes))
-    table = np.array([np.frombuffer(h, np.uint8).reshape(width, -1).sum(axis=1) for h in shapes], dtype=np.int32)
-    full = np.array([255 in h for h in shapes])
+    table = np.array([folded(h, width) for h in shapes])
     part, block = np.array(parts), np.array(blocks)
     out = []
     for i in range(len(ids) - 1):
@@ -265,14 +267,13 @@ def _tile(parts: list[int], blocks: list[int], ids: np.ndarray, n: np.ndarray, s
         if across:
             other &= block[i + 1 :] != block[i]
         at = np.flatnonzero(other) + i + 1
-        near = (7 * np.abs(table[at] - table[i]).sum(axis=1) <= n[at] + n[i]) | full[at] | full[i]
-        at = at[near]
+        at = at[7 * np.bitwise_count(table[at] ^ table[i]).sum(axis=1, dtype=np.int64) <= n[at] + n[i]]
         out.append(np.stack([np.minimum(ids[at], ids[i]), np.maximum(ids[at], ids[i])], axis=1))
     return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
 
 def tiled_pairs(apart: DataFrame, shapes: DataFrame) -> DataFrame:
-    """Plausible pairs of the subsets with many members. Members are compared by their histograms inside tasks, so that
+    """Plausible pairs of the subsets with many members. Members are compared by their occupancies inside tasks, so that
     pairs which are not similar never become rows. A subset of more than ``TILE`` members is cut into blocks, and each
     task holds two of them."""
     blocks = F.ceil(F.col("size") / F.lit(TILE)).cast("int")
@@ -280,7 +281,7 @@ def tiled_pairs(apart: DataFrame, shapes: DataFrame) -> DataFrame:
     rows = apart.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).join(shapes, "class")
     tile = ["signature", "low", "high"]
-    rows = rows.select(*tile, "own", "class", "part", "n", "histogram").repartition(*tile).sortWithinPartitions(*tile, "class")
+    rows = rows.select(*tile, "own", "class", "part", "n", "occupancy").repartition(*tile).sortWithinPartitions(*tile, "class")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[np.ndarray] = []
@@ -358,7 +359,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     top = described.filter("frequent is not null").groupBy("frequent").agg(F.sum("times").alias("times"))
     # At most FREQUENT numbers.
     frequent = np.array([r["frequent"] for r in top.orderBy(F.desc("times"), "frequent").limit(FREQUENT).collect()], dtype=np.int64)
-    shapes = described.filter("histogram is not null").groupBy("class").agg(F.first("n").alias("n"), F.first("histogram").alias("histogram"))
+    shapes = described.filter("occupancy is not null").groupBy("class").agg(F.first("n").alias("n"), F.first("occupancy").alias("occupancy"))
     label = components(class_links(texts, shapes, np.sort(frequent.view(np.uint64))))
     classes = base.filter("n > 0").groupBy("class").agg(F.min("key").alias("first"))
     rooted = classes.join(label, F.col("class") == F.col("node"), "left").select("class", "first", F.coalesce("label", "class").alias("root"))

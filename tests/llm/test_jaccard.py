@@ -87,7 +87,7 @@ def test_every_similar_pair_shares_a_signature():
         both = len(np.intersect1d(x, y))
         if 100 * both >= 75 * (len(x) + len(y) - both) and not np.array_equal(x, y):
             assert len(np.intersect1d(j.signatures(x, frequent), j.signatures(y, frequent))), (len(x), len(y))
-            assert j.plausible(j.histogram(x), j.histogram(y), len(x), len(y))
+            assert j.plausible(j.occupancy(x), j.occupancy(y), len(x), len(y))
 
 
 def test_components(spark):
