@@ -1,7 +1,7 @@
 """Suffix-array dedup of passages: each byte covered by a SPAN-byte string that also starts in a smaller document goes.
 
 Only sampled suffixes are sorted. Of every SPAN-byte window the K-byte gram with the smallest hash is its anchor, so equal
-windows have equal anchors at equal places, and one suffix in about 17 is an anchor. Steps:
+windows have equal anchors at equal places, and one suffix in about 14 is an anchor. Steps:
 
 1. Tasks tell which anchor grams they have; grams of one document alone leave the race (a bounded bit map of the others
    only saves work: a gram let through in error finds no partner).
@@ -28,7 +28,7 @@ from cohortloom.llm.bitmap import bit_map, has_bit
 from cohortloom.llm.text import _BYTE_VALUE, Chunk, _powers, chunks, mix64, prefix_hash, range_hash
 from cohortloom.session import cut
 
-SPAN, K = 50, 16
+SPAN, K = 50, 24
 REACH = SPAN - K
 PIECE = 1 << 19
 #: Anchors that a task gathers before it tells their grams.
@@ -36,7 +36,7 @@ GATHERED = 1 << 20
 #: Bits of the map of shared grams, documents from which a gram counts as frequent, and frequent grams at most.
 MAP_BITS, FREQUENT_FROM, FREQUENT = 27, 512, 1 << 16
 #: Suffixes that a task sorts into runs at once; suffixes of a merge, about; rows of windows that are compared at once.
-SORTED, MERGED, COMPARED = 150_000, 100_000, 20_000
+SORTED, MERGED, COMPARED = 100_000, 40_000, 8_000
 NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
