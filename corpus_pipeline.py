@@ -1,8 +1,8 @@
 """A training-data pipeline: STAGES are applied in order, each to the table that its predecessor wrote.
 
 Each stage takes (spark, docs, sf_dir) and calls one operator; all but the last return the columns of ``docs``. Rows that
-agree in doc_id and text are one document; a null doc_id passes every stage that compares documents. An empty table
-passes all stages. Extra columns pass through, whatever their names.
+agree in doc_id and text are one document; rows that share a doc_id (or have none) but differ in text are judged each by
+its own text. An empty table passes all stages. Extra columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,10 +18,17 @@ from cohortloom.llm.quality import score_quality
 from cohortloom.session import cut
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(row, text): row tells documents apart by doc_id and text. It sorts by doc_id, those without one last."""
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.xxhash64("text").alias("text_hash"))
+    return docs.select(row.alias("row"), "text")
+
+
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The rows whose doc_id isn't in ``dropped``; Spark broadcasts the ids where it has measured them to be few."""
-    ids = dropped.select(F.col("doc_id").alias("__dropped")).distinct()
-    return docs.join(ids, F.col("doc_id") == F.col("__dropped"), "left_anti")
+    """The rows whose doc_id and text aren't in ``dropped`` (row); Spark broadcasts these where it has measured them to be few."""
+    gone = dropped.select(F.col("row.doc_id").alias("__id"), F.col("row.text_hash").alias("__hash")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
+    return docs.join(gone, same, "left_anti")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,14 +45,14 @@ def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the smallest doc_id stays."""
-    return _without(docs, jaccard_components(docs).filter(F.col("doc_id") != F.col("component_id")))
+    """Of each group of near copies, the document with the smallest doc_id stays; of several with it, one text."""
+    return _without(docs, jaccard_components(_keyed(docs), key="row").filter(F.col("row") != F.col("component_id")))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents of whose words one in twenty or more lies in a benchmark passage."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _without(docs, decontaminate(docs, benchmark).filter("contaminated"))
+    return _without(docs, decontaminate(_keyed(docs), benchmark, key="row").filter("contaminated"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
