@@ -3,8 +3,8 @@
 The automaton of all templates is a few thousand states, built once per worker. A text is streamed through it word by
 word, which gives the matching statistics: how long the longest run of words ending here is that stands in a template.
 Words outside the templates, and pairs of words that follow each other in no template, end every longer match, so the
-stream is cut there with NumPy and only the pieces between are walked in Python. Long maximal matches are chained per
-template into covered spans; short phrases are places where the walk has just read a whole phrase.
+stream is cut there with NumPy and only the pieces between are walked in Python. Where a piece holds a long match, all its
+long runs with all their places in the templates are chained per template into covered spans; short phrases are places where the walk has just read a whole phrase.
 """
 
 from __future__ import annotations
@@ -83,8 +83,6 @@ class State:
     length: int
     link: int = -1
     follow: dict[int, int] = field(default_factory=dict)
-    #: (template, last word) of every place where the state's strings end.
-    ends: list[tuple[int, int]] = field(default_factory=list)
     #: Phrases that end here whatever the length read, and those that need that length.
     always: tuple[int, ...] = ()
     own: tuple[tuple[int, int], ...] = ()
@@ -99,16 +97,11 @@ class Automaton:
         self.words = {w: i for i, w in enumerate(dict.fromkeys(w for s in sequences for w in s))}
         self.states = [State(0)]
         coded = [[self.words[w] for w in s] for s in sequences]
-        for number, sequence in enumerate(coded):
+        for sequence in coded:
             last = 0
-            for at, word in enumerate(sequence):
+            for word in sequence:
                 last = self._extend(last, word)
-                self.states[last].ends.append((number, at))
         order = sorted(range(1, len(self.states)), key=lambda i: -self.states[i].length)
-        for i in order:
-            state = self.states[i]
-            if state.link > 0:
-                self.states[state.link].ends.extend(state.ends)
         for p, sequence in enumerate(coded[: len(phrases)]):
             at = 0
             for word in sequence:
@@ -120,6 +113,12 @@ class Automaton:
                 above = self.states[state.link]
                 state.always = above.always + tuple(p for p, _ in above.own)
         self.lengths = [len(s) for s in coded]
+        #: Every place (template, position) of a word, and the words that are phrases.
+        self.places: dict[int, list[tuple[int, int]]] = {}
+        for number in range(len(phrases), len(coded)):
+            for at, word in enumerate(coded[number]):
+                self.places.setdefault(word, []).append((number, at))
+        self.singles = [s[0] for s in coded[: len(phrases)] if len(s) == 1]
         self.pairs = np.unique([a * len(self.words) + b for s in coded for a, b in zip(s, s[1:], strict=False)])
         text = " ".join(self.words)
         chunk = next(chunks(pa.array([text])))
@@ -175,43 +174,89 @@ class Automaton:
                 length += 1
             yield i, state, length
 
+    def runs(self, codes: list[int]) -> Iterator[tuple[int, int, int, int]]:
+        """(template, position, template position, words) of every maximal run that a piece shares with a place of a template."""
+        open_: dict[tuple[int, int], int] = {}
+        for i, word in enumerate([*codes, -1]):
+            here = {(number, at): open_.pop((number, at - 1), 0) + 1 for number, at in self.places.get(word, ())}
+            for (number, at), n in open_.items():
+                if n >= LONG_MATCH:
+                    yield number, i - n, at - n + 1, n
+            open_ = here
+
 
 @lru_cache(maxsize=4)
 def automaton(phrases: tuple, templates: tuple) -> Automaton:
     return Automaton(phrases, templates)
 
 
-def chain(matches: list[tuple[int, int, int]]) -> tuple[int, int, int]:
-    """Best chain of (text start, template start, words) in text order: (words covered, first, last) of the text.
-
-    A match continues the open chain when it lies behind it in text and template, without too large a gap."""
-    best = (0, 0, 0)
-    covered, first, text_end, template_end = 0, 0, -1, -1
-    for at, place, n in matches:
-        skip = max(0, text_end - at, template_end - place) if text_end >= 0 else 0
-        if text_end < 0 or at - text_end > MOST_GAP or place + n <= template_end or skip >= n:
-            covered, first, skip = 0, at, 0
-        covered, text_end, template_end = covered + n - skip, at + n, place + n
-        best = max(best, (covered, -first, text_end))
-    return best[0], -best[1], best[2]
+Match = tuple[int, int, int]
+
+
+def best_chain(matches: list[Match]) -> tuple[int, list[tuple[int, int]]]:
+    """Words covered by the best chain of (text start, template start, words), and the spans of text that it takes.
+
+    A match continues a chain when it ends behind it in text and template, without too large a gap; what overlaps counts
+    once. Of equal chains the one nearest the middle is taken, so that many copies halve the matches left."""
+    order = sorted(matches, key=lambda m: (m[0] + m[2], m[1] + m[2], m[2]))
+    covered, before, skipped = [], [], []
+    for i, (at, place, n) in enumerate(order):
+        most, last, less = n, -1, 0
+        for j in range(i - 1, -1, -1):
+            text_end, template_end = order[j][0] + order[j][2], order[j][1] + order[j][2]
+            if at - text_end > MOST_GAP:
+                break
+            skip = max(0, text_end - at, template_end - place)
+            if skip < n and text_end < at + n and covered[j] + n - skip > most:
+                most, last, less = covered[j] + n - skip, j, skip
+        covered.append(most)
+        before.append(last)
+        skipped.append(less)
+    top = max(covered)
+    at = min((i for i, c in enumerate(covered) if c == top), key=lambda i: abs(2 * i - len(order)))
+    spans = []
+    while at >= 0:
+        spans.append((order[at][0] + skipped[at], order[at][0] + order[at][2]))
+        at = before[at]
+    return top, spans[::-1]
+
+
+def clipped(matches: list[Match], low: int, high: int) -> list[Match]:
+    """The parts of matches that lie in a span of text and are long enough."""
+    cut = [(max(at, low), place + max(low - at, 0), min(at + n, high) - max(at, low)) for at, place, n in matches]
+    return [m for m in cut if m[2] >= LONG_MATCH]
+
+
+def all_chains(matches: list[Match], least: float) -> list[tuple[int, int, int]]:
+    """(words covered, first, last) of every chain that covers ``least`` words: the best first, then those of the text it leaves."""
+    found, left, end = [], [], 0
+    for match in sorted(matches):
+        # No chain bridges a wide gap, so each part is searched alone.
+        if not left or match[0] - end > MOST_GAP:
+            left.append([])
+        left[-1].append(match)
+        end = max(end, match[0] + match[2])
+    while left:
+        some = left.pop()
+        if len({at + k for at, _, n in some for k in range(n)}) < least:
+            continue
+        covered, spans = best_chain(some)
+        if covered < least:
+            continue
+        found.append((covered, spans[0][0], spans[-1][1]))
+        edges = [min(m[0] for m in some), *[x for span in spans for x in span], max(m[0] + m[2] for m in some)]
+        left += [part for a, b in zip(edges[::2], edges[1::2], strict=True) if (part := clipped(some, a, b))]
+    return found
 
 
 def scan_row(machine: Automaton, pieces: list[tuple[int, list[int]]]) -> tuple[list[tuple[int, int]], list[tuple[int, int, int, float]]]:
     """Phrase places (phrase, first word) and template findings (template, first, last word, cover) of one text."""
     places: list[tuple[int, int]] = []
-    matches: dict[int, list[tuple[int, int, int]]] = {}
+    matches: dict[int, list[Match]] = {}
     n_phrases = len(machine.phrases)
 
-    def keep(at: int, state: int, length: int) -> None:
-        if length >= LONG_MATCH:
-            seen = set()
-            for number, end in machine.states[state].ends:
-                if number >= n_phrases and number not in seen:
-                    seen.add(number)
-                    matches.setdefault(number, []).append((at - length + 1, end - length + 1, length))
-
     for offset, codes in pieces:
-        before = (0, 0, 0)
+        longest = 0
         for i, state, length in machine.walk(codes):
             here = machine.states[state]
             for p in here.always:
@@ -219,17 +264,14 @@ def scan_row(machine: Automaton, pieces: list[tuple[int, list[int]]]) -> tuple[l
             for p, n in here.own:
                 if length >= n:
                     places.append((p, offset + i - n + 1))
-            # A match is maximal where the next one isn't its extension.
-            if length <= before[2]:
-                keep(*before)
-            before = (offset + i, state, length)
-        keep(*before)
+            longest = max(longest, length)
+        if longest >= LONG_MATCH:
+            for number, at, place, n in machine.runs(codes):
+                matches.setdefault(number, []).append((offset + at, place, n))
     found = []
     for number, some in matches.items():
-        covered, first, last = chain(some)
-        share = covered / machine.lengths[number]
-        if share >= LEAST_COVER:
-            found.append((number - n_phrases, first, last, share))
+        size = machine.lengths[number]
+        found += [(number - n_phrases, first, last, covered / size) for covered, first, last in all_chains(some, LEAST_COVER * size)]
     return places, found
 
 
@@ -239,7 +281,7 @@ def pieces_of(machine: Automaton, chunk: Chunk) -> tuple[np.ndarray, dict[int, l
     codes = machine.codes(word_hashes(chunk, words))
     counts = np.diff(words.row_first)
     out: dict[int, list[tuple[int, list[int]]]] = {}
-    if len(codes) < 2:
+    if not len(codes):
         return counts, out
     pair = np.where((codes[:-1] >= 0) & (codes[1:] >= 0), codes[:-1] * len(machine.words) + codes[1:], -1)
     joined = np.isin(pair, machine.pairs)
@@ -247,7 +289,13 @@ def pieces_of(machine: Automaton, chunk: Chunk) -> tuple[np.ndarray, dict[int, l
     joined[inner - 1] = False
     edges = np.diff(np.concatenate([[0], joined.astype(np.int8), [0]]))
     rows = words.row_of()
-    for a, b in zip(np.flatnonzero(edges == 1), np.flatnonzero(edges == -1), strict=True):
+    first, last = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    if machine.singles:
+        # A word that is a whole phrase is a piece also where it stands alone.
+        inside = np.concatenate([joined, [False]]) | np.concatenate([[False], joined])
+        alone = np.flatnonzero(np.isin(codes, machine.singles) & ~inside)
+        first, last = np.concatenate([first, alone]), np.concatenate([last, alone])
+    for a, b in zip(first, last, strict=True):
         row = int(rows[a])
         out.setdefault(row, []).append((int(a - words.row_first[row]), codes[a : b + 1].tolist()))
     return counts, out
@@ -259,10 +307,10 @@ PLACE = pa.struct([("label", pa.string()), ("first", pa.int64())])
 
 def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", phrases: tuple = PHRASES, templates: tuple = TEMPLATES) -> DataFrame:
     """One row per input row: key, n_words, phrases (label and first word of every place), findings (template, covered
-    span of words, last exclusive, share of the template's words).
+    span of words, last exclusive, share of the template's words), one for every chain that covers enough.
 
     Null and empty texts have no words and no findings; equal texts have equal ones. Phrases may overlap; each place
-    counts. Of equal chains the one with the earliest start is told. An empty table gives no rows. Only key and text are
+    counts. Chains of one template share no word of the text. An empty table gives no rows. Only key and text are
     read, so other columns may have any name. Rows are streamed: memory holds one piece of a batch at a time.
     """
 
