@@ -9,8 +9,9 @@ All visible text is emitted; nothing is judged as boilerplate.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from html import unescape
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
+from html import escape, unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,12 +20,14 @@ from pyspark.sql import functions as F
 # Element classes of the public HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
-HIDDEN = frozenset("head script style template noscript iframe object video audio canvas svg math noembed noframes datalist param source track".split())
+HIDDEN = frozenset("head script style template noscript iframe object video audio canvas noembed noframes datalist param source track".split())
+#: Parts of formulas and drawings that are not shown.
+HIDDEN_IN_FOREIGN = frozenset("annotation annotation-xml title desc defs metadata".split())
 BLOCK = frozenset(
     "html body address article aside blockquote center details dialog dd dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
-    "header hgroup hr legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption select".split()
+    "header hgroup hr legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption select xmp".split()
 )
-SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure".split())
+SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre xmp table figure".split())
 TABLE_PARTS = frozenset("table caption colgroup thead tbody tfoot tr td th".split())
 #: Start tags that end an open element: tag -> (elements ended, elements beyond which nothing is ended).
 ENDS = {
@@ -50,7 +53,8 @@ TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 BLANKS = re.compile(r"[ \t\n\r\f]+")
 HIDING_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
-#: Elements nested deeper are laid into the one at this depth, so that a hostile page can't exhaust the walk.
+#: The content of elements nested deeper is laid into the one at this depth, so that a hostile page can't exhaust the walk.
+#: They stay on the stack of open elements, so that their end tags close no other.
 MOST_DEPTH = 200
 
 
@@ -84,19 +88,28 @@ def build_tree(page: str) -> Element:
     """The tree of a page. End tags without a start are ignored; open elements end with their parent or the page."""
     root = Element("#root")
     open_: list[Element] = [root]
+    #: Where the elements of each tag stand on the stack.
+    where: dict[str, list[int]] = {}
+
+    def begin(element: Element) -> None:
+        where.setdefault(element.tag, []).append(len(open_))
+        open_.append(element)
 
     def end_down_to(index: int) -> None:
-        del open_[index:]
+        while len(open_) > index:
+            element = open_.pop()
+            where[element.tag].pop()
+            if len(open_) >= MOST_DEPTH and element.tag in BLOCK and not element.hidden:
+                element.children.append(Element("div"))
+
+    def nearest(tags: Iterable[str]) -> int:
+        """Index of the innermost open element of ``tags``, or 0."""
+        return max((where[t][-1] for t in tags if where.get(t)), default=0)
 
     def find(tags, scope) -> int:
         """Index of the outermost open element of ``tags`` above the nearest of ``scope``, or 0."""
-        found = 0
-        for i in range(len(open_) - 1, 0, -1):
-            if open_[i].tag in scope:
-                break
-            if open_[i].tag in tags:
-                found = i
-        return found
+        low = nearest(scope)
+        return min((some[k] for t in tags if (some := where.get(t)) and (k := bisect_right(some, low)) < len(some)), default=0)
 
     at, n = 0, len(page)
     while at < n:
@@ -108,13 +121,18 @@ def build_tree(page: str) -> Element:
             open_[-1].children.append(page[at : match.start()])
         at = match.end()
         tag = match[2]
+        foreign = nearest(("svg", "math")) > nearest(("foreignobject",))
         if tag is None:
+            if foreign and page.startswith("<![CDATA[", match.start()):
+                end = page.find("]]>", match.start())
+                open_[-1].children.append(escape(page[match.start() + 9 : end if end >= 0 else n]))
+                at = end + 3 if end >= 0 else n
             continue
         tag = tag.lower()
         if match[1]:
             scope = {"table"} if tag not in TABLE_PARTS else set() if tag == "table" else {"table"} - {tag}
-            index = next((i for i in range(len(open_) - 1, 0, -1) if open_[i].tag == tag or (open_[i].tag in scope and open_[i].tag != tag)), 0)
-            if index and open_[index].tag == tag:
+            index = nearest((tag,))
+            if index > nearest(scope - {tag}):
                 end_down_to(index)
             elif tag == "p" or tag == "br":
                 open_[-1].children.append(Element(tag))
@@ -129,16 +147,24 @@ def build_tree(page: str) -> Element:
                 end_down_to(index)
         element = _element(tag, match[3])
         open_[-1].children.append(element)
-        if tag in VOID:
+        if foreign and tag in HIDDEN_IN_FOREIGN:
+            element.hidden = True
+        if tag in VOID or (match[3].endswith("/") and (foreign or tag in ("svg", "math"))):
             continue
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
             end = close.start() if close else n
             if tag in ("textarea", "title") and not element.hidden:
                 element.children.append(page[at:end])
+            elif tag == "xmp" and not element.hidden:
+                # Nothing in it is a character reference.
+                element.children.append(escape(page[at:end]))
             at = close.end() if close else n
-        elif len(open_) < MOST_DEPTH:
-            open_.append(element)
+        else:
+            if len(open_) >= MOST_DEPTH and not element.hidden:
+                element = Element(tag)
+                element.children = open_[-1].children
+            begin(element)
     return root
 
 
@@ -242,9 +268,10 @@ def render(element: Element, out: Writer, kept: bool = False) -> None:
             out.block([(mark if i == 0 and mark else indent) + line if line else line for i, line in enumerate(lines)])
             if tag in SPACED and element.tag != "li":
                 out.apart()
-        elif tag in BLOCK:
+        elif tag in BLOCK or tag == "text":
+            # A text of a drawing has a place of its own.
             out.apart() if tag in SPACED else out.end_line()
-            render(child, out, kept or tag == "pre")
+            render(child, out, kept or tag in ("pre", "xmp"))
             out.apart() if tag in SPACED else out.end_line()
         else:
             if tag == "q":
