@@ -164,6 +164,59 @@ def _(spark, sf):
     return secret_digest(documents(spark, sf))
 
 
+#: CRC-32 of a short ASCII text.
+CRC32 = """xor(list_reduce([CAST(ord(x) AS BIGINT) FOR x IN string_split({}, '')], lambda crc, b:
+  list_reduce(range(8), lambda v, i: xor(v >> 1, (v & 1) * 3988292384), xor(crc, b)), CAST(4294967295 AS BIGINT)), 4294967295)"""
+
+
+@query(
+    "op11_conversation_repair",
+    f"""WITH RECURSIVE o AS (
+      SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+    c AS (SELECT *, {CRC32.format("k")} % 20 AS c FROM o),
+    d AS (SELECT conv_id, turn, CASE WHEN c = 4 THEN 'user' ELSE role END AS role,
+        CASE WHEN c = 1 THEN '' WHEN c = 2 THEN translate(text, '.!?', '') ELSE text END AS text
+      FROM c, unnest(range(CASE WHEN c = 0 THEN 0 WHEN c = 3 THEN 2 ELSE 1 END)) AS t(copy)),
+    n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, substr(role, 1, 1) AS l FROM d),
+    f AS (SELECT *, lag(l) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+        CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b'
+          WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+          WHEN regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault FROM n),
+    p AS (
+      SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, 'n' AS s, {{'c': CAST(0 AS BIGINT), 'a': '', 't': CAST([] AS VARCHAR[])}} AS v FROM conversations
+      UNION ALL
+      SELECT conv_id, i + 1, CASE e WHEN 'D' THEN s WHEN 'K' THEN l ELSE put END,
+        min({{'c': v.c + CASE e WHEN 'D' THEN 3 WHEN 'K' THEN 0 ELSE 2 END + CASE WHEN e <> 'D' AND fault = 't' THEN 1 ELSE 0 END, 'a': v.a || e,
+          't': CASE e WHEN 'D' THEN v.t WHEN 'K' THEN list_append(v.t, role || ':' || text) ELSE list_append(v.t, CASE put WHEN 'a' THEN 'assistant:' ELSE 'user:' END || text) END}})
+      FROM (
+        SELECT q.*, f.role, f.text, f.fault, f.l, CASE q.s WHEN 'u' THEN 'a' ELSE 'u' END AS put
+        FROM (
+          SELECT conv_id, i, s, v FROM p
+          UNION ALL
+          SELECT conv_id, i, CASE s WHEN 'u' THEN 'a' ELSE 'u' END, {{'c': v.c + 2, 'a': v.a || 'I', 't': list_append(v.t, CASE s WHEN 'u' THEN 'assistant:' ELSE 'user:' END)}} FROM p
+          UNION ALL
+          SELECT conv_id, i, 'a', {{'c': v.c + 4, 'a': v.a || 'II', 't': list_append(list_append(v.t, 'user:'), 'assistant:')}} FROM p WHERE s IN ('n', 's')) q
+        JOIN f ON f.conv_id IS NOT DISTINCT FROM q.conv_id AND f.i = q.i + 1) r, unnest(['D', 'K', 'R']) AS t(e)
+      WHERE e = 'D' OR (fault NOT IN ('b', 'd') AND (e = 'R' OR s || l IN ('ns', 'nu', 'su', 'ua', 'au')))
+      GROUP BY ALL),
+    g AS (SELECT p.conv_id, min({{'c': v.c + CASE s WHEN 's' THEN 4 WHEN 'u' THEN 2 ELSE 0 END, 'a': v.a || CASE s WHEN 's' THEN 'II' WHEN 'u' THEN 'I' ELSE '' END,
+          't': CASE s WHEN 's' THEN list_append(list_append(v.t, 'user:'), 'assistant:') WHEN 'u' THEN list_append(v.t, 'assistant:') ELSE v.t END}}) AS v
+      FROM p LEFT JOIN (SELECT conv_id, max(i) AS n FROM f GROUP BY conv_id) m ON m.conv_id IS NOT DISTINCT FROM p.conv_id
+      WHERE p.i = coalesce(n, 0) GROUP BY p.conv_id),
+    z AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'b') AS blank,
+        count(*) FILTER (WHERE fault = 'd') AS duplicate, count(*) FILTER (WHERE fault = 't') AS truncated,
+        count(*) FILTER (WHERE i > 1 AND before || l NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+    SELECT g.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+      coalesce(illegal, 0) AS illegal, g.v.c AS cost, g.v.a AS audit, sha256(array_to_string(g.v.t, chr(10))) AS repaired_sha256
+    FROM g LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM g.conv_id""",
+)
+def _(spark, sf):
+    from cohortloom.llm.repair import audit_damaged
+
+    return audit_damaged(spark.read.parquet(f"{sf}/conversations.parquet"))
+
+
 def load() -> tuple[dict, dict]:
     """All queries with the pipeline, whose file lies beside the package."""
     pipeline = importlib.import_module("corpus_pipeline")
