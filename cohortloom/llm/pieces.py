@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes of a piece, about (a row that is larger makes a piece of its own).
 ROWS, BYTES = 1024, 8 << 20
+#: Keys of large groups that are broadcast, at most; more are joined by a shuffle.
+MOST_KEYS = 10_000
 
 
 def sizes(df: DataFrame, key: str, weight: Column, rows: int = ROWS, size: int = BYTES) -> DataFrame:
@@ -62,3 +64,61 @@ def large_pieces(df: DataFrame, key: str, order: list[Column], item: Column, wei
     kind, rows_kind = dealt.schema["key"].dataType.simpleString(), dealt.schema["item"].dataType.simpleString()
     cut = dealt.mapInArrow(lambda batches: cut_stream(batches, "key", rows, size), f"key {kind}, piece bigint, rows array<{rows_kind}>")
     return cut.withColumnRenamed("key", key)
+
+
+# ---- Rows that pass through Python one by one ---------------------------------------------------------------------------
+
+
+def per_row(types: str, fn):
+    """A mapInArrow function that turns every row (a dict) into one row of ``types`` with the same key."""
+    names = [t.strip().split(" ")[0] for t in _split(types)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                out = [fn(r) for r in batch.to_pylist()]
+                arrays = [pa.array([r[n] for r in out], _arrow(t)) for n, t in zip(names, _split(types), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("key"), *arrays], names=["key", *names])
+
+    return run
+
+
+def _split(types: str) -> list[str]:
+    return types.split(", ")
+
+
+_ARROW = {
+    "bigint": pa.int64(),
+    "string": pa.string(),
+    "array<bigint>": pa.list_(pa.int64()),
+    "array<struct<role:string,text:string>>": pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())])),
+}
+
+
+def _arrow(typed: str) -> pa.DataType:
+    return _ARROW[typed.strip().split(" ", 1)[1]]
+
+
+def scan(types: str, start, step):
+    """A mapInArrow function over rows sorted by key: ``step`` takes the state of the key so far and a row, and gives the
+    new state and the row to return."""
+    names = [t.strip().split(" ")[0] for t in _split(types)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, owner, state = True, None, None
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if first or r["key"] != owner:
+                    first, owner, state = False, r["key"], start
+                state, told = step(state, r)
+                out.append(told)
+            if out:
+                arrays = [pa.array([r[n] for r in out], _arrow(t)) for n, t in zip(names, _split(types), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("key"), *arrays], names=["key", *names])
+
+    return run
+
+
+def in_order(df: DataFrame, *by) -> DataFrame:
+    return df.repartition("key").sortWithinPartitions("key", *by)

@@ -217,6 +217,34 @@ def _(spark, sf):
     return audit_damaged(spark.read.parquet(f"{sf}/conversations.parquet"))
 
 
+@query(
+    "op12_prefix_trie",
+    f"""WITH o AS (
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM conversations WHERE conv_id IS NOT NULL),
+    s AS (SELECT conv_id, list(sha256(role || chr(0) || text) ORDER BY i) AS w, list(len(text) ORDER BY i) AS l FROM o GROUP BY conv_id),
+    h AS (SELECT *, {CRC32.format("CAST(conv_id AS VARCHAR)")} % 6 AS h FROM s),
+    r AS (SELECT c.conv_id, list_concat(coalesce(d.w[1:c.h], []), c.w[c.h + 1:]) AS w, list_concat(coalesce(d.l[1:c.h], []), c.l[c.h + 1:]) AS l
+      FROM h c LEFT JOIN s d ON d.conv_id = c.conv_id - c.conv_id % 100),
+    p AS (SELECT conv_id, d, array_to_string(w[1:d], ',') AS k, CASE WHEN d = 0 THEN NULL ELSE array_to_string(w[1:d - 1], ',') END AS up,
+        CASE WHEN d = 0 THEN 0 ELSE l[d] END AS size, d = len(w) AS ends FROM r, unnest(range(0, len(w) + 1)) AS t(d)),
+    n AS (SELECT k, any_value(up) AS up, d, min(conv_id) AS conv_id, count(*) AS n, any_value(size) AS size,
+        sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256 FROM p GROUP BY k, d),
+    c AS (SELECT n.k, n.d, count(m.k) AS kids FROM n LEFT JOIN n m ON m.up = n.k AND m.d = n.d + 1 GROUP BY n.k, n.d),
+    b AS (SELECT n.*, c.kids FROM n JOIN c USING (k, d)),
+    a AS (SELECT p.k, p.d, sum(q.v) AS saved, sum(q.leaf) AS leaves
+      FROM (SELECT DISTINCT p.k, p.d, m.k AS below, m.d AS low FROM p JOIN p m ON m.conv_id = p.conv_id AND m.d >= p.d) p
+      JOIN (SELECT k, d, (n - 1) * size AS v, CASE WHEN kids = 0 THEN 1 ELSE 0 END AS leaf FROM b) q ON q.k = p.below AND q.d = p.low GROUP BY p.k, p.d)
+    SELECT b.conv_id, b.d AS depth, u.conv_id AS parent_conv_id, b.n AS n_convs, b.kids AS n_children, CAST(a.leaves AS BIGINT) AS n_leaves,
+      CAST(a.saved AS BIGINT) AS saved_tokens, b.ends_sha256
+    FROM b JOIN a USING (k, d) LEFT JOIN n u ON u.k = b.up AND u.d = b.d - 1""",
+)
+def _(spark, sf):
+    from cohortloom.llm.tries import prefix_trie
+
+    return prefix_trie(spark.read.parquet(f"{sf}/conversations.parquet"))
+
+
 def load() -> tuple[dict, dict]:
     """All queries with the pipeline, whose file lies beside the package."""
     pipeline = importlib.import_module("corpus_pipeline")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.llm.pieces import BYTES, ROWS, large_pieces, sizes
+from cohortloom.llm.pieces import BYTES, MOST_KEYS, ROWS, in_order, large_pieces, per_row, scan, sizes
 from cohortloom.session import cut
 
 #: States: nothing said yet, system said, user said, assistant said. Where each letter leads, and where an inserted or
@@ -216,36 +216,6 @@ COUNTS = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
 DIGEST = ", ".join(f"{c} bigint" for c in COUNTS) + ", audit string, repaired_sha256 string"
 
 
-def per_row(types: str, fn):
-    """A mapInArrow function that turns every row (a dict) into one row of ``types`` with the same key."""
-    names = [t.strip().split(" ")[0] for t in _split(types)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                out = [fn(r) for r in batch.to_pylist()]
-                arrays = [pa.array([r[n] for r in out], _arrow(t)) for n, t in zip(names, _split(types), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("key"), *arrays], names=["key", *names])
-
-    return run
-
-
-def _split(types: str) -> list[str]:
-    return types.split(", ")
-
-
-_ARROW = {
-    "bigint": pa.int64(),
-    "string": pa.string(),
-    "array<bigint>": pa.list_(pa.int64()),
-    "array<struct<role:string,text:string>>": pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())])),
-}
-
-
-def _arrow(typed: str) -> pa.DataType:
-    return _ARROW[typed.strip().split(" ", 1)[1]]
-
-
 def repair_piece(row: dict, exits: tuple[int, ...], entry: int, last: bool) -> dict:
     rows = Rows(row["rows"])
     _, traces = costs_back(rows.code, exits)
@@ -266,27 +236,6 @@ def hops(row: dict) -> dict:
     return {"piece": row["piece"], "exits": row["exits"], "hops": [edits(traces, s)[1] for s in range(4)], "last": row["last"]}
 
 
-def scan(types: str, start, step):
-    """A mapInArrow function over rows sorted by key: ``step`` takes the state of the key so far and a row, and gives the
-    new state and the row to return."""
-    names = [t.strip().split(" ")[0] for t in _split(types)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, owner, state = True, None, None
-        for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                if first or r["key"] != owner:
-                    first, owner, state = False, r["key"], start
-                state, told = step(state, r)
-                out.append(told)
-            if out:
-                arrays = [pa.array([r[n] for r in out], _arrow(t)) for n, t in zip(names, _split(types), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("key"), *arrays], names=["key", *names])
-
-    return run
-
-
 def _back(exits, row: dict):
     last = exits is None
     exits = END if last else exits
@@ -299,10 +248,6 @@ def _forth(entry: int, row: dict):
     return row["hops"][entry], {"piece": row["piece"], "exits": row["exits"], "entry": entry, "last": row["last"]}
 
 
-def in_order(df: DataFrame, *by) -> DataFrame:
-    return df.repartition("key").sortWithinPartitions("key", *by)
-
-
 def damage(conversations: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """Rows (key, turn, role, text, n) with the faults that crc32 of "key:turn" modulo 20 asks for: 0 drops the row, 1
     empties its text, 2 removes its end marks, 3 repeats it (``n`` = 2), 4 gives it to the user. Nulls read as one space,
@@ -343,10 +288,6 @@ def _large_repaired(rows: DataFrame, kind: str, most: int, size: int) -> DataFra
     return both.mapInArrow(fn, f"key {kind}, {PIECE}")
 
 
-#: Keys of large conversations that are broadcast, at most; more are joined by a shuffle.
-MOST_KEYS = 10_000
-
-
 def repaired_parts(rows: DataFrame, most: int = ROWS, size: int = BYTES) -> tuple[DataFrame, DataFrame | None]:
     """Pieces of conversations of one piece, and those of larger ones (None if there are none)."""
     kind = rows.schema["key"].dataType.simpleString()
