@@ -245,6 +245,24 @@ def _(spark, sf):
     return prefix_trie(spark.read.parquet(f"{sf}/conversations.parquet"))
 
 
+@query(
+    "op13_debruijn_dedup",
+    """WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+    w AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS g FROM d, unnest(range(1, len(ws) - 48)) AS t(i)),
+    m AS (SELECT g, min(doc_id) AS low FROM w GROUP BY g),
+    b AS (SELECT DISTINCT w.doc_id, w.i + j AS p FROM w JOIN m USING (g), unnest(range(0, 50)) AS t(j) WHERE m.low < w.doc_id),
+    k AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS rest
+      FROM (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS p FROM d) ANTI JOIN b USING (doc_id, p) GROUP BY doc_id),
+    n AS (SELECT doc_id, count(*) AS n FROM b GROUP BY doc_id)
+    SELECT d.doc_id, len(ws) AS n_words, coalesce(n.n, 0) AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256
+    FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)""",
+)
+def _(spark, sf):
+    from cohortloom.llm.debruijn import repeat_digest
+
+    return repeat_digest(documents(spark, sf))
+
+
 def load() -> tuple[dict, dict]:
     """All queries with the pipeline, whose file lies beside the package."""
     pipeline = importlib.import_module("corpus_pipeline")
