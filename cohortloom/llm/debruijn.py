@@ -3,8 +3,9 @@
 Edges are the windows (SPAN words), nodes the overlaps of neighbouring windows. Steps:
 
 1. Tasks tell the minimizers of their windows (the gram of MARK words with the smallest hash; equal windows have equal
-   ones). Windows whose minimizer no second document has are no repeats; a bounded bit map of the others saves work only.
-2. Runs of windows with one minimizer are cut out as super-edges with their coordinates (document, first word). Equal ones
+   ones), then the windows whose minimizer a second document has. Bounded bit maps of what several documents have keep all
+   else from being exchanged; they decide nothing.
+2. Runs of such windows with one minimizer are cut out as super-edges with their coordinates (document, first word). Equal ones
    are merged, then their windows are counted as edges: smallest and largest document, the edges before and behind.
 3. Edges of several documents that have one follower, which has one predecessor, lie on a nonbranching path. Inside a
    super-edge paths are cut by a window function, across super-edges they are compacted by joins that double the known
@@ -86,8 +87,9 @@ def fresh(batch: pa.RecordBatch, seen: dict) -> pa.RecordBatch:
     return batch.filter(pa.array(keep, pa.bool_()))
 
 
-def told_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Minimizers of a task's windows, 56 bits each, and in how many texts (255 at most) they were met."""
+def told(batches: Iterator[pa.RecordBatch], bits: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Minimizers of a task's windows or, with the bit map of shared ones, the windows that have one of these: 56 bits of
+    each hash, and in how many texts (255 at most) it was met."""
     seen: dict = {}
     marks, rows, base, n = [], [], 0, 0
 
@@ -104,10 +106,10 @@ def told_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(fresh(batch, seen).column("text"), PIECE):
             windows = Windows(chunk)
             if len(windows.at):
-                starts = run_starts(windows)
-                marks.append(windows.mark[starts])
-                rows.append(windows.row[starts] + base)
-                n += len(starts)
+                some = run_starts(windows) if bits is None else np.flatnonzero(has_bit(bits, windows.mark >> np.uint64(8), MAP_BITS))
+                marks.append(windows.mark[some] if bits is None else windows.span_hash(windows.at[some], SPAN)[0])
+                rows.append(windows.row[some] + base)
+                n += len(some)
             base += chunk.rows
             if n >= GATHERED:
                 yield tell()
@@ -116,10 +118,12 @@ def told_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield tell()
 
 
-def run_starts(windows: Windows) -> np.ndarray:
-    """Where runs of neighbouring windows with one minimizer begin."""
+def run_starts(windows: Windows, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Where runs of neighbouring windows with one minimizer begin; unwanted windows part them."""
     new = np.ones(len(windows.at), dtype=bool)
     new[1:] = (windows.mark[1:] != windows.mark[:-1]) | (windows.row[1:] != windows.row[:-1])
+    if wanted is not None:
+        new[1:] |= wanted[1:] != wanted[:-1]
     return np.flatnonzero(new)
 
 
@@ -138,13 +142,13 @@ def super_edges(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator
             windows = Windows(chunk)
             if not len(windows.at):
                 continue
-            starts = run_starts(windows)
+            w, v = windows.span_hash(windows.at, SPAN)
+            wanted = has_bit(bits, w >> np.uint64(8), MAP_BITS)
+            starts = run_starts(windows, wanted)
             ends = np.append(starts[1:], len(windows.at))
-            wanted = has_bit(bits, windows.mark[starts] >> np.uint64(8), MAP_BITS)
-            starts, ends = starts[wanted], ends[wanted]
+            starts, ends = starts[wanted[starts]], ends[wanted[starts]]
             if not len(starts):
                 continue
-            w, v = windows.span_hash(windows.at, SPAN)
             v = (v >> np.uint64(32)).astype(np.uint32).view(np.int32)
             # Zero stands for no edge.
             v[v == 0] = 1
@@ -224,9 +228,15 @@ def repeated_paths(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """(places, paths): super-edges by coordinates, and for each super-edge the pieces of whole paths that lie on it
     (s1, s2, first, n, root, root_mark, offset, total, low)."""
     rows = _rows(docs, key, text).drop("words")
-    marks = rows.mapInArrow(told_marks, "mark bigint")
-    several = marks.groupBy(F.expr("shiftrightunsigned(mark, 8)").alias("mark")).agg(F.sum(F.expr("mark & 255")).alias("times")).filter("times > 1")
-    bits = docs.sparkSession.sparkContext.broadcast(bit_map(several, "mark", MAP_BITS))
+    spark = docs.sparkSession
+
+    def several(values: DataFrame) -> np.ndarray:
+        """Bits of the values that more than one document has."""
+        counted = values.groupBy(F.expr("shiftrightunsigned(mark, 8)").alias("mark")).agg(F.sum(F.expr("mark & 255")).alias("times"))
+        return bit_map(counted.filter("times > 1"), "mark", MAP_BITS)
+
+    marks = spark.sparkContext.broadcast(several(rows.mapInArrow(told, "mark bigint")))
+    bits = spark.sparkContext.broadcast(several(rows.mapInArrow(lambda batches: told(batches, marks.value), "mark bigint")))
     kind = rows.schema["key"].dataType.simpleString()
     places = cut(rows.mapInArrow(lambda batches: super_edges(batches, bits.value), f"key {kind}, {SUPER}"))
     every, edges = repeated_edges(places)
