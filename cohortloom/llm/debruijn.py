@@ -88,32 +88,35 @@ def fresh(batch: pa.RecordBatch, seen: dict) -> pa.RecordBatch:
 
 
 def told(batches: Iterator[pa.RecordBatch], bits: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-    """Minimizers of a task's windows or, with the bit map of shared ones, the windows that have one of these: 56 bits of
-    each hash, and in how many texts (255 at most) it was met."""
+    """Minimizers of a task's windows or, with the bit map of shared ones, the windows that have one of these, each with the
+    smallest and the largest hash of the texts in which it was met: copies of a text don't make it shared."""
     seen: dict = {}
-    marks, rows, base, n = [], [], 0, 0
+    marks, texts, n = [], [], 0
 
     def tell() -> pa.RecordBatch:
-        m, r = np.concatenate(marks) >> np.uint64(8), np.concatenate(rows)
-        order = np.lexsort((r, m))
-        m, r = m[order], r[order]
+        m, t = np.concatenate(marks), np.concatenate(texts)
+        order = np.lexsort((t, m))
+        m, t = m[order], t[order]
         new = np.ones(len(m), dtype=bool)
-        new[1:] = (m[1:] != m[:-1]) | (r[1:] != r[:-1])
-        m, times = np.unique(m[new], return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array((m << np.uint64(8) | np.minimum(times, 255).astype(np.uint64)).view(np.int64))], names=["mark"])
+        new[1:] = m[1:] != m[:-1]
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(m)) - 1
+        return pa.RecordBatch.from_arrays([pa.array(m[first].view(np.int64)), pa.array(t[first]), pa.array(t[last])], names=["mark", "lo", "hi"])
 
     for batch in batches:
-        for chunk in chunks(fresh(batch, seen).column("text"), PIECE):
+        some = fresh(batch, seen)
+        hashes = np.asarray(some.column("hash"))
+        for chunk in chunks(some.column("text"), PIECE):
             windows = Windows(chunk)
-            if len(windows.at):
-                some = run_starts(windows) if bits is None else np.flatnonzero(has_bit(bits, windows.mark >> np.uint64(8), MAP_BITS))
-                marks.append(windows.mark[some] if bits is None else windows.span_hash(windows.at[some], SPAN)[0])
-                rows.append(windows.row[some] + base)
-                n += len(some)
-            base += chunk.rows
+            if not len(windows.at):
+                continue
+            of = run_starts(windows) if bits is None else np.flatnonzero(has_bit(bits, windows.mark, MAP_BITS))
+            marks.append(windows.mark[of] if bits is None else windows.span_hash(windows.at[of], SPAN)[0])
+            texts.append(hashes[chunk.first + windows.row[of]])
+            n += len(of)
             if n >= GATHERED:
                 yield tell()
-                marks, rows, n = [], [], 0
+                marks, texts, n = [], [], 0
     if n:
         yield tell()
 
@@ -143,7 +146,7 @@ def super_edges(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator
             if not len(windows.at):
                 continue
             w, v = windows.span_hash(windows.at, SPAN)
-            wanted = has_bit(bits, w >> np.uint64(8), MAP_BITS)
+            wanted = has_bit(bits, w, MAP_BITS)
             starts = run_starts(windows, wanted)
             ends = np.append(starts[1:], len(windows.at))
             starts, ends = starts[wanted[starts]], ends[wanted[starts]]
@@ -231,12 +234,13 @@ def repeated_paths(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     spark = docs.sparkSession
 
     def several(values: DataFrame) -> np.ndarray:
-        """Bits of the values that more than one document has."""
-        counted = values.groupBy(F.expr("shiftrightunsigned(mark, 8)").alias("mark")).agg(F.sum(F.expr("mark & 255")).alias("times"))
-        return bit_map(counted.filter("times > 1"), "mark", MAP_BITS)
+        """Bits of the values that more than one text has."""
+        counted = values.groupBy("mark").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        return bit_map(counted.filter("lo < hi"), "mark", MAP_BITS)
 
-    marks = spark.sparkContext.broadcast(several(rows.mapInArrow(told, "mark bigint")))
-    bits = spark.sparkContext.broadcast(several(rows.mapInArrow(lambda batches: told(batches, marks.value), "mark bigint")))
+    types = "mark bigint, lo bigint, hi bigint"
+    marks = spark.sparkContext.broadcast(several(rows.mapInArrow(told, types)))
+    bits = spark.sparkContext.broadcast(several(rows.mapInArrow(lambda batches: told(batches, marks.value), types)))
     kind = rows.schema["key"].dataType.simpleString()
     places = cut(rows.mapInArrow(lambda batches: super_edges(batches, bits.value), f"key {kind}, {SUPER}"))
     every, edges = repeated_edges(places)
