@@ -133,8 +133,8 @@ def run_starts(windows: Windows, wanted: np.ndarray | None = None) -> np.ndarray
 SUPER = "tag bigint, at bigint, s1 bigint, s2 bigint, prev int, next int, w array<bigint>, v array<int>"
 
 
-def super_edges(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Super-edges of windows that may repeat, one row per place: key, tag (of the text), at (first word in the text), their
+def super_edges(batches: Iterator[pa.RecordBatch], marks: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Super-edges of windows that may repeat (by their minimizers' bits and their own), one row per place: key, tag (of the text), at (first word in the text), their
     hash, the edges around them, and where the task hasn't given them before the hashes of their windows."""
     seen: dict = {}
     given: set[int] = set()
@@ -146,7 +146,7 @@ def super_edges(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator
             if not len(windows.at):
                 continue
             w, v = windows.span_hash(windows.at, SPAN)
-            wanted = has_bit(bits, w, MAP_BITS)
+            wanted = has_bit(marks, windows.mark, MAP_BITS) & has_bit(bits, w, MAP_BITS)
             starts = run_starts(windows, wanted)
             ends = np.append(starts[1:], len(windows.at))
             starts, ends = starts[wanted[starts]], ends[wanted[starts]]
@@ -242,7 +242,7 @@ def repeated_paths(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     marks = spark.sparkContext.broadcast(several(rows.mapInArrow(told, types)))
     bits = spark.sparkContext.broadcast(several(rows.mapInArrow(lambda batches: told(batches, marks.value), types)))
     kind = rows.schema["key"].dataType.simpleString()
-    places = cut(rows.mapInArrow(lambda batches: super_edges(batches, bits.value), f"key {kind}, {SUPER}"))
+    places = cut(rows.mapInArrow(lambda batches: super_edges(batches, marks.value, bits.value), f"key {kind}, {SUPER}"))
     every, edges = repeated_edges(places)
     local = cut(local_paths(every, edges))
     roots = compact(local)
