@@ -12,10 +12,13 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortloom.functions.scalar import clip
+from cohortloom.operators import grid
 from cohortloom.operators.profile import equal_width_bin
 
 POS = ["z", "y_", "x"]
@@ -209,33 +212,21 @@ def lr_asymmetry(voxels: DataFrame, weight: str) -> DataFrame:
 
 
 def label_components(active: DataFrame) -> DataFrame:
-    """(uid, z, y_, x, component): 6-neighbour components of the listed voxels, one scan per group of rows."""
-
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(POS).reset_index(drop=True)
-        place = {p: i for i, p in enumerate(zip(pdf["z"], pdf["y_"], pdf["x"]))}
-        root = list(range(len(pdf)))
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        for (z, y, x), i in place.items():
-            for q in ((z - 1, y, x), (z, y - 1, x), (z, y, x - 1)):
-                j = place.get(q)
-                if j is not None:
-                    a, b = find(i), find(j)
-                    root[max(a, b)] = min(a, b)
-        heads = [find(i) for i in range(len(pdf))]
-        number = {h: n + 1 for n, h in enumerate(sorted(set(heads)))}
-        pdf["component"] = [number[h] for h in heads]
-        return pdf
+    """(uid, z, y_, x, component): 6-neighbour components of the listed voxels, numbered in raster order.
+
+    Runs of voxels are joined where they touch in a slice and across slices; one scan per task, no voxel on its own.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        at, shape = grid.places(table)
+        active = np.zeros(shape, dtype=bool)
+        active[at] = True
+        found = pa.array(grid.label(active)[at], pa.int32())
+        return pa.table([table.column("uid"), *[table.column(c) for c in POS], found], names=["uid", *POS, "component"])
 
     uid_type = active.schema["uid"].dataType.simpleString()
     cols = active.select("uid", *[F.col(c).cast("int").alias(c) for c in POS])
-    return cols.groupBy("uid").applyInPandas(label, f"uid {uid_type}, z int, y_ int, x int, component int")
+    return cols.groupBy("uid").applyInArrow(run, f"uid {uid_type}, z int, y_ int, x int, component int")
 
 
 def connected_components(voxels: DataFrame, active: Column) -> DataFrame:
@@ -408,9 +399,9 @@ def summary_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return g.select(*keys, "n", "mean", "std", "min", "max", *[F.col("_p")[i].alias(f"p{p:02d}") for i, p in enumerate(SUMMARY_PERCENTILES)], "mad", "energy")
 
 
-def region_stats(voxels: DataFrame, core: bool = True) -> DataFrame:
-    """Fifteen summaries x region x channel, long form (uid, region, channel, stats)."""
-    regions = region_masks(voxels, core).select("uid", *POS, "region")
+def region_stats(voxels: DataFrame, core: bool = True, regions: DataFrame | None = None) -> DataFrame:
+    """Fifteen summaries x region x channel, long form (uid, region, channel, stats). ``regions`` saves finding them again."""
+    regions = (region_masks(voxels, core) if regions is None else regions).select("uid", *POS, "region")
     ch = channels(voxels).where("m").select("uid", *POS, "channel", "c")
     return summary_stats(ch.join(regions, ["uid", *POS]), ["uid", "region", "channel"], "c")
 
@@ -421,10 +412,10 @@ def region_means(regions: DataFrame, value: str, names: Sequence[str]) -> DataFr
     return regions.groupBy("uid").agg(*picks)
 
 
-def region_relations(voxels: DataFrame, core: bool = True) -> DataFrame:
+def region_relations(voxels: DataFrame, core: bool = True, regions: DataFrame | None = None) -> DataFrame:
     """Ten region pairs x difference, absolute difference, ratio, asymmetry on the self-normalised volume."""
     names = ["target", "right", "left", "anterior", "posterior", *QUADRANTS] + (["target_core"] if core else [])
-    r = region_means(region_masks(self_normalize(voxels), core), "s", names)
+    r = region_means(region_masks(self_normalize(voxels), core) if regions is None else regions, "s", names)
     c = F.col
     lc, rc, lp, rp = c("left_caudate"), c("right_caudate"), c("left_putamen"), c("right_putamen")
     pairs = {
@@ -445,12 +436,35 @@ def region_relations(voxels: DataFrame, core: bool = True) -> DataFrame:
     )
 
 
-def threshold_morphology(voxels: DataFrame, percentiles: Sequence[int] = THRESHOLD_PERCENTILES, core: bool = True) -> DataFrame:
-    """Active share, count, surface share, extents and centroid distance per region and threshold of the mask values."""
-    s = self_normalize(voxels)
-    cuts = F.percentile(F.when(F.col("m"), F.col("s")), F.array(*[F.lit(p / 100.0) for p in percentiles]))
-    s = s.withColumn("_cuts", cuts.over(whole()))
-    r = region_masks(s, core)
+def threshold_components(levels: DataFrame, keys: Sequence[str], percentiles: Sequence[int]) -> DataFrame:
+    """(keys, p, components, largest_fraction) from mask voxels with the number of thresholds (``level``) that they reach.
+
+    One component tree per group serves all thresholds.
+    """
+
+    def trees(table: pa.Table) -> list[tuple]:
+        at, shape = grid.places(table)
+        level = np.zeros(shape, dtype=np.int64)
+        level[at] = np.asarray(table.column("level"))
+        found = grid.component_tree(level, len(percentiles))
+        return [(p, n, largest / max(active, 1)) for p, (n, largest, active) in zip(percentiles, found, strict=True)]
+
+    types = pa.schema([("p", pa.int32()), ("components", pa.int64()), ("largest_fraction", pa.float64())])
+    kinds = ", ".join(f"{k} {levels.schema[k].dataType.simpleString()}" for k in keys)
+    fn = grid.of_group(list(keys), types, trees)
+    return levels.select(*keys, *POS, "level").groupBy(*keys).applyInArrow(fn, f"{kinds}, p int, components bigint, largest_fraction double")
+
+
+def threshold_morphology(voxels: DataFrame, percentiles: Sequence[int] = THRESHOLD_PERCENTILES, core: bool = True,
+                         regions: DataFrame | None = None) -> DataFrame:
+    """Active share, count, components, share of the largest one, surface share, extents and centroid distance per region
+    and threshold of the mask values. ``regions``: region rows with self-normalised values ``s``, if they are at hand."""
+    percentiles = sorted(percentiles)
+    r = region_masks(self_normalize(voxels), core) if regions is None else regions
+    target = F.when(F.col("region") == "target", F.col("s"))
+    r = r.withColumn("_cuts", F.percentile(target, F.array(*[F.lit(p / 100.0) for p in percentiles])).over(whole()))
+    level = sum(((F.col("s") >= F.col("_cuts")[i]).cast("int") for i in range(len(percentiles))), F.lit(0))
+    parts = threshold_components(r.withColumn("level", level), ["uid", "region"], percentiles)
     levels = F.array(*[F.struct(F.lit(p).alias("p"), F.col("_cuts")[i].alias("cut")) for i, p in enumerate(percentiles)])
     long = r.select("uid", *POS, "region", "s", F.explode(levels).alias("e")).select("uid", *POS, "region", "s", "e.p", "e.cut")
     long = long.withColumn("on", F.col("s") >= F.col("cut"))
@@ -475,45 +489,49 @@ def threshold_morphology(voxels: DataFrame, percentiles: Sequence[int] = THRESHO
         *[F.coalesce(F.max(pick(c)) - F.min(pick(c)) + 1, F.lit(0)).alias(f"extent_{c}") for c in POS],
         F.coalesce(F.sqrt(distance), F.lit(0.0)).alias("centroid_distance"),
     )
-    j = g.join(surface, ["uid", "region", "p"], "left")
-    return j.select(*[c for c in g.columns if c != "support"], (F.coalesce("surface", F.lit(0)) / F.col("support")).alias("surface_fraction"))
+    keys = ["uid", "region", "p"]
+    j = g.join(surface, keys, "left").join(parts, keys)
+    share = (F.coalesce("surface", F.lit(0)) / F.col("support")).alias("surface_fraction")
+    return j.select(*[c for c in g.columns if c != "support"], "components", "largest_fraction", share)
 
 
 # --- texture and shape -----------------------------------------------------------------------------------------------
 
 
-def quantize(voxels: DataFrame, levels: int, rounding: str = "rint", eps: float = 1e-8) -> DataFrame:
-    """``q``: mask voxels scaled between their 1st and 99th percentile to ``levels`` grey levels."""
-    df = by_scan(voxels.where("m"))
-    df = df.select("*", pct(F.col("v"), 1).over(whole()).alias("_lo"), pct(F.col("v"), 99).over(whole()).alias("_hi"))
-    t = clip((F.col("v") - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(eps)), 0.0, 1.0)
-    q = F.bround(t * (levels - 1), 0) if rounding == "rint" else F.least(F.floor(t * levels), F.lit(levels - 1))
-    return df.select(*voxels.columns, q.cast("int").alias("q"))
-
-
-def glcm(voxels: DataFrame, levels: int = 32, offsets: Sequence[tuple[int, int, int]] = OFFSETS_13, rounding: str = "rint",
-         min_n: int = 30, keys: Sequence[str] = ()) -> DataFrame:
-    """Six texture metrics of the symmetric co-occurrence matrix per scan; NULL below ``min_n`` voxels or when constant."""
-    q = quantize(voxels, levels, rounding)
-    pairs = offset_join(q, offsets, "q").groupBy("uid", "a", "b").agg(F.count(F.lit(1)).alias("c"))
-    both = F.array(F.struct(F.col("a").alias("i"), F.col("b").alias("j")), F.struct(F.col("b").alias("i"), F.col("a").alias("j")))
-    cells = pairs.select("uid", "c", F.explode(both).alias("e")).groupBy("uid", "e.i", "e.j").agg(F.sum("c").alias("c"))
-    n = F.sum("c").cast("double")
-    i, j, c = F.col("i"), F.col("j"), F.col("c").cast("double")
-    gap = i - j
-    mean, square, cross = F.sum(c * i) / n, F.sum(c * i * i) / n, F.sum(c * i * j) / n
-    g = cells.groupBy("uid").agg(
-        (F.sum(c * gap * gap) / n).alias("contrast"),
-        (F.sum(c * F.abs(gap)) / n).alias("dissimilarity"),
-        (F.sum(c / (F.lit(1.0) + gap * gap)) / n).alias("homogeneity"),
-        (F.sqrt(F.sum(c * c)) / n).alias("energy"),
-        (F.log2(n) - F.sum(c * F.log2(c)) / n).alias("entropy"),
-        ((cross - mean * mean) / F.greatest(square - mean * mean, F.lit(1e-8))).alias("correlation"),
-    )
-    usable = voxels.where("m").groupBy("uid").agg(F.count("v").alias("_n"), (F.max("v") > F.min("v")).alias("_varies"))
-    names = ["contrast", "dissimilarity", "homogeneity", "energy", "entropy", "correlation"]
-    ok = (F.col("_n") >= min_n) & F.col("_varies")
-    return usable.join(g, "uid", "left").select("uid", *[F.when(ok, F.col(m)).alias(m) for m in names])
+TEXTURE_METRICS = ("contrast", "dissimilarity", "homogeneity", "energy", "entropy", "correlation")
+
+
+def glcm(voxels: DataFrame, levels: int | Sequence[int] = 32, offsets: Sequence[tuple[int, int, int]] = OFFSETS_13, rounding: str = "rint",
+         min_n: int = 30, keys: Sequence[str] = (), eps: float = 1e-8, empty: float | None = None) -> DataFrame:
+    """Six texture metrics of the symmetric co-occurrence matrix of the mask voxels per scan and ``keys`` (one matrix each, with
+    grey levels of its own); ``empty`` below ``min_n`` voxels, for a constant group and where no two voxels meet.
+
+    A group's voxels are laid out once and counted by shifts of the whole array. Several numbers of levels give a column
+    ``levels`` and one row for each.
+    """
+    several = [levels] if isinstance(levels, int) else list(levels)
+    groups = ["uid", *keys]
+
+    def metrics(table: pa.Table) -> list[tuple]:
+        table = table.filter(pa.compute.is_valid(table.column("v")))
+        values = np.asarray(table.column("v"))
+        if len(values) < max(min_n, 1) or values.max() <= values.min():
+            return [(n, *[empty] * 6) for n in several]
+        at, shape = grid.places(table)
+        out = []
+        for n in several:
+            grey = np.full(shape, -1, dtype=np.int64)
+            grey[at] = grid.grey_levels(values, n, rounding, eps)
+            counts = grid.cooccurrence(grey, n, offsets)
+            out.append((n, *(grid.texture(counts) if counts.any() else [empty] * 6)))
+        return out
+
+    types = pa.schema([("levels", pa.int32()), *[(m, pa.float64()) for m in TEXTURE_METRICS]])
+    kinds = ", ".join(f"{k} {voxels.schema[k].dataType.simpleString()}" for k in groups)
+    named = ", ".join(f"{m} double" for m in TEXTURE_METRICS)
+    cells = voxels.where("m").select(*groups, *[F.col(c).cast("int").alias(c) for c in POS], F.col("v").cast("double").alias("v"))
+    found = cells.groupBy(*groups).applyInArrow(grid.of_group(groups, types, metrics), f"{kinds}, levels int, {named}")
+    return found.drop("levels") if isinstance(levels, int) else found
 
 
 def eigen_extremes(xx: Column, yy: Column, zz: Column, xy: Column, xz: Column, yz: Column) -> tuple[Column, Column]:
@@ -530,7 +548,7 @@ def eigen_extremes(xx: Column, yy: Column, zz: Column, xy: Column, xz: Column, y
 
 
 def shape_features(mask: DataFrame, spacing: tuple[float, float, float], min_n: int = 8) -> DataFrame:
-    """Volume, face-count surface, bounding-box extent and elongation of the listed voxels (NULL below ``min_n``)."""
+    """Volume, face-count surface, sphericity, bounding-box extent and elongation of the listed voxels (NULL below ``min_n``)."""
     sz, sy, sx = spacing
     df = by_scan(mask)
     faces = []
@@ -554,8 +572,12 @@ def shape_features(mask: DataFrame, spacing: tuple[float, float, float], min_n:
     big, small = eigen_extremes(c("zz"), c("yy"), c("xx"), c("zy"), c("zx"), c("yx"))
     tiny = F.lit(1e-8)
     elongation = F.sqrt(F.greatest(big, tiny) / F.greatest(small, tiny))
+    # Surface of the ball of equal volume over the own surface.
+    ball = F.lit(np.pi ** (1 / 3)) * F.pow(F.lit(6.0) * c("volume_mm3"), F.lit(2.0 / 3.0))
+    g = g.withColumn("sphericity", ball / c("surface_mm2"))
     ok = c("n") >= min_n
-    return g.select("uid", "n", *[F.when(ok, c(x)).alias(x) for x in ("volume_mm3", "surface_mm2", "extent")], F.when(ok, elongation).alias("elongation"))
+    names = ("volume_mm3", "surface_mm2", "sphericity", "extent")
+    return g.select("uid", "n", *[F.when(ok, c(x)).alias(x) for x in names], F.when(ok, elongation).alias("elongation"))
 
 
 # --- orientation, slabs, regions of interest ---------------------------------------------------------------------------

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cohortloom.operators import bank
 from cohortloom.operators import voxel as vx
 from cohortloom.plans import fixtures as fx
 from cohortloom.registry import query
@@ -186,12 +187,15 @@ CHANNELS = f"""(SELECT uid, z, y_, x, c.channel, c.c FROM (SELECT *, [{{'channel
     rank() OVER (PARTITION BY uid ORDER BY s) + (count(*) OVER (PARTITION BY uid, s) - 1) / CAST(2 AS DOUBLE) AS rk FROM {SELF} WHERE m WINDOW w AS (PARTITION BY uid))), unnest(cs) AS t(c))"""
 
 
+REGION_STATS = f"""SELECT uid, region, channel, count(*) AS n, avg(c) AS mean, stddev_pop(c) AS std, min(c) AS min, max(c) AS max,
+        {', '.join(f'quantile_cont(c, {p / 100}) AS p{p:02d}' for p in vx.SUMMARY_PERCENTILES)}, median(abs(c - med)) AS mad, avg(c * c) AS energy FROM (
+        SELECT r.uid, r.region, k.channel, k.c, median(k.c) OVER (PARTITION BY r.uid, r.region, k.channel) AS med FROM {regions_sql()} r JOIN {CHANNELS} k ON k.uid = r.uid AND k.z = r.z AND k.y_ = r.y_ AND k.x = r.x) GROUP BY uid, region, channel"""
+
+
 @query(
     "v10_region_stats",
     "uid:i region:s channel:s n:i mean:d std:d min:d max:d p01:d p05:d p10:d p25:d p50:d p75:d p90:d p95:d p99:d mad:d energy:d",
-    f"""SELECT uid, region, channel, count(*) AS n, avg(c) AS mean, stddev_pop(c) AS std, min(c) AS min, max(c) AS max,
-        {', '.join(f'quantile_cont(c, {p / 100}) AS p{p:02d}' for p in vx.SUMMARY_PERCENTILES)}, median(abs(c - med)) AS mad, avg(c * c) AS energy FROM (
-        SELECT r.uid, r.region, k.channel, k.c, median(k.c) OVER (PARTITION BY r.uid, r.region, k.channel) AS med FROM {regions_sql()} r JOIN {CHANNELS} k ON k.uid = r.uid AND k.z = r.z AND k.y_ = r.y_ AND k.x = r.x) GROUP BY uid, region, channel""",
+    REGION_STATS,
     "fx_voxels",
 )
 def _(spark, sf):
@@ -209,27 +213,40 @@ _REGION_NAMES = ["target", "right", "left", "anterior", "posterior", *vx.QUADRAN
 _MEANS = ", ".join(f"""coalesce(avg(CASE WHEN region = '{n}' THEN s END), 0) AS "{n}\"""" for n in _REGION_NAMES)
 
 
+RELATIONS = f"""WITH r AS (SELECT uid, {_MEANS} FROM {regions_sql(SELF, 's')} GROUP BY uid), l AS ({' UNION ALL '.join(f"SELECT uid, '{n}' AS pair, {a} AS a, {b} AS b FROM r" for n, (a, b) in _PAIRS.items())})
+        SELECT uid, pair, a - b AS difference, abs(a - b) AS absolute_difference, a / greatest(abs(b), CAST(1e-8 AS DOUBLE)) AS ratio, (a - b) / greatest(abs(a) + abs(b), CAST(1e-8 AS DOUBLE)) AS asymmetry FROM l"""
+
+
 @query(
     "v11_region_relations",
     "uid:i pair:s difference:d absolute_difference:d ratio:d asymmetry:d",
-    f"""WITH r AS (SELECT uid, {_MEANS} FROM {regions_sql(SELF, 's')} GROUP BY uid), l AS ({' UNION ALL '.join(f"SELECT uid, '{n}' AS pair, {a} AS a, {b} AS b FROM r" for n, (a, b) in _PAIRS.items())})
-        SELECT uid, pair, a - b AS difference, abs(a - b) AS absolute_difference, a / greatest(abs(b), CAST(1e-8 AS DOUBLE)) AS ratio, (a - b) / greatest(abs(a) + abs(b), CAST(1e-8 AS DOUBLE)) AS asymmetry FROM l""",
+    RELATIONS,
     "fx_voxels",
 )
 def _(spark, sf):
     return vx.region_relations(vox(spark, sf))
 
 
-@query(
-    "v12_threshold_morphology",
-    "uid:i region:s p:i fraction:d voxels:i extent_z:i extent_y_:i extent_x:i centroid_distance:d surface_fraction:d",
-    f"""WITH q AS (SELECT uid, [quantile_cont(s, 0.7), quantile_cont(s, 0.8), quantile_cont(s, 0.9), quantile_cont(s, 0.95)] AS cuts FROM {SELF} WHERE m GROUP BY uid),
+# Components by reachability inside a scan, region and threshold.
+MORPHOLOGY = f"""WITH RECURSIVE q AS (SELECT uid, [quantile_cont(s, 0.7), quantile_cont(s, 0.8), quantile_cont(s, 0.9), quantile_cont(s, 0.95)] AS cuts FROM {SELF} WHERE m GROUP BY uid),
         l AS (SELECT r.*, p, s >= cuts[i] AS act FROM {regions_sql(SELF, 's')} r JOIN q ON q.uid = r.uid CROSS JOIN (VALUES (70, 1), (80, 2), (90, 3), (95, 4)) t(p, i)),
-        a AS (SELECT * FROM l WHERE act), sf AS (SELECT uid, region, p, sum(CASE WHEN (SELECT count(*) FROM a b WHERE b.uid = a.uid AND b.region = a.region AND b.p = a.p AND abs(a.z-b.z)+abs(a.y_-b.y_)+abs(a.x-b.x) = 1) < 6 THEN 1 ELSE 0 END) AS sc FROM a GROUP BY uid, region, p)
-        SELECT g.*, coalesce(sc, 0) / CAST(support AS DOUBLE) AS surface_fraction FROM (SELECT uid, region, p, avg(CASE WHEN act THEN 1 ELSE 0 END) AS fraction, sum(CASE WHEN act THEN 1 ELSE 0 END) AS voxels, count(*) AS support,
+        a AS (SELECT *, z * 16 + y_ * 4 + x AS id FROM l WHERE act),
+        e AS (SELECT a.uid, a.region, a.p, a.id AS s, b.id AS t FROM a JOIN a b ON b.uid = a.uid AND b.region = a.region AND b.p = a.p AND abs(a.z-b.z)+abs(a.y_-b.y_)+abs(a.x-b.x) = 1),
+        reach AS (SELECT uid, region, p, id AS s, id AS t FROM a UNION SELECT r.uid, r.region, r.p, r.s, e.t FROM reach r JOIN e ON e.uid = r.uid AND e.region = r.region AND e.p = r.p AND e.s = r.t),
+        k AS (SELECT uid, region, p, comp, count(*) AS n FROM (SELECT uid, region, p, s, min(t) AS comp FROM reach GROUP BY ALL) GROUP BY ALL),
+        parts AS (SELECT uid, region, p, count(*) AS components, max(n) / CAST(sum(n) AS DOUBLE) AS largest_fraction FROM k GROUP BY ALL),
+        sf AS (SELECT a.uid, a.region, a.p, sum(CASE WHEN coalesce(nb, 0) < 6 THEN 1 ELSE 0 END) AS sc FROM a LEFT JOIN (SELECT uid, region, p, s, count(*) AS nb FROM e GROUP BY ALL) n ON n.uid = a.uid AND n.region = a.region AND n.p = a.p AND n.s = a.id GROUP BY a.uid, a.region, a.p)
+        SELECT g.*, coalesce(components, 0) AS components, coalesce(largest_fraction, 0) AS largest_fraction, coalesce(sc, 0) / CAST(support AS DOUBLE) AS surface_fraction FROM (
+          SELECT uid, region, p, avg(CASE WHEN act THEN 1 ELSE 0 END) AS fraction, sum(CASE WHEN act THEN 1 ELSE 0 END) AS voxels, count(*) AS support,
           {', '.join(f'coalesce(max({c}) FILTER (act) - min({c}) FILTER (act) + 1, 0) AS extent_{c}' for c in vx.POS)},
           coalesce(sqrt({' + '.join(f'(avg({c}) FILTER (act) - avg({c})) * (avg({c}) FILTER (act) - avg({c}))' for c in vx.POS)}), 0) AS centroid_distance FROM l GROUP BY uid, region, p) g
-        LEFT JOIN sf ON sf.uid = g.uid AND sf.region = g.region AND sf.p = g.p""",
+        LEFT JOIN sf ON sf.uid = g.uid AND sf.region = g.region AND sf.p = g.p LEFT JOIN parts ON parts.uid = g.uid AND parts.region = g.region AND parts.p = g.p"""
+
+
+@query(
+    "v12_threshold_morphology",
+    "uid:i region:s p:i fraction:d voxels:i extent_z:i extent_y_:i extent_x:i centroid_distance:d components:i largest_fraction:d surface_fraction:d",
+    MORPHOLOGY,
     "fx_voxels",
 )
 def _(spark, sf):
@@ -263,19 +280,69 @@ def _(spark, sf):
     return vx.glcm(vox(spark, sf), 12, vx.AXES_3, "floor", 8)
 
 
+def region_glcm_sql(levels):
+    """Texture of each quadrant with grey levels of its own; zero below eight voxels, for a constant region and without pairs."""
+    t = "greatest(least((v - lo) / greatest(hi - lo, CAST(0.000001 AS DOUBLE)), CAST(1 AS DOUBLE)), CAST(0 AS DOUBLE))"
+    names = ("contrast", "dissimilarity", "homogeneity", "energy", "entropy", "correlation")
+    return f"""(WITH w AS (SELECT *, quantile_cont(v, 0.01) OVER g AS lo, quantile_cont(v, 0.99) OVER g AS hi, count(*) OVER g AS n, max(v) OVER g > min(v) OVER g AS varies
+        FROM (SELECT uid, region, z, y_, x, s AS v FROM {regions_sql(SELF, 's')} WHERE region IN ('right_caudate', 'right_putamen', 'left_caudate', 'left_putamen')) WINDOW g AS (PARTITION BY uid, region)),
+      q AS (SELECT w.*, levels, CAST(least(floor({t} * levels), levels - 1) AS INT) AS q FROM w CROSS JOIN (SELECT unnest({list(levels)}) AS levels) WHERE n >= 8 AND varies),
+      p AS (SELECT l.uid, l.region, l.levels, l.q AS i, r.q AS j FROM q l CROSS JOIN {offsets_sql(vx.AXES_3)} JOIN q r ON r.uid = l.uid AND r.region = l.region AND r.levels = l.levels AND r.z = l.z + o.dz AND r.y_ = l.y_ + o.dy AND r.x = l.x + o.dx),
+      c AS (SELECT uid, region, levels, i, j, CAST(count(*) AS DOUBLE) AS c FROM (SELECT * FROM p UNION ALL SELECT uid, region, levels, j, i FROM p) GROUP BY ALL),
+      t AS (SELECT *, c / sum(c) OVER (PARTITION BY uid, region, levels) AS pr FROM c), mu AS (SELECT uid, region, levels, sum(pr * i) AS m FROM t GROUP BY ALL),
+      f AS (SELECT t.uid, t.region, t.levels, sum(pr * (i-j)*(i-j)) AS contrast, sum(pr * abs(i-j)) AS dissimilarity, sum(pr / (1 + (i-j)*(i-j))) AS homogeneity, sqrt(sum(pr * pr)) AS energy, -sum(pr * log2(pr)) AS entropy,
+        sum(pr * (i - m) * (j - m)) / greatest(sum(pr * (i - m) * (i - m)), CAST(1e-8 AS DOUBLE)) AS correlation FROM t JOIN mu ON mu.uid = t.uid AND mu.region = t.region AND mu.levels = t.levels GROUP BY t.uid, t.region, t.levels)
+      SELECT a.uid, a.region, a.levels, {', '.join(f'coalesce({m}, 0) AS {m}' for m in names)} FROM (SELECT DISTINCT uid, region, levels FROM w CROSS JOIN (SELECT unnest({list(levels)}) AS levels)) a
+      LEFT JOIN f ON f.uid = a.uid AND f.region = a.region AND f.levels = a.levels)"""
+
+
+@query("v13_glcm_regions", "uid:i region:s levels:i" + _TEX.removeprefix("uid:i"), f"SELECT * FROM {region_glcm_sql((8, 16))}", "fx_voxels")
+def _(spark, sf):
+    regions = vx.region_masks(vx.self_normalize(vox(spark, sf)), core=False).where(C("region").isin(*vx.QUADRANTS))
+    cells = regions.select("uid", *vx.POS, "region", C("s").alias("v"), F.lit(True).alias("m"))
+    return vx.glcm(cells, (8, 16), vx.AXES_3, "floor", 8, ["region"], eps=1e-6, empty=0.0)
+
+
+def _unpivoted(source, prefix, names):
+    rows = ", ".join(f"{{'name': '{n}', 'value': CAST(\"{c}\" AS DOUBLE)}}" for n, c in names)
+    return f"SELECT uid, concat({prefix}, '_', e.name) AS feature, e.value FROM (SELECT *, unnest([{rows}]) AS e FROM ({source}))"
+
+
+_BANK_SQL = " UNION ALL ".join(
+    [
+        _unpivoted(REGION_STATS, "'intensity_', region, '_', channel", [(n, n) for n in bank.STATS]),
+        _unpivoted(MORPHOLOGY, "'morph_', region, '_p', CAST(p AS VARCHAR)", [(n, "extent_y_" if n == "extent_y" else n) for n in bank.SHAPES]),
+        _unpivoted(f"SELECT * FROM {region_glcm_sql(bank.LEVELS)}", "'texture_', region, '_l', lpad(CAST(levels AS VARCHAR), 2, '0')", [(n, n) for n in vx.TEXTURE_METRICS]),
+        _unpivoted(RELATIONS, "'relation_', pair", [(n, n) for n in bank.CONTRASTS]),
+    ]
+)
+
+
+@query(
+    "v38_regional_bank",
+    "uid:i feature:s value:d",
+    f"""WITH b AS ({_BANK_SQL}), n AS (SELECT unnest({bank.bank_names()!r}) AS feature), u AS (SELECT DISTINCT uid FROM fx_voxels WHERE m)
+        SELECT u.uid, n.feature, coalesce(b.value, 0) AS value FROM u CROSS JOIN n LEFT JOIN b ON b.uid = u.uid AND b.feature = n.feature""",
+    "fx_voxels",
+)
+def _(spark, sf):
+    return bank.bank_long(bank.regional_bank(vox(spark, sf)))
+
+
 _COV = {"zz": ("z", "z"), "yy": ("y_", "y_"), "xx": ("x", "x"), "zy": ("z", "y_"), "zx": ("z", "x"), "yx": ("y_", "x")}
 _H = dict(zip(vx.POS, SPACING))
 
 
 @query(
     "v14_shape_features",
-    "uid:i n:i volume_mm3:d surface_mm2:d extent:d elongation:d4",
+    "uid:i n:i volume_mm3:d surface_mm2:d sphericity:d extent:d elongation:d4",
     f"""WITH p AS (SELECT uid, quantile_cont(v, 0.7) AS cut FROM fx_voxels GROUP BY uid), a AS (SELECT f.uid, z, y_, x FROM fx_voxels f JOIN p ON p.uid = f.uid WHERE v >= cut),
         f AS (SELECT l.uid, sum(CASE WHEN l.z <> r.z THEN 6.0 WHEN l.y_ <> r.y_ THEN 7.5 ELSE 5.0 END) AS inner_faces FROM a l JOIN a r ON l.uid = r.uid AND abs(l.z-r.z)+abs(l.y_-r.y_)+abs(l.x-r.x) = 1 GROUP BY l.uid),
         g AS (SELECT uid, count(*) AS n, count(*) / CAST((max(z)-min(z)+1)*(max(y_)-min(y_)+1)*(max(x)-min(x)+1) AS DOUBLE) AS extent, {', '.join(f'covar_samp({a} * {_H[a]}, {b} * {_H[b]}) AS {k}' for k, (a, b) in _COV.items())} FROM a GROUP BY uid),
         e AS (SELECT *, (zz+yy+xx)/3 AS q FROM g), h AS (SELECT *, sqrt(((zz-q)*(zz-q)+(yy-q)*(yy-q)+(xx-q)*(xx-q)+2*(zy*zy+zx*zx+yx*yx))/6) AS pp FROM e),
         k AS (SELECT *, acos(greatest(least(((zz-q)*((yy-q)*(xx-q)-yx*yx) - zy*(zy*(xx-q)-yx*zx) + zx*(zy*yx-(yy-q)*zx)) / (2*pp*pp*pp), CAST(1 AS DOUBLE)), CAST(-1 AS DOUBLE)))/3 AS ph FROM h)
-        SELECT k.uid, n, n * 15.0 AS volume_mm3, n * 2 * (6.0 + 7.5 + 5.0) - coalesce(inner_faces, 0) AS surface_mm2, extent,
+        SELECT k.uid, n, n * 15.0 AS volume_mm3, n * 2 * (6.0 + 7.5 + 5.0) - coalesce(inner_faces, 0) AS surface_mm2,
+          pow(pi(), CAST(1 AS DOUBLE) / 3) * pow(6 * n * CAST(15 AS DOUBLE), CAST(2 AS DOUBLE) / 3) / (n * 2 * (6.0 + 7.5 + 5.0) - coalesce(inner_faces, 0)) AS sphericity, extent,
           sqrt(greatest(q + 2*pp*cos(ph), CAST(1e-8 AS DOUBLE)) / greatest(q + 2*pp*cos(ph + 2*pi()/3), CAST(1e-8 AS DOUBLE))) AS elongation FROM k LEFT JOIN f ON f.uid = k.uid""",
     "fx_voxels",
 )
