@@ -293,12 +293,12 @@ def isolation_forest(df: DataFrame, key: str, cols: Sequence[str], trees: int =
 # --- diffusion map ---------------------------------------------------------------------------------------------------
 
 
-#: Modes carried along for a faster separation, and moves between two orthonormalisations.
-SPARE_MODES, STEPS_PER_ROUND = 3, 4
+#: Modes carried along for a faster separation, degree of the filter, sends between two written tables.
+SPARE_MODES, DEGREE, SENDS = 4, 12, 4
 
 
-def _neighbour_graph(df: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    """Symmetric edges (a, b, w): a Gaussian of the distance over the median neighbour distance."""
+def _neighbour_graph(df: DataFrame, key: str, vector: str, k: int) -> tuple[DataFrame, float]:
+    """Symmetric edges (a, b, w) and the kernel's width: a Gaussian of the distance over the median neighbour distance."""
     from cohortloom.operators.neighbors import knn
     from cohortloom.operators.order import exact_quantiles
 
@@ -306,8 +306,12 @@ def _neighbour_graph(df: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     scale = exact_quantiles(near, [], ["distance"], [0.5]).collect()
     width = max(float(scale[0]["q0"] or 0.0), 1e-12) if scale else 1.0
     both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
-    ratio = F.col("distance") / F.lit(width)
-    return both.groupBy("a", "b").agg(F.max(F.exp(-ratio * ratio)).alias("w"))
+    return both.groupBy("a", "b").agg(F.max(_kernel(F.col("distance"), width)).alias("w")), width
+
+
+def _kernel(distance, width: float):
+    ratio = distance / F.lit(width)
+    return F.exp(-ratio * ratio)
 
 
 def _gram(y: DataFrame, left: Sequence[str], right: Sequence[str]) -> np.ndarray:
@@ -316,8 +320,9 @@ def _gram(y: DataFrame, left: Sequence[str], right: Sequence[str]) -> np.ndarray
     return np.array([[row[f"{i}_{j}"] or 0.0 for j in range(len(right))] for i in range(len(left))])
 
 
-def _rotated(y: DataFrame, names: Sequence[str], by: np.ndarray, keep: Sequence[str]) -> DataFrame:
-    mix = [sum((F.col(n) * F.lit(float(by[i, j])) for i, n in enumerate(names)), F.lit(0.0)).alias(names[j]) for j in range(by.shape[1])]
+def _rotated(y: DataFrame, names: Sequence[str], by: np.ndarray, keep: Sequence[str], out: Sequence[str] | None = None) -> DataFrame:
+    out = out or names
+    mix = [sum((F.col(n) * F.lit(float(by[i, j])) for i, n in enumerate(names)), F.lit(0.0)).alias(out[j]) for j in range(by.shape[1])]
     return y.select(*keep, *mix)
 
 
@@ -328,42 +333,104 @@ def _sent(y: DataFrame, edges: DataFrame, names: Sequence[str]) -> DataFrame:
     return y.join(sent, F.col("a") == F.col("to")).drop("to")
 
 
-def diffusion_map(df: DataFrame, key: str, cols: Sequence[str], components: int = 4, k: int = 15, steps: float = 1.0,
-                  tolerance: float = 1e-5, most_rounds: int = 12, seed: int = 0) -> DataFrame:
-    """Diffusion coordinates d1.. of every row: leading modes of the random walk on the exact neighbour graph.
+def _filtered(y: DataFrame, edges: DataFrame, names: Sequence[str], low: float) -> DataFrame:
+    """A Chebyshev polynomial of the walk applied to the columns (which come with what they send): modes below ``low`` stay
+    small, those above grow fast."""
+    low = max(low, 0.0)
+    half, middle = (low + 1.0) / 2.0, (low - 1.0) / 2.0
+    step = lambda n: (F.col(f"s_{n}") - F.lit(middle) * F.col(n)) / F.lit(half)
+    y = y.select("a", "flat", *[F.col(n).alias(f"o_{n}") for n in names], *[step(n).alias(n) for n in names])
+    for i in range(1, DEGREE):
+        y = cut(y) if i % SENDS == 0 else y
+        y = _sent(y, edges, names)
+        y = y.select("a", "flat", *[F.col(n).alias(f"o_{n}") for n in names], *[(F.lit(2.0) * step(n) - F.col(f"o_{n}")).alias(n) for n in names])
+    return cut(y.select("a", "flat", *names))
+
+
+class DiffusionMap:
+    """Leading modes of the random walk on the exact neighbour graph of all rows, and their extension to other rows.
 
-    All rows take part at every size. The modes come from subspace iteration: a round sends each row's current values
-    along its edges (one join and one aggregate), takes out the constant mode, and orthonormalises with sums of products.
-    It ends when the captured eigenvalues move by less than ``tolerance``, or after ``most_rounds``.
+    The modes come from Chebyshev-filtered subspace iteration: a round takes out the constant mode, orthonormalises with
+    sums of products, rotates to the best approximations and measures their residuals; then a polynomial of the walk (one
+    join and one aggregate per degree) damps everything below the weakest carried mode. It ends when every residual
+    ||S y - value y|| is below ``tolerance`` and raises an error when ``most_rounds`` don't suffice.
     """
-    rows = df.select(key, F.array(*[F.col(c).cast("double") for c in cols]).alias("_x"))
-    graph = cut(_neighbour_graph(rows, key, "_x", k))
-    degree = cut(graph.groupBy("a").agg(F.sum("w").alias("d")))
-    left, right = degree.withColumnRenamed("d", "da"), degree.select(F.col("a").alias("b"), F.col("d").alias("db"))
-    edges = cut(graph.join(left, "a").join(right, "b").select("a", "b", (F.col("w") / F.sqrt(F.col("da") * F.col("db"))).alias("s")))
-    mass = float(degree.agg(F.sum("d")).collect()[0][0] or 1.0)
-    names = [f"d{i + 1}" for i in range(components)]
-    block = [*names, *[f"spare{i}" for i in range(SPARE_MODES)]]
-    start = [(uniform(F.concat(F.lit(f"{seed}|{n}|"), F.col("a").cast("string"))) - 0.5).alias(n) for n in block]
-    y = cut(degree.select("a", F.sqrt(F.col("d") / mass).alias("flat"), *start))
-    values = np.zeros(len(block))
-    for _ in range(most_rounds):
-        flat = _gram(y, ["flat"], block)[0]
-        y = y.select("a", "flat", *[(F.col(n) - F.lit(float(f)) * F.col("flat")).alias(n) for n, f in zip(block, flat)])
-        factor = np.linalg.cholesky(_gram(y, block, block) + 1e-12 * np.eye(len(block)))
-        y = cut(_rotated(y, block, np.linalg.inv(factor).T, ["a", "flat"]))
-        moved = cut(_sent(y, edges, block))
-        found, turn = np.linalg.eigh(_gram(moved, block, [f"s_{n}" for n in block]))
-        found, turn = found[::-1], turn[:, ::-1]
-        done = np.abs(found - values)[:components].max() < tolerance
-        y, values = _rotated(moved, block, turn, ["a", "flat"]), found
-        if done:
-            break
-        # Half a step of staying put keeps modes of negative eigenvalues from taking over.
-        for _ in range(STEPS_PER_ROUND):
-            y = _sent(y, edges, block).select("a", "flat", *[((F.col(n) + F.col(f"s_{n}")) / 2).alias(n) for n in block])
-        y = cut(y)
-    scaled = y.select(F.col("a").alias(key), *[(F.col(n) / F.col("flat") * F.lit(float(max(v, 0.0) ** steps))).alias(n) for n, v in zip(names, values)])
-    # Signs are free; the cubes of a component sum to something positive.
-    cubes = scaled.agg(*[F.sum(F.pow(F.col(n), F.lit(3.0))).alias(n) for n in names]).collect()[0]
-    return scaled.select(key, *[(F.col(n) * F.lit(-1.0 if (cubes[n] or 0.0) < 0 else 1.0)).alias(n) for n in names])
+
+    def __init__(self, key: str, cols: Sequence[str], components: int = 4, k: int = 15, tolerance: float = 1e-5, most_rounds: int = 100, seed: int = 0):
+        self.key, self.cols, self.k, self.tolerance, self.most_rounds, self.seed = key, list(cols), k, tolerance, most_rounds, seed
+        self.names = [f"d{i + 1}" for i in range(components)]
+        self.values = self.residuals = np.zeros(components)
+        self.rounds, self.width = 0, 1.0
+        self.modes: DataFrame | None = None
+
+    def _vectors(self, df: DataFrame) -> DataFrame:
+        return df.select(self.key, F.array(*[F.col(c).cast("double") for c in self.cols]).alias("_x"))
+
+    def fit(self, df: DataFrame) -> DiffusionMap:
+        rows = cut(self._vectors(df))
+        graph, self.width = _neighbour_graph(rows, self.key, "_x", self.k)
+        graph = cut(graph)
+        degree = cut(graph.groupBy("a").agg(F.sum("w").alias("d")))
+        left, right = degree.withColumnRenamed("d", "da"), degree.select(F.col("a").alias("b"), F.col("d").alias("db"))
+        edges = cut(graph.join(left, "a").join(right, "b").select("a", "b", (F.col("w") / F.sqrt(F.col("da") * F.col("db"))).alias("s")))
+        total = degree.agg(F.sum("d").alias("d"), F.count(F.lit(1)).alias("n")).collect()[0]
+        # No more modes than rows besides the constant one.
+        block = [*self.names, *[f"spare{i}" for i in range(SPARE_MODES)]][: max(total["n"] - 1, 1)]
+        wanted = min(len(self.names), len(block))
+        start = [(uniform(F.concat(F.lit(f"{self.seed}|{n}|"), F.col("a").cast("string"))) - 0.5).alias(n) for n in block]
+        y = cut(degree.select("a", F.sqrt(F.col("d") / F.lit(float(total["d"] or 1.0))).alias("flat"), *start))
+        sent = [f"s_{n}" for n in block]
+        for self.rounds in range(1, self.most_rounds + 1):
+            for _ in range(2):
+                sums = _gram(y, ["flat", *block], ["flat", *block])
+                flat = sums[0, 1:]
+                power, turn = np.linalg.eigh(sums[1:, 1:] - np.outer(flat, flat))
+                level = [(F.col(n) - F.lit(float(f)) * F.col("flat")).alias(n) for n, f in zip(block, flat)]
+                y = cut(_rotated(y.select("a", "flat", *level), block, turn / np.sqrt(np.maximum(power, 1e-300)), ["a", "flat"]))
+            moved = cut(_sent(y, edges, block))
+            sums = _gram(moved, [*block, *sent], sent)
+            found, turn = np.linalg.eigh((sums[: len(block)] + sums[: len(block)].T) / 2)
+            found, turn = found[::-1], turn[:, ::-1]
+            # ||S y - value y||^2 = ||S y||^2 - value^2 for orthonormal columns.
+            residuals = np.sqrt(np.maximum(np.diag(turn.T @ sums[len(block) :] @ turn) - found**2, 0.0))
+            both = _rotated(moved, block, turn, ["a", "flat", *sent])
+            both = _rotated(both, sent, turn, ["a", "flat", *block])
+            y = both.select("a", "flat", *block)
+            if residuals[:wanted].max() < self.tolerance:
+                break
+            y = _filtered(both, edges, block, float(found[-1]))
+        else:
+            raise RuntimeError(f"modes haven't converged in {self.most_rounds} rounds: residuals {residuals[:wanted]}")
+        self.values, self.residuals = found[:wanted], residuals[:wanted]
+        psi = y.select(F.col("a").alias(self.key), *[(F.col(n) / F.col("flat")).alias(n) for n in block[:wanted]])
+        # Signs are free; the cubes of a component sum to something positive.
+        cubes = psi.agg(*[F.sum(F.pow(F.col(n), F.lit(3.0))).alias(n) for n in block[:wanted]]).collect()[0]
+        signs = [-1.0 if (cubes[n] or 0.0) < 0 else 1.0 for n in block[:wanted]]
+        lacking = [F.lit(0.0).alias(n) for n in self.names[wanted:]]
+        psi = psi.select(self.key, *[(F.col(n) * F.lit(s)).alias(n) for n, s in zip(block, signs)], *lacking)
+        self.values = np.concatenate([self.values, np.zeros(len(lacking))])
+        self.modes = cut(psi.join(rows, self.key))
+        return self
+
+    def _scale(self, power: float) -> list[float]:
+        return [float(max(v, 1e-8) ** power) for v in self.values]
+
+    def coordinates(self, steps: float = 1.0) -> DataFrame:
+        """Diffusion coordinates of the fitted rows after ``steps`` of the walk."""
+        return self.modes.select(self.key, *[(F.col(n) * F.lit(f)).alias(n) for n, f in zip(self.names, self._scale(steps))])
+
+    def transform(self, df: DataFrame, steps: float = 1.0) -> DataFrame:
+        """Coordinates of other rows by the Nystrom extension: a step of the walk from the row to its nearest fitted rows."""
+        from cohortloom.operators.neighbors import nearest_of
+
+        near = nearest_of(self._vectors(df), self.modes, self.key, "_x", self.k)
+        weighted = near.select(F.col(self.key).alias("to"), F.col("neighbor").alias(self.key), _kernel(F.col("distance"), self.width).alias("w"))
+        joined = weighted.join(self.modes.drop("_x"), self.key)
+        total = F.greatest(F.sum("w"), F.lit(1e-12))
+        means = [(F.sum(F.col("w") * F.col(n)) / total * F.lit(f)).alias(n) for n, f in zip(self.names, self._scale(steps - 1.0))]
+        return joined.groupBy(F.col("to").alias(self.key)).agg(*means)
+
+
+def diffusion_map(df: DataFrame, key: str, cols: Sequence[str], components: int = 4, k: int = 15, steps: float = 1.0, **fit) -> DataFrame:
+    """Diffusion coordinates d1.. of every row (see :class:`DiffusionMap`)."""
+    return DiffusionMap(key, cols, components, k, **fit).fit(df).coordinates(steps)

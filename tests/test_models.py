@@ -152,6 +152,61 @@ def test_diffusion_coordinates_keep_the_order_of_a_chain(spark):
     assert (np.diff(d) > 0).all() or (np.diff(d) < 0).all()
 
 
+def dense_modes(x, k):
+    """(values, coordinates, kernel width) of the neighbour graph by a full eigendecomposition; rows are in key order."""
+    d = np.sqrt(((x[:, None] - x[None, :]) ** 2).sum(axis=2))
+    near = np.argsort(d + np.eye(len(x)) * 1e9, axis=1, kind="stable")[:, :k]
+    width = np.median(np.take_along_axis(d, near, axis=1))
+    w = np.zeros_like(d)
+    np.put_along_axis(w, near, np.exp(-((np.take_along_axis(d, near, axis=1) / width) ** 2)), axis=1)
+    w = np.maximum(w, w.T)
+    degree = w.sum(axis=1)
+    values, vectors = np.linalg.eigh(w / np.sqrt(degree[:, None] * degree[None, :]))
+    flat = np.sqrt(degree / degree.sum())
+    return values[::-1], vectors[:, ::-1] / flat[:, None], width
+
+
+def test_diffusion_map_of_clusters_matches_full_eigendecomposition_and_extends(spark):
+    rng = np.random.default_rng(8)
+    centers = np.array([[0, 0, 0], [3, 0, 1], [0, 3, -1]])
+    x = np.concatenate([c + rng.normal(scale=1.0, size=(40, 3)) for c in centers])
+    table = lambda rows, first: spark.createDataFrame([(first + i, *map(float, r)) for i, r in enumerate(rows)], "uid int, a double, b double, c double")
+    model = models.DiffusionMap("uid", ["a", "b", "c"], 3, 10, tolerance=1e-7).fit(table(x, 0))
+    values, psi, width = dense_modes(x, 10)
+    np.testing.assert_allclose(model.values, values[1:4], atol=1e-8)
+    assert model.residuals.max() < 1e-7
+    got = model.coordinates(1.0).orderBy("uid").toPandas()[["d1", "d2", "d3"]].to_numpy()
+    want = psi[:, 1:4] * np.where((psi[:, 1:4] ** 3).sum(axis=0) < 0, -1, 1)
+    np.testing.assert_allclose(got, want * values[1:4], atol=1e-4)
+    new = np.concatenate([c + rng.normal(scale=1.0, size=(5, 3)) for c in centers])
+    d = np.sqrt(((new[:, None] - x[None, :]) ** 2).sum(axis=2))
+    near = np.argsort(d, axis=1, kind="stable")[:, :10]
+    w = np.exp(-((np.take_along_axis(d, near, axis=1) / width) ** 2))
+    extended = (w[:, :, None] * want[near]).sum(axis=1) / w.sum(axis=1, keepdims=True)
+    held_out = model.transform(table(new, 1000), 1.0).orderBy("uid").toPandas()[["d1", "d2", "d3"]].to_numpy()
+    np.testing.assert_allclose(held_out, extended, atol=1e-4)
+    with pytest.raises(RuntimeError, match="converged"):
+        models.DiffusionMap("uid", ["a", "b", "c"], 3, 10, tolerance=1e-12, most_rounds=1).fit(table(x, 0))
+
+
+def test_nearest_of_another_table_matches_brute_force(spark):
+    from cohortloom.operators.neighbors import knn, nearest_of
+
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(900, 2)) * np.repeat([1.0, 0.05, 5.0], 300)[:, None], 2)
+    base = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "uid int, v array<double>")
+    q = np.round(rng.normal(size=(60, 2)) * 3, 2)
+    asked = spark.createDataFrame([(5000 + i, r.tolist()) for i, r in enumerate(q)], "uid int, v array<double>")
+    got = {(r.uid, r["rank"]): r.neighbor for r in nearest_of(asked, base, "uid", "v", 7).collect()}
+    d = np.sqrt(((q[:, None] - x[None, :]) ** 2).sum(axis=2))
+    want = {(5000 + i, n + 1): int(j) for i, row in enumerate(d) for n, j in enumerate(np.lexsort((np.arange(900), row))[:7])}
+    assert got == want
+    own = {(r.uid, r["rank"]): r.neighbor for r in knn(base, "uid", "v", 4).collect()}
+    d = np.sqrt(((x[:, None] - x[None, :]) ** 2).sum(axis=2))
+    np.fill_diagonal(d, np.inf)
+    assert own == {(i, n + 1): int(j) for i, row in enumerate(d) for n, j in enumerate(np.lexsort((np.arange(900), row))[:4])}
+
+
 def test_pruning_keeps_the_first_of_correlated_columns(spark):
     df = spark.range(100).select("id", F.rand(1).alias("a"), F.rand(2).alias("b")).withColumn("c", F.exp("a")).withColumn("d", -F.col("b"))
     kept, dropped = prep.prune_correlated(df.persist(), ["a", "b", "c", "d"], 0.95, "id")
