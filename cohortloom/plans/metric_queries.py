@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohortloom.functions.keyed import poisson_weight_sql, uniform_sql
+from cohortloom.functions.keyed import poisson_weight_sql
 from cohortloom.functions.scalar import logit, row_log_loss
 from cohortloom.operators import metrics as e
 from cohortloom.operators import resample as r
@@ -153,7 +153,9 @@ def _(spark, sf):
 
 def _boot_sql(source, keys, key, total, count, draws, seed):
     k = "".join(f"{c}, " for c in keys)
-    w = poisson_weight_sql(uniform_sql(f"concat('{seed}|', CAST(draw AS VARCHAR), '|', CAST({key} AS VARCHAR))"))
+    # One MD5 serves four replicates.
+    part = f"substr(md5(concat('{seed}|', CAST(draw // 4 AS VARCHAR), '|', CAST({key} AS VARCHAR))), 1 + 8 * (draw % 4), 8)"
+    w = poisson_weight_sql(f"(CAST(CAST(concat('0x', {part}) AS BIGINT) AS DOUBLE) / 4294967296)")
     return f"""SELECT {k} quantile_cont(value, 0.025) AS ci_low, quantile_cont(value, 0.975) AS ci_high, avg(CASE WHEN value > 0 THEN 1 ELSE 0 END) AS share_positive, count(value) AS draws
       FROM (SELECT {k} draw, sum(w * t) / nullif(sum(w * c), 0) AS value FROM (SELECT {k} draw, {total} AS t, {count} AS c, {w} AS w FROM {source} CROSS JOIN (SELECT unnest(range({draws})) AS draw)) GROUP BY {k} draw)
       GROUP BY {', '.join(keys) if keys else 'ALL'}"""
@@ -165,12 +167,12 @@ _LOSSES = f"(SELECT model, uid, grp, {LOSS} AS loss FROM fx_predictions)"
 @query(
     "e13_bootstrap_mean_ci",
     "model:s mean:d n:i ci_low:d ci_high:d draws:i",
-    f"SELECT o.model, o.mean, o.n, b.ci_low, b.ci_high, b.draws FROM (SELECT model, avg(loss) AS mean, count(*) AS n FROM {_LOSSES} GROUP BY model) o JOIN ({_boot_sql(_LOSSES, ['model'], 'uid', 'loss', 1, 200, 11)}) b ON o.model = b.model",
+    f"SELECT o.model, o.mean, o.n, b.ci_low, b.ci_high, b.draws FROM (SELECT model, avg(loss) AS mean, count(*) AS n FROM {_LOSSES} GROUP BY model) o JOIN ({_boot_sql(_LOSSES, ['model'], 'uid', 'loss', 1, 2000, 11)}) b ON o.model = b.model",
     "fx_predictions",
 )
 def _(spark, sf):
     x = fx.predictions(spark, sf).withColumn("loss", row_log_loss(C("y"), C("prob")))
-    return r.bootstrap_mean_ci(x, ["model"], "uid", "loss", 200, 11)
+    return r.bootstrap_mean_ci(x, ["model"], "uid", "loss", 2000, 11)
 
 
 _GAIN = "(SELECT uid, grp, -(y * ln(m_a) + (1 - y) * ln(1 - m_a)) - (-(y * ln(m_b) + (1 - y) * ln(1 - m_b))) AS gain FROM fx_wide)"
@@ -179,13 +181,13 @@ _GAIN = "(SELECT uid, grp, -(y * ln(m_a) + (1 - y) * ln(1 - m_a)) - (-(y * ln(m_
 @query(
     "e14_paired_bootstrap",
     "mean:d n:i ci_low:d ci_high:d share_positive:d draws:i",
-    f"SELECT * FROM (SELECT avg(gain) AS mean, count(*) AS n FROM {_GAIN}) CROSS JOIN ({_boot_sql(_GAIN, [], 'uid', 'gain', 1, 200, 12)})",
+    f"SELECT * FROM (SELECT avg(gain) AS mean, count(*) AS n FROM {_GAIN}) CROSS JOIN ({_boot_sql(_GAIN, [], 'uid', 'gain', 1, 2000, 12)})",
     "fx_wide",
 )
 def _(spark, sf):
     x = fx.wide_predictions(spark, sf)
     x = x.select("uid", row_log_loss(C("y"), C("m_a")).alias("a"), row_log_loss(C("y"), C("m_b")).alias("b"))
-    return r.paired_bootstrap(x, [], "uid", "a", "b", 200, 12)
+    return r.paired_bootstrap(x, [], "uid", "a", "b", 2000, 12)
 
 
 _CLUSTER = f"(SELECT grp, sum(gain) AS t0, count(*) AS c0 FROM {_GAIN} GROUP BY grp)"
@@ -194,13 +196,13 @@ _CLUSTER = f"(SELECT grp, sum(gain) AS t0, count(*) AS c0 FROM {_GAIN} GROUP BY
 @query(
     "e15_cluster_bootstrap",
     "mean:d n:i clusters:i ci_low:d ci_high:d share_positive:d draws:i",
-    f"SELECT * FROM (SELECT sum(t0) / sum(c0) AS mean, sum(c0) AS n, count(*) AS clusters FROM {_CLUSTER}) CROSS JOIN ({_boot_sql(_CLUSTER, [], 'grp', 't0', 'c0', 200, 13)})",
+    f"SELECT * FROM (SELECT sum(t0) / sum(c0) AS mean, sum(c0) AS n, count(*) AS clusters FROM {_CLUSTER}) CROSS JOIN ({_boot_sql(_CLUSTER, [], 'grp', 't0', 'c0', 2000, 13)})",
     "fx_wide",
 )
 def _(spark, sf):
     x = fx.wide_predictions(spark, sf)
     x = x.withColumn("gain", row_log_loss(C("y"), C("m_a")) - row_log_loss(C("y"), C("m_b")))
-    return r.cluster_bootstrap(x, [], "grp", "gain", 200, 13)
+    return r.cluster_bootstrap(x, [], "grp", "gain", 2000, 13)
 
 
 @query(
