@@ -1,17 +1,19 @@
 """Calibration: temperature, Platt and beta maps fitted for many groups at once.
 
-A fit is a convex problem with at most three weights. Each solver step is one aggregation that returns gradient and
-Hessian sums for every group together; only those sums (a few numbers per group) reach the driver. For cross-fitting, a
-row joins the weights of every fold that held it out of training, and is summed on the map side in the same step.
+A fit is a convex problem with at most three weights. Rows that agree in group, fold, label and probability are merged with
+their count first. Each solver step is one aggregation that gives gradient and Hessian sums of every fit together; the
+state of the solver is a table with a row per fit, so neither groups nor folds pass through the driver, which only asks
+whether a fit is still open. For cross-fitting, a row joins every fit of its group that holds out another fold.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Sequence
-from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,79 +42,59 @@ def _expit(z: Column) -> Column:
     return F.when(z >= 0, F.lit(1.0) / (F.lit(1.0) + e)).otherwise(e / (F.lit(1.0) + e))
 
 
-class _Groups:
-    """Training rows of every fit: plain groups, or (group, held-out fold) when cross-fitting."""
-
-    def __init__(self, rows: DataFrame, keys: list[str], fold: str | None):
-        if not keys and not fold:
-            rows, keys = rows.withColumn("_all", F.lit(0)), ["_all"]
-        self.rows, self.keys, self.fold = cut(rows), keys, fold
-        self.spark = rows.sparkSession
-        ids = self.rows.select(*keys, *([fold] if fold else [])).distinct().collect()
-        self.ids = [tuple(r) for r in ids]
-        self.types = [f for f in self.rows.schema.fields if f.name in keys or f.name == fold]
-        self.types.sort(key=lambda f: (f.name == fold, keys.index(f.name) if f.name in keys else 0))
-
-    def join(self, weights: dict[tuple, Sequence[float]], names: Sequence[str]) -> DataFrame:
-        """Rows with the weights of every fit they train: a handful of numbers per group, so the table is broadcast."""
-        from pyspark.sql.types import DoubleType, StructField, StructType
-
-        id_names = [f"_g_{k}" for k in self.keys] + (["_held"] if self.fold else [])
-        schema = StructType(
-            [StructField(n, f.dataType) for n, f in zip(id_names, self.types)] + [StructField(n, DoubleType()) for n in names]
-        )
-        table = self.spark.createDataFrame([(*g, *map(float, w)) for g, w in weights.items()], schema)
-        match = [F.col(k).eqNullSafe(F.col(f"_g_{k}")) for k in self.keys]
-        if self.fold:
-            match.append(F.col(self.fold) != F.col("_held"))
-        cond = reduce(lambda a, b: a & b, match)
-        return self.rows.join(F.broadcast(table), cond).withColumn("_id", F.struct(*id_names))
+class _Fits:
+    """Training rows of every fit, equal ones merged, and a row per fit: its group and, when cross-fitting, its held-out fold.
+
+    The state of the solver is a table with one row per fit. It joins the rows by their group; Spark ships it where it has
+    measured it to be small, and the sums are combined on the map side.
+    """
 
-    def sums(self, joined: DataFrame, aggs: Sequence[Column]) -> dict[tuple, tuple]:
-        out = joined.groupBy("_id").agg(F.count(F.lit(1)).alias("_n"), *aggs).collect()
-        return {tuple(r["_id"]): tuple(r)[1:] for r in out}
+    def __init__(self, rows: DataFrame, keys: Sequence[str], fold: str | None, inputs: int):
+        xs = [f"_x{i}" for i in range(inputs)]
+        group = F.struct(*(F.col(k) for k in keys)) if keys else F.struct(F.lit(0).alias("_all"))
+        held = F.col(fold) if fold else F.lit(0)
+        merged = rows.groupBy(group.alias("_g"), held.alias("_f"), "_y", *xs).agg(F.count(F.lit(1)).cast("double").alias("_n"))
+        self.rows, self.fold = cut(merged.where(F.col("_f").isNotNull())), fold
+        self.ids = self.rows.select(F.col("_g").alias("_to"), F.col("_f").alias("_held")).distinct()
 
+    def sums(self, state: DataFrame, weights: Sequence[str], aggs: dict[str, Column]) -> DataFrame:
+        """``state`` with the weighted means of ``aggs`` over the rows that each fit trains on."""
+        on = F.col("_g") == F.col("_to")
+        if self.fold:
+            on = on & (F.col("_f") != F.col("_held"))
+        n = F.col("_n")
+        means = [(F.max(v) if name == "_m" else F.sum(n * v) / F.sum(n)).alias(name) for name, v in aggs.items()]
+        found = self.rows.join(state.select("_to", "_held", *weights), on).groupBy(F.col("_to").alias("_t"), F.col("_held").alias("_h")).agg(*means)
+        return state.join(found, (F.col("_to") == F.col("_t")) & (F.col("_held") == F.col("_h"))).drop("_t", "_h")
 
-def _fit_temperature(groups: _Groups) -> dict[tuple, tuple[float, ...]]:
+
+def _fit_temperature(fits: _Fits) -> DataFrame:
     """Inverse temperature: root of the monotone derivative in the bracket, then the best of four candidates."""
-    z, y = F.col("_x0"), F.col("_y")
-
-    def slopes(at: dict[tuple, float]) -> dict[tuple, tuple]:
-        b = F.col("_w0")
-        s = _expit(b * z)
-        aggs = [F.avg(z * (s - y)).alias("d"), F.avg(z * z * s * (1 - s)).alias("h"), F.max(F.abs(z)).alias("m")]
-        return groups.sums(groups.join({g: (v,) for g, v in at.items()}, ["_w0"]), aggs)
-
-    low, high = slopes(dict.fromkeys(groups.ids, BETA_LOW)), slopes(dict.fromkeys(groups.ids, BETA_HIGH))
-    bracket = {g: [BETA_LOW, BETA_HIGH] for g in low if low[g][1] < 0 < high[g][1]}
-    at = {g: 1.0 for g in bracket}
-    todo = set(bracket)
+    z, y, b = F.col("_x0"), F.col("_y"), F.col("_b")
+    slope = lambda at: z * (_expit(at * z) - y)
+    loss = lambda at: _softplus(at * z) - y * at * z
+    ends = {"_d0": slope(F.lit(BETA_LOW)), "_d1": slope(F.lit(BETA_HIGH)), "_m": F.abs(z)}
+    ends |= {f"_l{i}": loss(F.lit(c)) for i, c in enumerate((BETA_LOW, 1.0, BETA_HIGH))}
+    inside = (F.col("_d0") < 0) & (F.col("_d1") > 0)
+    state = fits.sums(fits.ids, [], ends).withColumn("_in", inside).drop("_d0", "_d1")
+    state = cut(state.select("*", F.lit(1.0).alias("_b"), F.lit(BETA_LOW).alias("_lo"), F.lit(BETA_HIGH).alias("_hi"), (~F.col("_in")).alias("_done")))
     for _ in range(STEPS):
-        if not todo:
+        if state.where("NOT _done").isEmpty():
             break
-        for g, (_, d, h, _) in slopes({g: at[g] for g in todo}).items():
-            b, (lo, hi) = at[g], bracket[g]
-            lo, hi = (b, hi) if d < 0 else (lo, b)
-            bracket[g] = [lo, hi]
-            step = b - d / h if h > 0 else (lo + hi) / 2
-            new = step if lo < step < hi else (lo + hi) / 2
-            if abs(new - b) <= 1e-12 * max(1.0, b) or d == 0:
-                todo.discard(g)
-            at[g] = new
-    loss = lambda b: F.avg(_softplus(b * z) - y * b * z)
-    candidates = [BETA_LOW, 1.0, BETA_HIGH]
-    aggs = [loss(F.lit(c)).alias(f"l{i}") for i, c in enumerate(candidates)] + [loss(F.col("_w0")).alias("l3")]
-    final = groups.sums(groups.join({g: (at.get(g, 1.0),) for g in groups.ids}, ["_w0"]), aggs)
-    result = {}
-    for g in low:
-        if low[g][3] == 0:
-            result[g] = (1.0,)
-            continue
-        options = candidates + ([at[g]] if g in at else [])
-        losses = final[g][1:]
-        result[g] = (min(zip(losses, range(len(options))))[1],)
-        result[g] = (options[result[g][0]],)
-    return result
+        curve = {"_d": slope(b), "_c": z * z * _expit(b * z) * (F.lit(1.0) - _expit(b * z))}
+        open_ = fits.sums(state.where("NOT _done"), ["_b"], curve)
+        rising = F.col("_d") < 0
+        open_ = open_.withColumn("_lo", F.when(rising, b).otherwise(F.col("_lo"))).withColumn("_hi", F.when(rising, F.col("_hi")).otherwise(b))
+        step, middle = b - F.col("_d") / F.when(F.col("_c") > 0, F.col("_c")), (F.col("_lo") + F.col("_hi")) / F.lit(2.0)
+        open_ = open_.withColumn("_new", F.when((step > F.col("_lo")) & (step < F.col("_hi")), step).otherwise(middle))
+        open_ = open_.withColumn("_done", (F.abs(F.col("_new") - b) <= F.lit(1e-12) * F.greatest(F.lit(1.0), b)) | (F.col("_d") == 0))
+        open_ = open_.withColumn("_b", F.col("_new"))
+        state = cut(state.where("_done").unionByName(open_.select(*state.columns)))
+    final = fits.sums(state, ["_b"], {"_l3": loss(b)})
+    options = [F.struct(F.col(f"_l{i}").alias("l"), F.lit(i).alias("i"), F.lit(c).alias("w")) for i, c in enumerate((BETA_LOW, 1.0, BETA_HIGH))]
+    options.append(F.when(F.col("_in"), F.struct(F.col("_l3").alias("l"), F.lit(3).alias("i"), b.alias("w"))))
+    best = F.array_min(F.array_compact(F.array(*options)))["w"]
+    return final.select("_to", "_held", F.when(F.col("_m") == 0, F.lit(1.0)).otherwise(best).alias("w0"))
 
 
 def _box_newton_step(w: np.ndarray, grad: np.ndarray, hess: np.ndarray, bounds) -> np.ndarray:
@@ -138,53 +120,55 @@ def _box_newton_step(w: np.ndarray, grad: np.ndarray, hess: np.ndarray, bounds)
     return best
 
 
-def _fit_ridge(groups: _Groups, method: str) -> dict[tuple, tuple[float, ...]]:
-    """Projected Newton on the mean loss plus ``RIDGE |w - anchor|^2``, with step halving."""
+def _fit_ridge(fits: _Fits, method: str) -> DataFrame:
+    """Projected Newton on the mean loss plus ``RIDGE |w - anchor|^2``, with step halving; a fit's few numbers are updated in
+    its row of the state."""
     anchor, bounds = np.array(ANCHORS[method]), BOUNDS[method]
     d = len(anchor)
     xs, y = [F.col(f"_x{i}") for i in range(d)], F.col("_y")
-    names = [f"_w{i}" for i in range(d)]
-    z = sum((F.col(n) * x for n, x in zip(names, xs)), F.lit(0.0))
-    s = F.col("_s")
+    z = sum((F.col("trial")[i] * x for i, x in enumerate(xs)), F.lit(0.0))
+    s = _expit(z)
     upper = [(i, j) for i in range(d) for j in range(i, d)]
-    aggs = [F.avg(F.col("_l")).alias("loss")]
-    aggs += [F.avg(xs[i] * (s - y)).alias(f"g{i}") for i in range(d)]
-    aggs += [F.avg(xs[i] * xs[j] * s * (1 - s)).alias(f"h{i}{j}") for i, j in upper]
-
-    def evaluate(at: dict[tuple, np.ndarray]):
-        joined = groups.join(at, names).withColumn("_z", z)
-        joined = joined.withColumn("_s", _expit(F.col("_z"))).withColumn("_l", _softplus(F.col("_z")) - y * F.col("_z"))
-        out = {}
-        for g, r in groups.sums(joined, aggs).items():
-            delta = at[g] - anchor
-            grad = np.array(r[2 : 2 + d]) + 2 * RIDGE * delta
+    aggs = {"_loss": _softplus(z) - y * z} | {f"_g{i}": xs[i] * (s - y) for i in range(d)}
+    aggs |= {f"_h{i}{j}": xs[i] * xs[j] * s * (F.lit(1.0) - s) for i, j in upper}
+    state = fits.ids.select("_to", "_held", *[F.array(*[F.lit(float(a)) for a in anchor]).alias(c) for c in ("w", "trial")])
+    state = cut(state.select("*", F.lit(math.inf).alias("loss"), F.array().cast("array<double>").alias("grad"), F.array().cast("array<double>").alias("hess"), F.lit(0.5).alias("scale"), F.lit(False).alias("done")))
+
+    def update(row: pd.Series) -> pd.Series:
+        trial, w = np.array(row["trial"]), np.array(row["w"])
+        delta = trial - anchor
+        loss = row["_loss"] + RIDGE * float(delta @ delta)
+        first = math.isinf(row["loss"])
+        if loss <= row["loss"] + 1e-15:
             hess = np.zeros((d, d))
-            for (i, j), v in zip(upper, r[2 + d :]):
-                hess[i, j] = hess[j, i] = v
-            out[g] = (r[1] + RIDGE * float(delta @ delta), grad, hess + 2 * RIDGE * np.eye(d))
-        return out
-
-    at = {g: anchor.copy() for g in groups.ids}
-    state = evaluate(at)
-    at = {g: at[g] for g in state}
-    todo = set(state)
-    scale = dict.fromkeys(todo, 1.0)
+            for i, j in upper:
+                hess[i, j] = hess[j, i] = row[f"_h{i}{j}"]
+            grad = np.array([row[f"_g{i}"] for i in range(d)]) + 2 * RIDGE * delta
+            row["w"], row["loss"], row["grad"], row["hess"] = trial, loss, grad, (hess + 2 * RIDGE * np.eye(d)).ravel()
+            row["scale"] = min(1.0, row["scale"] * 2)
+        else:
+            row["scale"] /= 2
+        row["done"] = not first and float(np.max(np.abs(trial - w))) < TOLERANCE
+        now, grad, hess = np.array(row["w"]), np.array(row["grad"]), np.array(row["hess"]).reshape(d, d)
+        row["trial"] = now + row["scale"] * (_box_newton_step(now, grad, hess, bounds) - now)
+        return row
+
+    numbers = ["w", "trial", "loss", "grad", "hess", "scale", "done"]
+    kinds = "id bigint, w array<double>, trial array<double>, loss double, grad array<double>, hess array<double>, scale double, done boolean"
+
+    def updated(batches):
+        for pdf in batches:
+            if len(pdf):
+                yield pdf.apply(update, axis=1)[["id", *numbers]]
+
+    state = cut(state.withColumn("id", F.monotonically_increasing_id()))
     for _ in range(STEPS):
-        if not todo:
+        if state.where("NOT done").isEmpty():
             break
-        trial = {}
-        for g in todo:
-            target = _box_newton_step(at[g], state[g][1], state[g][2], bounds)
-            trial[g] = at[g] + scale[g] * (target - at[g])
-        for g, new in evaluate(trial).items():
-            moved = float(np.max(np.abs(trial[g] - at[g])))
-            if new[0] <= state[g][0] + 1e-15:
-                at[g], state[g], scale[g] = trial[g], new, min(1.0, scale[g] * 2)
-            else:
-                scale[g] /= 2
-            if moved < TOLERANCE:
-                todo.discard(g)
-    return {g: tuple(float(v) for v in at[g]) for g in at}
+        found = cut(fits.sums(state.where("NOT done"), ["trial"], aggs))
+        new = found.drop("_to", "_held").mapInPandas(updated, kinds).join(found.select("id", "_to", "_held"), "id")
+        state = cut(state.where("done").unionByName(new))
+    return state.select("_to", "_held", *[F.col("w")[i].alias(f"w{i}") for i in range(d)])
 
 
 def design(p: Column, method: str) -> list[Column]:
@@ -208,14 +192,10 @@ def fit(
     rows = df.where(F.col(label).isNotNull() & F.col(prob).isNotNull()).select(
         *keys, *([fold] if fold else []), F.col(label).cast("double").alias("_y"), *[x.alias(f"_x{i}") for i, x in enumerate(xs)]
     )
-    groups = _Groups(rows, keys, fold)
-    weights = _fit_temperature(groups) if method == "temperature" else _fit_ridge(groups, method)
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    fields = [StructField("held_out" if f.name == fold else f.name, f.dataType) for f in groups.types]
-    fields += [StructField(f"w{i}", DoubleType()) for i in range(len(xs))]
-    table = df.sparkSession.createDataFrame([(*g, *w) for g, w in weights.items()], StructType(fields))
-    return table.drop("_all")
+    fits = _Fits(rows, keys, fold, len(xs))
+    found = cut(_fit_temperature(fits) if method == "temperature" else _fit_ridge(fits, method))
+    named = [F.col("_to")[k].alias(k) for k in keys] + ([F.col("_held").alias("held_out")] if fold else [])
+    return found.select(*named, *[f"w{i}" for i in range(len(xs))])
 
 
 def fit_temperature(df: DataFrame, keys: Sequence[str], label: str, logits: str, fold: str | None = None) -> DataFrame:
@@ -246,6 +226,6 @@ def crossfit_calibrate(
     cond = F.col(fold) == F.col("held_out")
     for k in keys:
         cond = cond & F.col(k).eqNullSafe(F.col(f"_g_{k}"))
-    joined = df.join(F.broadcast(renamed), cond, "left")
+    joined = df.join(renamed, cond, "left")
     p = apply_map(F.col(prob), [F.col(f"_{w}") for w in ws], method)
     return joined.select(*df.columns, p.alias(out))
