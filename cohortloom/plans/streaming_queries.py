@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from cohortloom.plans import fixtures as fx
 from cohortloom.registry import query
 from cohortloom.session import scratch_path
-from cohortloom.sources.tables import read_current, read_latest
+from cohortloom.sources.tables import read_latest
 from cohortloom.streaming import jobs
 
 C = F.col
+ANY_AGE = "36500 days"
 
 
 def stream(spark, sf, name, files_per_batch=20):
@@ -81,8 +82,10 @@ def _(spark, sf):
     e.unionByName(e.where(C("event_id") % 2 == 0)).repartition(3).write.parquet(path)
     s = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path)
     out = scratch_path(spark, "moments")
-    jobs.write_complete(jobs.running_moments(s, ["event_id"], ["event_type"], "value"), out, scratch_path(spark, "cp"))
-    return read_current(spark, out)
+    # The files come in any order, so a repeat may be as old as the table is long.
+    moments = jobs.running_moments(s, ["event_id"], ["event_type"], "value", "ts", ANY_AGE)
+    jobs.write_updates(moments, out, scratch_path(spark, "cp"), ["event_type"])
+    return jobs.read_updates(spark, out, ["event_type"])
 
 
 @query(
@@ -100,8 +103,8 @@ def _(spark, sf):
     )
     out = scratch_path(spark, "board")
     board = jobs.live_leaderboard(s, ["run_key"], "value", "state", ["COMPLETE", "RUNNING", "FAIL"])
-    jobs.write_complete(board, out, scratch_path(spark, "cp"))
-    return read_current(spark, out)
+    jobs.write_updates(board, out, scratch_path(spark, "cp"), ["run_key"])
+    return jobs.read_updates(spark, out, ["run_key"])
 
 
 @query("r06_progress_heartbeat", "rows:i", "SELECT count(*) AS rows FROM events")
@@ -135,8 +138,8 @@ def _(spark, sf):
 def _(spark, sf):
     w = jobs.event_windows(stream(spark, sf, "events"), "ts", "2 hours", "1 hour", ["event_type"])
     out = scratch_path(spark, "windows")
-    jobs.write_complete(w, out, scratch_path(spark, "cp"))
-    return read_current(spark, out).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+    jobs.write_updates(w, out, scratch_path(spark, "cp"), ["start", "end", "event_type"])
+    return jobs.read_updates(spark, out, ["start", "end", "event_type"]).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query(
@@ -150,6 +153,25 @@ def _(spark, sf):
     return s.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
 
 
+_SESSIONS = """SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n, sum(value) AS total FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (
+  SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s"""
+
+
+@query(
+    "r07_event_sessions_stream",
+    "user_id:i start:s n:i total:d",
+    f"""SELECT user_id, strftime(start, '%Y-%m-%d %H:%M:%S') AS start, n, total FROM ({_SESSIONS})
+       WHERE "end" <= (SELECT time_bucket(INTERVAL 1 MILLISECOND, max(ts)) - INTERVAL 10 MINUTE FROM events)""",
+)
+def _(spark, sf):
+    """Sessions that the watermark (ten minutes behind the newest event) has closed."""
+    sessions = jobs.event_sessions(stream(spark, sf, "events"), "ts", "30 minutes", ["user_id"])
+    out = scratch_path(spark, "sessions")
+    jobs.write_closed(sessions, out, scratch_path(spark, "cp"), ["user_id", "start"])
+    closed = read_latest(spark, out, ["user_id", "start"], ["_batch"])
+    return closed.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+
+
 @query(
     "x06_stateful_welford",
     "k:s n:i mean:d m2:d4",
@@ -157,6 +179,6 @@ def _(spark, sf):
 )
 def _(spark, sf):
     out = scratch_path(spark, "welford")
-    w = jobs.welford(split_stream(spark, sf, "events", 3, "event_id"), "event_type", "value")
-    jobs.run_available(w, lambda b, _: jobs.upsert_latest(b, out, ["k"], ["n"]), scratch_path(spark, "cp"), "update")
-    return read_latest(spark, out, ["k"], ["n"])
+    w = jobs.welford(split_stream(spark, sf, "events", 3, "event_id"), "event_type", "value", "event_id")
+    jobs.write_updates(w, out, scratch_path(spark, "cp"), ["k", "salt"])
+    return jobs.merged_moments(jobs.read_updates(spark, out, ["k", "salt"]))

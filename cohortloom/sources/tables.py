@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
+import pyarrow.fs
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -115,65 +118,130 @@ def read_tolerant(spark: SparkSession, path: str, schema: str, fmt: str = "csv",
 
 # --- versioned tables --------------------------------------------------------------------------------------------------
 
+# A table is a folder with ``data/<name>`` for the rows of every commit and ``log/<name>`` for one row that tells what it is.
+# Names are unique, so writers never write to one place; a commit counts once its log file is there, which appears at once.
+COMMIT = "name string, data string, kind string, number bigint, merged array<string>"
 
-def _committed(spark: SparkSession, path: str) -> list[str]:
-    """Names of the folders under a table that hold the commit marker."""
-    jvm = spark._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(root):
+
+def commits(spark: SparkSession, path: str) -> list:
+    """The log of a table: versions (kind ``table`` or ``compact``) and deltas."""
+    try:
+        log = spark.read.schema(COMMIT).option("recursiveFileLookup", "true").parquet(f"{path}/log")
+    except AnalysisException:
         return []
-    entries = [s.getPath() for s in fs.listStatus(root)]
-    return sorted(p.getName() for p in entries if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+    return sorted(log.collect(), key=lambda e: (e["number"], e["name"]))
+
+
+def _newest(log: list):
+    """The version that readers take: the highest number, of several the largest name."""
+    done = [e for e in log if e["kind"] != "delta"]
+    return done[-1] if done else None
+
+
+def _on_top(log: list) -> list:
+    """Deltas that the newest version doesn't hold, whoever wrote them and whatever version they were written on."""
+    newest = _newest(log)
+    merged = set(newest["merged"]) if newest is not None else set()
+    return [e for e in log if e["kind"] == "delta" and e["name"] not in merged]
+
+
+def _enter(spark: SparkSession, path: str, name: str, data: str, kind: str, number: int, merged: Sequence[str]) -> None:
+    row = spark.createDataFrame([(name, data, kind, number, list(merged))], COMMIT)
+    row.coalesce(1).write.parquet(f"{path}/log/{name}")
+
+
+def _commit(df: DataFrame, path: str, kind: str, log: list, partition_by: Sequence[str] = ()) -> str:
+    """Write rows and enter them in the log, after what the log held."""
+    spark, name = df.sparkSession, f"{kind}-{uuid.uuid4().hex}"
+    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
+    writer.parquet(f"{path}/data/{name}")
+    newest = _newest(log)
+    number = newest["number"] if newest is not None else -1
+    merged = [] if kind == "delta" else [e["name"] for e in log if e["kind"] == "delta"]
+    _enter(spark, path, name, name, kind, number + (kind != "delta"), merged)
+    return name
 
 
 def _versions(spark: SparkSession, path: str) -> list[int]:
-    """Finished versions of a table: folders ``v<number>``."""
-    return sorted(int(n[1:]) for n in _committed(spark, path) if n.startswith("v") and n[1:].isdigit())
+    """Numbers of the finished versions of a table."""
+    return [e["number"] for e in commits(spark, path) if e["kind"] != "delta"]
 
 
-def _deltas(spark: SparkSession, path: str) -> tuple[int, list[int]]:
-    """(base version or -1, numbers of the finished deltas on top of it): folders ``delta-<base>-<number>``."""
-    done = _versions(spark, path)
-    base = done[-1] if done else -1
-    mark = f"delta-{base}-"
-    return base, sorted(int(n[len(mark):]) for n in _committed(spark, path) if n.startswith(mark))
+def _deltas(spark: SparkSession, path: str) -> tuple[int, list[str]]:
+    """(number of the newest version or -1, names of the deltas on top of it)."""
+    log = commits(spark, path)
+    newest = _newest(log)
+    return newest["number"] if newest is not None else -1, [e["name"] for e in _on_top(log)]
 
 
 def overwrite_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """All-or-nothing replacement: a new version folder counts only once its commit marker is written."""
+    """All-or-nothing replacement by a new version; it replaces the deltas that were there before.
+
+    Of two writers of one number the order is that of the names. Where another writer has meanwhile compacted the version
+    before, which would bring its rows back, the replacement is entered once more behind it.
+    """
     spark = df.sparkSession
-    done = _versions(spark, path)
-    writer = df.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(f"{path}/v{(done[-1] + 1) if done else 0}")
+    log = commits(spark, path)
+    name = _commit(df, path, "table", log, partition_by)
+    merged = [e["name"] for e in log if e["kind"] == "delta"]
+    while (newest := _newest(commits(spark, path)))["kind"] == "compact" and newest["data"] != name:
+        _enter(spark, path, f"table-{uuid.uuid4().hex}", name, "table", newest["number"] + 1, merged)
 
 
 def read_current(spark: SparkSession, path: str) -> DataFrame | None:
     """Latest finished version, or None."""
-    done = _versions(spark, path)
-    return spark.read.parquet(f"{path}/v{done[-1]}") if done else None
+    newest = _newest(commits(spark, path))
+    return spark.read.parquet(f"{path}/data/{newest['data']}") if newest is not None else None
 
 
 def append_delta(df: DataFrame, path: str) -> int:
-    """Add rows on top of the current version without rewriting it; returns how many deltas the version has."""
-    base, numbers = _deltas(df.sparkSession, path)
-    df.write.mode("overwrite").parquet(f"{path}/delta-{base}-{(numbers[-1] + 1) if numbers else 0}")
-    return len(numbers) + 1
+    """Add rows without rewriting the table; returns how many deltas lie on the current version. Any number of writers may
+    do so at the same time, also while another one compacts."""
+    log = commits(df.sparkSession, path)
+    _commit(df, path, "delta", log)
+    return len(_on_top(log)) + 1
 
 
-def read_latest(spark: SparkSession, path: str, keys: Sequence[str], order: Sequence[str]) -> DataFrame | None:
-    """Current version and its deltas, last row per key (one map-side aggregate)."""
-    base, numbers = _deltas(spark, path)
-    parts = [spark.read.parquet(f"{path}/v{base}")] if base >= 0 else []
-    parts += [spark.read.parquet(f"{path}/delta-{base}-{n}") for n in numbers]
+def _rows_of(spark: SparkSession, path: str, log: list, keys: Sequence[str], order: Sequence[str]) -> DataFrame | None:
+    newest = _newest(log)
+    parts = [e for e in [newest, *_on_top(log)] if e is not None]
     if not parts:
         return None
-    rows = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+    tables = [spark.read.parquet(f"{path}/data/{e['data']}") for e in parts]
+    rows = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), tables)
     return drop_duplicates_keep(rows, keys, order, "last").select(*rows.columns)
 
 
+def read_latest(spark: SparkSession, path: str, keys: Sequence[str], order: Sequence[str]) -> DataFrame | None:
+    """Current version and its deltas, last row per key (one map-side aggregate)."""
+    return _rows_of(spark, path, commits(spark, path), keys, order)
+
+
+def compact(spark: SparkSession, path: str, keys: Sequence[str], order: Sequence[str]) -> None:
+    """Merge the current version and its deltas into a new version. Deltas that come meanwhile stay on top of it."""
+    log = commits(spark, path)
+    rows = _rows_of(spark, path, log, keys, order)
+    if rows is not None:
+        _commit(rows, path, "compact", log)
+
+
+def drop_old(spark: SparkSession, path: str, keep: int = 1) -> int:
+    """Delete all but the newest ``keep`` versions and the deltas that the oldest kept one holds; returns the number of
+    commits dropped. Readers of dropped versions must have ended. For stores that pyarrow reaches."""
+    log = commits(spark, path)
+    kept = [e for e in log if e["kind"] != "delta"][-keep:]
+    if not kept:
+        return 0
+    held = set(kept[0]["merged"])
+    old = [e for e in log if (e["kind"] != "delta" and e not in kept) or (e["kind"] == "delta" and e["name"] in held)]
+    store, root = pyarrow.fs.FileSystem.from_uri(path)
+    for e in old:
+        store.delete_dir(f"{root}/log/{e['name']}")
+    for data in {e["data"] for e in old} - {e["data"] for e in kept}:
+        store.delete_dir(f"{root}/data/{data}")
+    return len(old)
+
+
 def export_snapshot(tables: dict[str, DataFrame], path: str) -> DataFrame:
     """Every named table under ``path`` and a manifest (table, rows), also written."""
     manifest = None

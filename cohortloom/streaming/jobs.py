@@ -12,10 +12,10 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from cohortloom.operators.windows import drop_duplicates_keep
-from cohortloom.sources.tables import append_delta, overwrite_table, read_latest
+from cohortloom.sources.tables import append_delta, compact, read_latest
 
 
 COMPACT_EVERY = 16
@@ -28,7 +28,7 @@ def upsert_latest(batch: DataFrame, path: str, keys: Sequence[str], order: Seque
     """
     deltas = append_delta(drop_duplicates_keep(batch, keys, order, "last").select(*batch.columns), path)
     if deltas >= compact_every:
-        overwrite_table(read_latest(batch.sparkSession, path, keys, order), path)
+        compact(batch.sparkSession, path, keys, order)
 
 
 def split_failures(rows: DataFrame, key: str, error: str = "error") -> tuple[DataFrame, DataFrame]:
@@ -36,21 +36,27 @@ def split_failures(rows: DataFrame, key: str, error: str = "error") -> tuple[Dat
     return rows.where(F.col(error).isNull()).drop(error), rows.where(F.col(error).isNotNull()).select(key, error)
 
 
-def failure_table(batch_good: DataFrame, batch_bad: DataFrame, path: str, key: str) -> None:
+#: Order of attempts at a key: the batch, then the retries after it.
+ATTEMPT = ["batch", "retry"]
+
+
+def failure_table(batch_good: DataFrame, batch_bad: DataFrame, path: str, key: str, batch: int, retry: int = 0) -> None:
     """Errors as rows, one per key; a later success clears the key, a later failure replaces the text.
 
-    A batch adds a delta of its own size: its keys with their error, or with none. ``read_failures`` merges.
+    A batch adds a delta of its own size: its keys with their error, or with none. ``read_failures`` merges in the order of
+    the batches, so a batch that is replayed brings back nothing that a later one or a retry has cleared.
     """
     cleared = batch_good.select(key, F.lit(None).cast("string").alias("error"))
     both = cleared.unionByName(batch_bad.select(key, F.col("error").cast("string").alias("error")))
-    new = both.groupBy(key).agg(F.max("error").alias("error")).withColumn("at", F.lit(time.time_ns()))
+    new = both.groupBy(key).agg(F.max("error").alias("error"))
+    new = new.withColumns({"batch": F.lit(batch).cast("bigint"), "retry": F.lit(retry).cast("bigint")})
     if append_delta(new, path) >= COMPACT_EVERY:
-        overwrite_table(read_latest(batch_bad.sparkSession, path, [key], ["at"]), path)
+        compact(batch_bad.sparkSession, path, [key], ATTEMPT)
 
 
 def read_failures(spark: SparkSession, path: str, key: str) -> DataFrame | None:
     """(key, error) of the keys whose last attempt failed."""
-    rows = read_latest(spark, path, [key], ["at"])
+    rows = read_latest(spark, path, [key], ATTEMPT)
     return None if rows is None else rows.where(F.col("error").isNotNull()).select(key, "error")
 
 
@@ -70,11 +76,11 @@ def ingest_incremental(
     Read the stream with ``maxFilesPerTrigger`` to bound a batch; each batch is a commit point.
     """
 
-    def handle(batch: DataFrame, _: int) -> None:
+    def handle(batch: DataFrame, number: int) -> None:
         done = process(batch).persist()
         good, bad = split_failures(done, key)
         upsert_latest(good, out, [key], order)
-        failure_table(good, bad, failures, key)
+        failure_table(good, bad, failures, key, number)
         done.unpersist()
 
     return run_available(stream, handle, checkpoint)
@@ -88,14 +94,19 @@ def retry_failures(spark: SparkSession, source: DataFrame, process, out: str, fa
     todo = process(source.join(bad_keys.select(key), key, "left_semi")).persist()
     good, bad = split_failures(todo, key)
     upsert_latest(good, out, [key], order)
-    failure_table(good, bad, failures, key)
+    last = read_latest(spark, failures, [key], ATTEMPT).agg(F.max(F.struct(*ATTEMPT)).alias("at")).collect()[0]["at"]
+    failure_table(good, bad, failures, key, last["batch"], last["retry"] + 1)
     todo.unpersist()
 
 
-def running_moments(stream: DataFrame, once: Sequence[str], keys: Sequence[str], value: str) -> DataFrame:
-    """Streaming count, mean and sample variance per key, each record (``once`` columns) counted a single time."""
+def running_moments(stream: DataFrame, once: Sequence[str], keys: Sequence[str], value: str, time: str, late: str) -> DataFrame:
+    """Streaming count, mean and sample variance per key, each record (``once`` columns) counted a single time.
+
+    A repeat is known as one as long as it comes within ``late`` of the newest time seen; older record ids leave the state.
+    """
     v = F.col(value)
-    return stream.dropDuplicates(list(once)).groupBy(*keys).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.var_samp(v).alias("variance"))
+    told = _timed(stream, time, late).dropDuplicatesWithinWatermark(list(once))
+    return told.groupBy(*keys).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.var_samp(v).alias("variance"))
 
 
 def live_leaderboard(stream: DataFrame, keys: Sequence[str], value: str, state: str, states: Sequence[str]) -> DataFrame:
@@ -105,20 +116,39 @@ def live_leaderboard(stream: DataFrame, keys: Sequence[str], value: str, state:
     return stream.groupBy(*keys).agg(F.min(done).alias("best"), F.count(F.lit(1)).alias("trials"), *counts)
 
 
-def write_complete(stream: DataFrame, path: str, checkpoint: str):
-    """Keep the full result of an aggregating stream as a versioned table."""
-    return run_available(stream, lambda batch, _: overwrite_table(batch, path), checkpoint, "complete")
+def write_updates(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str]):
+    """Keep an aggregating stream as a table with a row per key: a batch adds the rows that it changed, no more."""
+
+    def handle(batch: DataFrame, number: int) -> None:
+        upsert_latest(batch.withColumn("_batch", F.lit(number)), path, keys, ["_batch"])
+
+    return run_available(stream, handle, checkpoint, "update")
+
+
+def read_updates(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    """The table of :func:`write_updates`."""
+    return read_latest(spark, path, keys, ["_batch"]).drop("_batch")
+
+
+def write_closed(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str]):
+    """Keep the windows or sessions that the watermark has closed (append mode); a replayed batch changes nothing."""
+    return run_available(stream, lambda batch, number: upsert_latest(batch.withColumn("_batch", F.lit(number)), path, keys, ["_batch"]), checkpoint)
 
 
 def with_heartbeat(handle: Callable[[DataFrame, int], None], path: str) -> Callable[[DataFrame, int], None]:
-    """A batch handler that also writes (rows, duration_ms) of every batch; a replayed batch replaces its own row."""
+    """A batch handler that also writes (rows, duration_ms) of every batch; a replayed batch replaces its own row.
+
+    The rows are held while the batch is handled, so that what is counted is what was handled, computed once.
+    """
 
     def run(batch: DataFrame, number: int) -> None:
         start = time.monotonic()
-        handle(batch, number)
+        held = batch.persist()
+        handle(held, number)
         took = int((time.monotonic() - start) * 1000)
-        row = batch.agg(F.count(F.lit(1)).alias("rows")).withColumn("duration_ms", F.lit(took).cast("bigint"))
+        row = held.agg(F.count(F.lit(1)).alias("rows")).withColumn("duration_ms", F.lit(took).cast("bigint"))
         row.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        held.unpersist()
 
     return run
 
@@ -148,22 +178,43 @@ def event_sessions(stream: DataFrame, time: str, gap: str, keys: Sequence[str],
     return g.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), *keys, "n", "total")
 
 
-def welford(stream: DataFrame, key: str, value: str) -> DataFrame:
-    """Custom state per key: (n, mean, m2) merged batch by batch from Arrow chunks (update mode)."""
+#: Arbitrary state lives in the store that keeps it on disk.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+class _Moments(StatefulProcessor):
+    """(n, mean, m2) of a key, merged from the chunks of each batch."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.moments = handle.getValueState("moments", "n bigint, mean double, m2 double")
 
-    def step(group: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, mean, m2 = state.get if state.exists else (0, 0.0, 0.0)
-        for chunk in chunks:
-            x = chunk["_v"].dropna().to_numpy()
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        n, mean, m2 = self.moments.get() if self.moments.exists() else (0, 0.0, 0.0)
+        for chunk in rows:
+            x = chunk.iloc[:, -1].dropna().to_numpy()
             if len(x):
                 k, m = len(x), float(x.mean())
                 gap, total = m - mean, n + k
                 m2 += float(((x - m) ** 2).sum()) + gap * gap * n * k / total
                 mean, n = mean + gap * k / total, total
-        state.update((n, mean, m2))
-        yield pd.DataFrame([(group[0], n, mean, m2)], columns=["k", "n", "mean", "m2"])
+        self.moments.update((n, mean, m2))
+        yield pd.DataFrame([(*key, n, mean, m2)], columns=["k", "salt", "n", "mean", "m2"])
+
+    def close(self) -> None:
+        pass
+
+
+def welford(stream: DataFrame, key: str, value: str, once: str, salts: int = 64) -> DataFrame:
+    """Custom state per (key, salt): (n, mean, m2), merged batch by batch (update mode). The salt is a hash of the column
+    ``once``, so that a key with a third of the stream is spread over ``salts`` states; :func:`merged_moments` adds them up.
+    """
+    stream.sparkSession.conf.set(*STATE_STORE)
+    rows = stream.select(F.col(key).cast("string").alias("k"), F.pmod(F.xxhash64(once), F.lit(salts)).cast("int").alias("salt"), F.col(value).cast("double").alias("_v"))
+    return rows.groupBy("k", "salt").transformWithStateInPandas(_Moments(), "k string, salt int, n bigint, mean double, m2 double", "update", "none")
+
 
-    rows = stream.select(F.col(key).cast("string").alias("k"), F.col(value).cast("double").alias("_v"))
-    return rows.groupBy("k").applyInPandasWithState(
-        step, "k string, n bigint, mean double, m2 double", "n bigint, mean double, m2 double", "update", GroupStateTimeout.NoTimeout
-    )
+def merged_moments(parts: DataFrame) -> DataFrame:
+    """(k, n, mean, m2) from the partial states of each key: three sums."""
+    total = parts.groupBy("k").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("mean")).alias("s"), F.sum(F.col("m2") + F.col("n") * F.col("mean") * F.col("mean")).alias("q"))
+    mean = F.col("s") / F.when(F.col("n") > 0, F.col("n"))
+    return total.select("k", "n", F.coalesce(mean, F.lit(0.0)).alias("mean"), F.greatest(F.col("q") - F.coalesce(mean * F.col("s"), F.lit(0.0)), F.lit(0.0)).alias("m2"))

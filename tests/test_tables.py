@@ -150,6 +150,77 @@ def test_replayed_batches_change_nothing(spark, tmp_path):
     assert tables._versions(spark, path) == [0]
 
 
+def test_two_writers_lose_no_row(spark, tmp_path):
+    """Writers that have read the same state of the table commit one after the other, in any order."""
+    path = str(tmp_path / "shared")
+    rows = lambda *r: spark.createDataFrame(list(r), "k string, t int")
+    tables.overwrite_table(rows(("a", 1)), path)
+    seen = tables.commits(spark, path)
+    tables._commit(rows(("b", 1)), path, "delta", seen)
+    tables._commit(rows(("c", 1)), path, "delta", seen)
+    both = tables.commits(spark, path)
+    merged = tables._rows_of(spark, path, both, ["k"], ["t"])
+    tables._commit(rows(("d", 1)), path, "delta", seen)
+    tables._commit(merged, path, "compact", both)
+    tables._commit(tables._rows_of(spark, path, seen, ["k"], ["t"]), path, "compact", seen)
+    keys = lambda: sorted(r["k"] for r in tables.read_latest(spark, path, ["k"], ["t"]).collect())
+    assert keys() == ["a", "b", "c", "d"]
+    tables.compact(spark, path, ["k"], ["t"])
+    assert keys() == ["a", "b", "c", "d"]
+    assert tables.drop_old(spark, path) > 0
+    assert keys() == ["a", "b", "c", "d"] and len(tables.commits(spark, path)) == 1
+    assert tables.drop_old(spark, path) == 0
+
+
+def test_a_replacement_outlives_a_compaction_of_the_version_before(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "replaced")
+    rows = lambda *r: spark.createDataFrame(list(r), "k string, t int")
+    tables.overwrite_table(rows(("old", 1)), path)
+    tables.append_delta(rows(("old too", 1)), path)
+    seen = tables.commits(spark, path)
+    tables._enter(spark, path, "zzz", seen[0]["data"], "compact", 1, [e["name"] for e in seen if e["kind"] == "delta"])
+    monkeypatch.setattr(tables, "commits", lambda s, p, real=tables.commits, stale=[seen]: stale.pop() if stale else real(s, p))
+    tables.overwrite_table(rows(("new", 2)), path)
+    assert [r["k"] for r in tables.read_current(spark, path).collect()] == ["new"]
+    assert [r["k"] for r in tables.read_latest(spark, path, ["k"], ["t"]).collect()] == ["new"]
+
+
+def test_replayed_failures_bring_nothing_back(spark, tmp_path):
+    path = str(tmp_path / "failures")
+    good = spark.createDataFrame([("a",)], "k string")
+    bad = spark.createDataFrame([("a", "broken"), ("b", "broken")], "k string, error string")
+    none, no_bad = good.limit(0), bad.limit(0)
+    jobs.failure_table(none, bad, path, "k", 0)
+    jobs.failure_table(good, no_bad, path, "k", 0, 1)
+    jobs.failure_table(none, bad, path, "k", 0)
+    assert [r["k"] for r in jobs.read_failures(spark, path, "k").collect()] == ["b"]
+    jobs.failure_table(none, bad, path, "k", 1)
+    assert sorted(r["k"] for r in jobs.read_failures(spark, path, "k").collect()) == ["a", "b"]
+
+
+def test_late_rows_are_dropped_and_state_shrinks(spark, tmp_path):
+    src, out, cp = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    schema = "id int, ts timestamp, k string, v double"
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    moments = lambda: jobs.running_moments(stream(), ["id"], ["k"], "v", "ts", "1 hour")
+
+    def run(*rows):
+        rows = [(i, f"2024-01-01 {t}", k, v) for i, t, k, v in rows]
+        df = spark.createDataFrame(rows, "id int, ts string, k string, v double").withColumn("ts", F.to_timestamp("ts"))
+        df.coalesce(1).write.mode("append").parquet(src)
+        query = jobs.write_updates(moments(), out, cp, ["k"])
+        held = [s["numRowsTotal"] for s in query.lastProgress["stateOperators"] if "edup" in s["operatorName"]]
+        return {r["k"]: (r["n"], r["mean"]) for r in jobs.read_updates(spark, out, ["k"]).collect()}, held[0]
+
+    got, held = run((1, "00:00:00", "a", 1.0), (2, "00:10:00", "a", 3.0), (2, "00:10:00", "a", 3.0), (3, "00:20:00", "b", 5.0))
+    assert got == {"a": (2, 2.0), "b": (1, 5.0)} and held == 3
+    got, held = run((4, "05:00:00", "b", 7.0))
+    assert got == {"a": (2, 2.0), "b": (2, 6.0)}
+    assert held == 1
+    got, _ = run((5, "00:30:00", "a", 99.0), (6, "05:05:00", "a", 5.0))
+    assert got == {"a": (3, 3.0), "b": (2, 6.0)}
+
+
 def test_ingest_processes_new_files_once_and_clears_failures(spark, tmp_path):
     src, out, bad, cp = (str(tmp_path / n) for n in ("in", "out", "bad", "cp"))
     schema = "uid string, v double"
