@@ -87,8 +87,11 @@ def _fit_temperature(fits: _Fits) -> DataFrame:
         open_ = open_.withColumn("_lo", F.when(rising, b).otherwise(F.col("_lo"))).withColumn("_hi", F.when(rising, F.col("_hi")).otherwise(b))
         step, middle = b - F.col("_d") / F.when(F.col("_c") > 0, F.col("_c")), (F.col("_lo") + F.col("_hi")) / F.lit(2.0)
         open_ = open_.withColumn("_new", F.when((step > F.col("_lo")) & (step < F.col("_hi")), step).otherwise(middle))
-        open_ = open_.withColumn("_done", (F.abs(F.col("_new") - b) <= F.lit(1e-12) * F.greatest(F.lit(1.0), b)) | (F.col("_d") == 0))
-        open_ = open_.withColumn("_b", F.col("_new"))
+        # At the root the step may end on the bracket's edge; the middle would lead away from it.
+        near = F.lit(1e-12) * F.greatest(F.lit(1.0), b)
+        still = F.coalesce(F.abs(step - b) <= near, F.lit(False)) | (F.col("_d") == 0)
+        open_ = open_.withColumn("_done", still | (F.abs(F.col("_new") - b) <= near))
+        open_ = open_.withColumn("_b", F.when(still, b).otherwise(F.col("_new")))
         state = cut(state.where("_done").unionByName(open_.select(*state.columns)))
     final = fits.sums(state, ["_b"], {"_l3": loss(b)})
     options = [F.struct(F.col(f"_l{i}").alias("l"), F.lit(i).alias("i"), F.lit(c).alias("w")) for i, c in enumerate((BETA_LOW, 1.0, BETA_HIGH))]

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.functions.keyed import POISSON_ONE
 from cohortloom.operators.joins import one_row
+from cohortloom.session import partitions
 
 #: Rows whose counts are laid out at once; groups whose sums a task holds at once.
 ROWS, GROUPS = 512, 1024
@@ -68,7 +69,8 @@ def replicates(df: DataFrame, keys: Sequence[str], key: str, total: Column, coun
     rows = df.select(*keys, F.col(key).cast("string").alias("_k"), total.cast("double").alias("_t"), count.cast("double").alias("_c"))
     rows = rows.where(F.col("_k").isNotNull() & F.col("_t").isNotNull())
     kinds = "".join(f"{k} {rows.schema[k].dataType.simpleString()}, " for k in keys)
-    partial = rows.mapInArrow(_partial_sums(keys, draws, seed), f"{kinds}_t array<double>, _c array<double>")
+    # A row costs a few hundred hashes and next to nothing to move.
+    partial = rows.repartition(partitions(df.sparkSession)).mapInArrow(_partial_sums(keys, draws, seed), f"{kinds}_t array<double>, _c array<double>")
     each = partial.select(*keys, F.posexplode(F.arrays_zip("_t", "_c")).alias("draw", "e")).select(*keys, "draw", "e._t", "e._c")
     g = each.groupBy(*keys, "draw").agg(F.sum("_t").alias("_t"), F.sum("_c").alias("_c"))
     return g.select(*keys, "draw", (F.col("_t") / F.when(F.col("_c") > 0, F.col("_c"))).alias("value"))
