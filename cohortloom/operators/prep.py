@@ -9,6 +9,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.functions.scalar import clip
 from cohortloom.operators.order import exact_quantiles, null_safe, wide_quantiles
+from cohortloom.operators.gram import covariance
 from cohortloom.operators.profile import corr_matrix, group_median_iqr
 
 TINY_SCALE = 1e-8
@@ -226,28 +228,29 @@ def block_pca(balanced: DataFrame, cols: Sequence[str], k: int = 12) -> BlockPca
 def mahalanobis_shrunk(df: DataFrame, cols: Sequence[str], out: str = "mahalanobis") -> DataFrame:
     """Squared Mahalanobis distance under a Ledoit-Wolf shrunk covariance.
 
-    Two aggregations (means; second moments and the fourth moment of the norm) give the shrinkage in closed form; the
-    inverse is p x p.
+    The covariance is added up as outer products of batches; the fourth moment of the norm gives the shrinkage in closed
+    form. The inverse is p x p, and each row is one product with it.
     """
     cols = list(cols)
     p = len(cols)
-    mean = df.agg(*[F.avg(c).alias(c) for c in cols], F.count(F.lit(1)).alias("_n")).first()
-    n = mean["_n"]
-    d = [F.col(c) - F.lit(mean[c]) for c in cols]
-    upper = [(i, j) for i in range(p) for j in range(i, p)]
-    norm = sum((x * x for x in d), F.lit(0.0))
-    row = df.agg(*[F.avg(d[i] * d[j]).alias(f"s{i}_{j}") for i, j in upper], F.avg(norm * norm).alias("q")).first()
-    cov = np.zeros((p, p))
-    for i, j in upper:
-        cov[i, j] = cov[j, i] = row[f"s{i}_{j}"]
+    mean, cov = covariance(df, cols)
+    d = [F.col(c) - F.lit(m) for c, m in zip(cols, mean, strict=True)]
+    norm = F.aggregate(F.array(*d), F.lit(0.0), lambda total, x: total + x * x)
+    row = df.agg(F.avg(norm * norm).alias("q"), F.count(F.lit(1)).alias("n")).first()
     mu = np.trace(cov) / p
     squared = float((cov**2).sum())
-    noise = (row["q"] - squared) / (p * n)
+    noise = (row["q"] - squared) / (p * row["n"])
     distance = (squared - 2 * mu * np.trace(cov) + p * mu * mu) / p
     shrink = 0.0 if distance <= 0 else min(max(noise, 0.0), distance) / distance
     inverse = np.linalg.inv((1 - shrink) * cov + shrink * mu * np.eye(p))
-    value = sum((d[i] * d[j] * F.lit(float(inverse[i, j])) for i in range(p) for j in range(p)), F.lit(0.0))
-    return df.withColumn(out, value)
+
+    @F.pandas_udf("double")
+    def length(x: pd.Series) -> pd.Series:
+        v = np.array(x.tolist(), dtype=float).reshape(len(x), p)
+        found = np.einsum("ij,jk,ik->i", v, inverse, v)
+        return pd.Series(found).where(~np.isnan(found), None)
+
+    return df.withColumn(out, length(F.array(*d)))
 
 
 def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortloom.operators.gram import correlations
 from cohortloom.functions.scalar import MISSING_CLASS, row_log_loss
 from cohortloom.operators.joins import one_row, require
 from cohortloom.operators.order import average_rank, exact_quantiles, null_safe, running, value_ranks, wide_quantiles
@@ -269,19 +270,8 @@ def ensemble_mean(df: DataFrame, cols: Sequence[str], weights: Sequence[float] |
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str], key: str | None = None, method: str = "pearson") -> DataFrame:
-    """Correlation of every column pair as (a, b, corr), one aggregation; Spearman correlates tie-averaged ranks."""
-    source = df
-    if method == "spearman":
-        source = feature_ranks(df, key, cols)
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
-    row = source.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-    items = F.array(
-        *[
-            F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("corr"))
-            for i, (a, b) in enumerate(pairs)
-        ]
-    )
-    return row.select(F.explode(items).alias("e")).select("e.*")
+    """Correlation of every column pair as (a, b, corr), for hundreds of columns; Spearman correlates tie-averaged ranks."""
+    return correlations(feature_ranks(df, key, cols) if method == "spearman" else df, cols)
 
 
 def feature_ranks(df: DataFrame, key: str, cols: Sequence[str], pct: bool = False) -> DataFrame:

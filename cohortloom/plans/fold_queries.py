@@ -40,19 +40,19 @@ def _best_sql(first, count, k):
       WHERE folds = {k} AND ok = 1"""
 
 
-@query("f03_candidate_scores", "candidate:i score:d", _best_sql(100, 64, 5), "fx_wide")
+@query("f03_candidate_scores", "candidate:i score:d", _best_sql(100, 256, 5), "fx_wide")
 def _(spark, sf):
-    return f.score_candidates(fx.wide_predictions(spark, sf), 5, 100, "grp", "y", "valid", 64)
+    return f.score_candidates(fx.wide_predictions(spark, sf), 5, 100, "grp", "y", "valid", 256)
 
 
 @query(
     "f03_best_fold_assignment",
     "uid:s grp:s new_fold:i",
-    f"SELECT uid, grp, {_group('candidate', 5)} AS new_fold FROM fx_wide CROSS JOIN (SELECT candidate FROM ({_best_sql(100, 64, 5)}) ORDER BY score, candidate LIMIT 1)",
+    f"SELECT uid, grp, {_group('candidate', 5)} AS new_fold FROM fx_wide CROSS JOIN (SELECT candidate FROM ({_best_sql(100, 256, 5)}) ORDER BY score, candidate LIMIT 1)",
     "fx_wide",
 )
 def _(spark, sf):
-    return f.best_fold_assignment(fx.wide_predictions(spark, sf), 5, 100, "grp", "y", "valid", 64, "new_fold")
+    return f.best_fold_assignment(fx.wide_predictions(spark, sf), 5, 100, "grp", "y", "valid", 256, "new_fold")
 
 
 @query(

@@ -25,15 +25,15 @@ def _(spark, sf):
 
 @query(
     "j02_join_complete",
-    "uid:s y:i m_a:d loss:d",
-    "SELECT uid, y, m_a, -(y * ln(m_a) + (1 - y) * ln(1 - m_a)) AS loss FROM fx_wide",
-    "fx_wide",
+    "uid:s model:s y:i prob:d loss:d",
+    "SELECT uid, model, y, prob, -(y * ln(prob) + (1 - y) * ln(1 - prob)) AS loss FROM fx_predictions",
+    "fx_predictions",
 )
 def _(spark, sf):
-    p = fx.predictions(spark, sf).where(C("model") == "m_a")
-    left = p.select("uid", "y", C("prob").alias("m_a"))
-    right = p.select("uid", "y", row_log_loss(C("y"), C("prob")).alias("loss"))
-    return j.join_complete(left, right, ["uid"], "y")
+    p = fx.predictions(spark, sf)
+    left = p.select("uid", "model", "y", "prob")
+    right = p.select("uid", "model", "y", row_log_loss(C("y"), C("prob")).alias("loss"))
+    return j.join_complete(left, right, ["uid", "model"], "y")
 
 
 @query(
@@ -137,16 +137,16 @@ def _(spark, sf):
 
 @query(
     "j10_cross_grid",
-    "threshold:d3 flagged:i mean_prob:d",
-    """SELECT t / CAST(20 AS DOUBLE) AS threshold, sum(CASE WHEN m_a >= t / CAST(20 AS DOUBLE) THEN 1 ELSE 0 END) AS flagged,
-       avg(CASE WHEN m_a >= t / CAST(20 AS DOUBLE) THEN m_a END) AS mean_prob FROM fx_wide CROSS JOIN (SELECT unnest(range(21)) AS t) GROUP BY t""",
-    "fx_wide",
+    "model:s threshold:d3 flagged:i mean_prob:d",
+    """SELECT model, t / CAST(20 AS DOUBLE) AS threshold, sum(CASE WHEN prob >= t / CAST(20 AS DOUBLE) THEN 1 ELSE 0 END) AS flagged,
+       avg(CASE WHEN prob >= t / CAST(20 AS DOUBLE) THEN prob END) AS mean_prob FROM fx_predictions CROSS JOIN (SELECT unnest(range(21)) AS t) GROUP BY model, t""",
+    "fx_predictions",
 )
 def _(spark, sf):
-    p = fx.predictions(spark, sf).where(C("model") == "m_a").select("prob")
+    p = fx.predictions(spark, sf).select("model", "prob")
     grid = j.cross_grid(p, "threshold", 21).withColumn("threshold", F.round("threshold", 2))
     hit = C("prob") >= C("threshold")
-    return grid.groupBy("threshold").agg(F.sum(hit.cast("int")).alias("flagged"), F.avg(F.when(hit, C("prob"))).alias("mean_prob"))
+    return grid.groupBy("model", "threshold").agg(F.sum(hit.cast("int")).alias("flagged"), F.avg(F.when(hit, C("prob"))).alias("mean_prob"))
 
 
 @query(

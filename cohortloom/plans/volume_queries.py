@@ -158,12 +158,12 @@ def _(spark, sf):
 @query(
     "v25_template_weights",
     "uid:i template:i weight:d",
-    f"""WITH c AS (SELECT f.uid, t.grp AS template, corr(f.v, t.mean) AS c FROM fx_voxels f JOIN {_TEMPLATE} t ON t.z = f.z AND t.y_ = f.y_ AND t.x = f.x WHERE t.grp < 4 GROUP BY f.uid, t.grp)
+    f"""WITH c AS (SELECT f.uid, t.grp AS template, corr(f.v, t.mean) AS c FROM fx_voxels f JOIN {_TEMPLATE} t ON t.z = f.z AND t.y_ = f.y_ AND t.x = f.x GROUP BY f.uid, t.grp)
         SELECT uid, template, exp(c / CAST(0.12 AS DOUBLE)) / sum(exp(c / CAST(0.12 AS DOUBLE))) OVER (PARTITION BY uid) AS weight FROM c""",
     "fx_voxels",
 )
 def _(spark, sf):
-    t = templates(spark, sf).where(C("grp") < 4).select(C("grp").alias("template"), *vx.POS, C("mean").alias("t"))
+    t = templates(spark, sf).select(C("grp").alias("template"), *vx.POS, C("mean").alias("t"))
     c = vox(spark, sf).join(t, vx.POS).groupBy("uid", "template").agg(F.corr("v", "t").alias("corr"))
     return at.template_weights(c)
 

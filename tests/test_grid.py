@@ -88,3 +88,33 @@ def test_texture_honours_keys_and_small_groups(spark):
     assert got["a"].contrast == alone.contrast > 0
     assert got["b"].contrast == 0.0
     assert vx.glcm(df.where(F.col("part") == "b"), 4, vx.AXES_3, "floor", 8).collect()[0].contrast is None
+
+
+def test_correlations_of_hundreds_of_columns_match_numpy(spark):
+    from cohortloom.operators.gram import correlations, covariance
+
+    rng = np.random.default_rng(9)
+    p = 930
+    x = rng.normal(size=(50, p)) + 1e4
+    x[:, 5] = 3.7
+    df = spark.createDataFrame([(x[i].tolist(),) for i in range(50)], "v array<double>").repartition(3)
+    names = [f"c{i}" for i in range(p)]
+    wide = df.select(*[F.col("v")[i].alias(n) for i, n in enumerate(names)])
+    rows = correlations(wide, names).collect()
+    assert len(rows) == p * (p - 1) // 2
+    with np.errstate(all="ignore"):
+        want = np.corrcoef(x, rowvar=False)
+    for r in rows[::997]:
+        i, j = int(r.a[1:]), int(r.b[1:])
+        assert (r["corr"] is None) == (5 in (i, j))
+        assert r["corr"] is None or r["corr"] == pytest.approx(want[i, j], abs=1e-9)
+    mean, cov = covariance(wide.select(*names[:7]), names[:7])
+    np.testing.assert_allclose(mean, x[:, :7].mean(axis=0))
+    np.testing.assert_allclose(cov, np.cov(x[:, :7], rowvar=False, bias=True), atol=1e-8)
+
+
+def test_correlations_leave_out_missing_pairs(spark):
+    from cohortloom.operators.gram import correlations
+
+    df = spark.createDataFrame([(1.0, 2.0), (2.0, None), (3.0, 7.0), (4.0, 5.0), (float("nan"), 1.0)], "a double, b double")
+    assert correlations(df, ["a", "b"]).first()["corr"] == pytest.approx(np.corrcoef([1, 3, 4], [2, 7, 5])[0, 1])
