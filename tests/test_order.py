@@ -81,3 +81,15 @@ def test_samples_do_not_depend_on_partitioning(spark):
     a = {r["id"] for r in selection.sample_stratified(df, 60, "c", "id", 4).collect()}
     b = {r["id"] for r in selection.sample_stratified(df.repartition(13), 60, "c", "id", 4).collect()}
     assert a == b and len(a) == 60
+
+
+def test_median_gap_of_all_pairs_matches_brute_force(spark):
+    from cohortloom.operators.embed import median_pair_gap
+
+    rng = np.random.default_rng(6)
+    cases = [rng.integers(0, 13, 101).astype(float), rng.normal(size=80) * 1e4, np.full(30, 2.5), np.array([1.0, 4.0]), np.append(np.zeros(60), rng.random(40)), np.array([7.0])]
+    for x in cases:
+        df = spark.createDataFrame([(float(v),) for v in x] + [(None,), (float("nan"),)], "v double").repartition(3)
+        i, j = np.triu_indices(len(x), 1)
+        got = median_pair_gap(df, "v")
+        assert (got is None) if len(x) < 2 else got == pytest.approx(np.median(np.abs(x[i] - x[j])), rel=1e-9, abs=1e-12)
