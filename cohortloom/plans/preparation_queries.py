@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cohortloom.operators import prep
 from cohortloom.operators.joins import join_one_to_one
 from cohortloom.operators.profile import corr_matrix
+from cohortloom.operators.transformer import FoldTransformer
 from cohortloom.plans import fixtures as fx
 from cohortloom.registry import query
 
@@ -189,3 +190,21 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return prep.requeue_failed(fx.trials(spark, sf), "study", "params_json", "state", "number")
+
+
+_FILL = ", ".join(f"coalesce({c}, (SELECT median({c}) FROM fx_features WHERE fold <> 0)) AS {c}" for c in X)
+
+
+@query(
+    "m25_fold_transformer",
+    "uid:i feature:s value:d",
+    f"""WITH f AS (SELECT uid, fold, {_FILL} FROM fx_features), t AS (SELECT * FROM f WHERE fold <> 0)
+        {' UNION ALL '.join(f"SELECT uid, '{c}' AS feature, ({c} - (SELECT median({c}) FROM t)) / (SELECT quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) FROM t) AS value FROM f" for c in X)}""",
+    "fx_features",
+)
+def _(spark, sf):
+    """All columns of the fixture vary and none correlate, so all are kept; the state is learned from four folds."""
+    df = fx.features(spark, sf)
+    model = FoldTransformer().fit(df.where(C("fold") != 0), X, "y")
+    names = F.array(*[F.lit(n) for n in model.names])
+    return model.transform(df, "uid").select("uid", F.explode(F.map_from_arrays(names, C("features"))).alias("feature", "value"))

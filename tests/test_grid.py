@@ -118,3 +118,37 @@ def test_correlations_leave_out_missing_pairs(spark):
 
     df = spark.createDataFrame([(1.0, 2.0), (2.0, None), (3.0, 7.0), (4.0, 5.0), (float("nan"), 1.0)], "a double, b double")
     assert correlations(df, ["a", "b"]).first()["corr"] == pytest.approx(np.corrcoef([1, 3, 4], [2, 7, 5])[0, 1])
+
+
+def test_fold_transformer_learns_from_training_rows_only(spark):
+    import json
+
+    from cohortloom.operators.transformer import FoldTransformer
+
+    rng = np.random.default_rng(17)
+    x = rng.normal(size=(60, 20))
+    y = np.tile([0, 1], 30)
+    x[:, 3] += 3 * y
+    x[:, 7] = x[:, 3] * -2 + 1
+    x[:, 9] = 4.0
+    x[5, 1] = np.nan
+    x[50:] += 100
+    names = [f"f{i}" for i in range(20)]
+    df = spark.createDataFrame([(i, int(y[i]), *map(float, r)) for i, r in enumerate(x)], ["uid", "y", *names])
+    model = FoldTransformer(top_k=6, variance=0.95).fit(df.where("uid < 50"), names, "y")
+    train = np.where(np.isnan(x[:50]), np.nanmedian(x[:50], axis=0), x[:50])
+    assert model.names[0] == "f3" and "f7" not in model.names and "f9" not in model.names and len(model.names) == 6
+    at = [names.index(n) for n in model.names]
+    iqr = np.subtract(*np.percentile(train, [75, 25], axis=0))
+    scale = lambda v: (v[:, at] - np.median(train, axis=0)[at]) / iqr[at]
+    z = scale(train)
+    _, s, vt = np.linalg.svd(z - z.mean(axis=0), full_matrices=False)
+    share = np.cumsum(s**2) / (s**2).sum()
+    keep = int(np.searchsorted(share, 0.95, side="right")) + 1
+    assert model.width == min(keep, 6)
+    rows = {r.uid: np.array(r.features) for r in model.transform(df, "uid").collect()}
+    want = (scale(x[50:]) - z.mean(axis=0)) @ vt[: model.width].T
+    got = np.stack([rows[i] for i in range(50, 60)])
+    np.testing.assert_allclose(np.abs(got), np.abs(want), atol=1e-8)
+    again = FoldTransformer.from_state(json.loads(json.dumps(model.to_state())))
+    np.testing.assert_allclose(np.stack([np.array(r.features) for r in again.transform(df.where("uid >= 50"), "uid").orderBy("uid").collect()]), got)
