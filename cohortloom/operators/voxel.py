@@ -400,10 +400,37 @@ def summary_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 
 def region_stats(voxels: DataFrame, core: bool = True, regions: DataFrame | None = None) -> DataFrame:
-    """Fifteen summaries x region x channel, long form (uid, region, channel, stats). ``regions`` saves finding them again."""
-    regions = (region_masks(voxels, core) if regions is None else regions).select("uid", *POS, "region")
-    ch = channels(voxels).where("m").select("uid", *POS, "channel", "c")
-    return summary_stats(ch.join(regions, ["uid", *POS]), ["uid", "region", "channel"], "c")
+    """Fifteen summaries x region x channel, long form (uid, region, channel, stats); ``regions``: region rows with
+    self-normalised values ``s``, if they are at hand. A scan is laid out once for all of its regions and channels."""
+    rows = region_masks(self_normalize(voxels), core) if regions is None else regions
+
+    def summaries(table: pa.Table) -> list[tuple]:
+        at, shape = grid.places(table)
+        place, s = np.ravel_multi_index(at, shape), np.asarray(table.column("s"))
+        names, region = np.unique(np.array(table.column("region").to_pylist()), return_inverse=True)
+        target = region == np.flatnonzero(names == "target")[0]
+        order = np.argsort(place[target])
+        voxel = np.searchsorted(place[target][order], place)
+        values = s[target][order]
+        low, middle, high = np.percentile(values, [25, 50, 75])
+        _, same, times = np.unique(values, return_inverse=True, return_counts=True)
+        rank = (np.cumsum(times) - (times - 1) / 2)[same] / len(values)
+        parts = {"selfnorm": values, "robust": (values - middle) / max(high - low, 1e-6), "rank": rank}
+        out = []
+        for i, name in enumerate(names.tolist()):
+            own = np.sort(voxel[region == i])
+            for channel, whole_scan in parts.items():
+                x = whole_scan[own]
+                p = np.percentile(x, SUMMARY_PERCENTILES)
+                mad = np.median(np.abs(x - np.median(x)))
+                out.append((name, channel, len(x), x.mean(), x.std(), x.min(), x.max(), *p, mad, np.cumsum(np.sort(x * x))[-1] / len(x)))
+        return out
+
+    stats = ["mean", "std", "min", "max", *[f"p{p:02d}" for p in SUMMARY_PERCENTILES], "mad", "energy"]
+    types = pa.schema([("region", pa.string()), ("channel", pa.string()), ("n", pa.int64()), *[(c, pa.float64()) for c in stats]])
+    cells = rows.select("uid", *[F.col(c).cast("int").alias(c) for c in POS], "region", F.col("s").cast("double").alias("s"))
+    kinds = f"uid {rows.schema['uid'].dataType.simpleString()}, region string, channel string, n bigint, " + ", ".join(f"{c} double" for c in stats)
+    return cells.groupBy("uid").applyInArrow(grid.of_group(["uid"], types, summaries), kinds)
 
 
 def region_means(regions: DataFrame, value: str, names: Sequence[str]) -> DataFrame:

@@ -188,7 +188,7 @@ CHANNELS = f"""(SELECT uid, z, y_, x, c.channel, c.c FROM (SELECT *, [{{'channel
 
 
 REGION_STATS = f"""SELECT uid, region, channel, count(*) AS n, avg(c) AS mean, stddev_pop(c) AS std, min(c) AS min, max(c) AS max,
-        {', '.join(f'quantile_cont(c, {p / 100}) AS p{p:02d}' for p in vx.SUMMARY_PERCENTILES)}, median(abs(c - med)) AS mad, avg(c * c) AS energy FROM (
+        {', '.join(f'quantile_cont(c, {p / 100}) AS p{p:02d}' for p in vx.SUMMARY_PERCENTILES)}, median(abs(c - med)) AS mad, list_sum(list_sort(list(c * c))) / count(*) AS energy FROM (
         SELECT r.uid, r.region, k.channel, k.c, median(k.c) OVER (PARTITION BY r.uid, r.region, k.channel) AS med FROM {regions_sql()} r JOIN {CHANNELS} k ON k.uid = r.uid AND k.z = r.z AND k.y_ = r.y_ AND k.x = r.x) GROUP BY uid, region, channel"""
 
 
